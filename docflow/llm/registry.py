@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from docflow.llm import packing
+from docflow.llm import neardup, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
+    "op9_quality_rules": quality.op9_quality_rules,
+}
+ORACLES = {
+    "op9_quality_rules": quality.ORACLE_SQL,
 }
-ORACLES: dict = {}
 
 
 def queries() -> dict:
