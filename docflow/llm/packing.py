@@ -29,8 +29,8 @@ BACKTRACKS = 60
 #: Branches kept for one bin, and pieces from which on all branches are kept.
 MOST_FILLINGS = 3
 FEW_PIECES = 40
-#: Distinct words that a worker keeps with their ids before it starts anew.
-WORD_CACHE = 400_000
+#: Distinct words of a generation that a worker keeps with their ids; it keeps two.
+WORD_CACHE = 300_000
 #: Rows of one (length, bucket) group that is sorted together, about.
 RANK_GROUP = 1000
 RANK_BUCKETS = 4096
@@ -63,6 +63,8 @@ class WordEncoder:
         self.limit = limit
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -85,18 +87,24 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Put the words' ids into the cache."""
-        if len(self.words) + len(words) > self.limit:
-            self.words = {}
+        if len(self.words) > self.limit:
+            self.words, self.old_words = {}, self.words
         if len(self.cores) > self.limit:
-            self.cores = {}
+            self.cores, self.old_cores = {}, self.cores
         split, odd = [], []
         for word in words:
+            if word in self.old_words:
+                self.words[word] = self.old_words[word]
+                continue
             core = word.rstrip(self.TAIL)
             if core.isalpha():
                 split.append((word, core.lower(), word[len(core) :]))
             else:
                 odd.append(word)
-        self._learn_cores(list({core for _, core, _ in split}.difference(self.cores)))
+        cores = {core for _, core, _ in split}.difference(self.cores)
+        again = cores.intersection(self.old_cores)
+        self.cores.update((core, self.old_cores[core]) for core in again)
+        self._learn_cores(list(cores - again))
         tails = {tail: self._ids(tail) if tail else b"" for tail in {tail for _, _, tail in split}}
         for word, core, tail in split:
             self.words[word] = self.cores[core] + tails[tail]
@@ -110,13 +118,23 @@ class WordEncoder:
         ]
         new = {word for words in split for word in words if word not in self.words}
         if new:
-            if len(self.words) + len(new) > self.limit:
+            if len(self.words) > self.limit:  # the cache is about to turn
                 new = {word for words in split for word in words}
             self.learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker process's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
     """A batch as lists of ids and texts of about ``most`` characters each."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -147,7 +165,7 @@ def tokenize_pieces(
         names, kinds = [*names, "token_ids"], [*kinds, pa.list_(pa.int64())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end, width = np.array([SEPARATOR_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             for ids, texts in _slices(batch, 4_000_000):
