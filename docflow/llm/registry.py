@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docflow.llm import neardup, packing, quality
+from docflow.llm import langmodel, neardup, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_lm_scoring": langmodel.op10_lm_scoring,
 }
 ORACLES = {
     "op9_quality_rules": quality.ORACLE_SQL,
