@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docflow.llm import langmodel, neardup, packing, quality
+from docflow.llm import htmltext, langmodel, neardup, packing, quality, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
+    "op6_url_filter": urlfilter.op6_url_filter,
+    "op7_html_extraction": htmltext.op7_html_extraction,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": langmodel.op10_lm_scoring,
 }
