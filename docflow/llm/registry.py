@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from docflow.llm import htmltext, langmodel, neardup, packing, quality, urlfilter
+from docflow.llm import decontaminate, htmltext, langmodel, neardup, packing, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_sharding": sharding.op2_sharding,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_html_extraction": htmltext.op7_html_extraction,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": langmodel.op10_lm_scoring,
 }
 ORACLES = {
+    "op2_sharding": sharding.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
 
