@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontaminate, htmltext, langmodel, neardup, packing, quality, sharding, urlfilter
+from docflow.llm import decontaminate, htmltext, langmodel, neardup, packing, pii, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_html_extraction": htmltext.op7_html_extraction,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
