@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared checkpoint folder and read back.
+    """Cut the lineage: written as a table to the shared checkpoint folder and read back.
 
     The folder comes from ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (tests, a single machine).
+    where the session names none (tests, a single machine). A table, not an RDD
+    checkpoint: it survives lost executors alike, is compressed, has known sizes
+    for join planning, and carries no constraints of the plan that made it, which
+    would otherwise pile up over iterations.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/docflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[str, list[str]] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docflow-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> int:
+    """Delete this application's durable tables, once results that read them are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
 
 
 def need(df: DataFrame, **columns: str) -> DataFrame:

@@ -6,7 +6,8 @@ bucket). Documents with equal sets collapse into classes before anything is
 compared. Banded registers propose pairs: first a star from each band bucket's
 hub, and then, only where a bucket still spans several components, the pairs
 across components. A collision-corrected estimate drops pairs that are far from
-the threshold; every other pair is checked on the full shingle sets.
+the threshold; every other pair is checked on the full shingle sets. Families of
+large buckets are compared in bounded blocks that emit spanning links only.
 
 Shingles and classes are told apart by 64-bit hashes. A link at the threshold
 shares none of the 32 bands with a probability of (1 - 0.85 ** 4) ** 32, about
@@ -43,6 +44,13 @@ BANDS = REGISTERS // BAND
 MARGIN = 0.2
 #: 64-bit words of the filter that says which documents' sets are wanted; fixed, so 8 MB at any size.
 FILTER_WORDS = 1 << 20
+#: Buckets of up to SMALL classes are compared pair by pair, larger ones in blocks.
+SMALL = 32
+#: Members of a family's main component that all outside it are compared with first.
+CORE_HUBS = 4
+#: Hashes of a block's outside classes, and of the part of the family it is compared with.
+OUTSIDE_HASHES = 100_000
+FAMILY_HASHES = 400_000
 WORD_CACHE = 500_000
 CHUNK_CHARS = 3_000_000
 
@@ -300,6 +308,142 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     return durable(full)
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (key, fp, hub, g) with the components of fp (label) and hub (main)."""
+    node = labels.select(F.col("node").alias("fp"), "label")
+    hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("main"))
+    return (
+        members.join(node, "fp", "left")
+        .join(hub, "hub", "left")
+        .withColumns({"label": F.coalesce("label", "fp"), "main": F.coalesce("main", "hub")})
+    )
+
+
+def _across_small(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs across components inside buckets of at most SMALL classes; their hubs are done."""
+    rows = durable(_labelled(members.where(F.col("g").between(3, SMALL) & (F.col("fp") != F.col("hub"))), labels))
+    outside = rows.where("label <> main").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
+    other = rows.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("inside"))
+    across = (
+        outside.join(other, "key")
+        .where((F.col("la") != F.col("lb")) & (F.col("inside") | (F.col("a") < F.col("b"))))
+        .select("a", "b")
+        .distinct()
+    )
+    return durable(_likely(across, classes, threshold))
+
+
+def _across_large(
+    docs: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int
+) -> DataFrame | None:
+    """links with those across components inside larger buckets, or None where there is nothing to add.
+
+    Buckets that overlap make a family. Its largest component is the main one;
+    the classes outside it are first checked against a few of the main
+    component's best linked members, and those that stay outside then against
+    the whole family, block by block, on full sets. A block emits one link for
+    each class and component at most, so no pair list is ever made.
+    """
+    rows = durable(_labelled(members.where(F.col("g") > SMALL), labels))
+    open_keys = rows.where("label <> main").select("key").distinct()
+    rows = durable(rows.join(open_keys, "key", "left_semi").select("fp", "hub"))
+    if not rows.take(1):
+        return None
+    family = components(rows.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+
+    def placed(labels: DataFrame) -> DataFrame:
+        """fp, family, label, outside."""
+        own = (
+            family.select(F.col("node").alias("fp"), F.col("label").alias("family"))
+            .join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+            .withColumn("label", F.coalesce("label", "fp"))
+        )
+        counts = own.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        return durable(own.join(main, "family").withColumn("outside", F.col("label") != F.col("main")).drop("main"))
+
+    own = placed(labels)
+    degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("d"))
+    hubs = (
+        own.where("NOT outside")
+        .join(degree, "fp", "left")
+        .groupBy("family", F.pmod(F.xxhash64("fp"), F.lit(CORE_HUBS)).alias("part"))
+        .agg(F.max_by("fp", F.struct(F.coalesce("d", F.lit(0)), "fp")).alias("b"))
+    )
+    tries = durable(own.where("outside").select(F.col("fp").alias("a"), "family").join(hubs, "family").select("a", "b"))
+    links = durable(links.unionByName(_confirmed(docs, classes, tries, size, percent)))
+    own = placed(components(links))
+
+    sized = own.join(classes.select("fp", "lo", "n_shingles"), "fp")
+    whole = sized.groupBy("family").agg(
+        F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles")).otherwise(0)) / OUTSIDE_HASHES).alias("blocks"),
+        F.ceil(F.sum("n_shingles") / FAMILY_HASHES).alias("parts"),
+    )
+    sets = _wanted_sets(docs, sized.select("fp", "lo"), size)
+    dealt = durable(sized.join(whole.where("blocks > 0"), "family").join(sets, "fp"))
+    one = F.array(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")))
+    part = F.array(F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    def cut(rows: DataFrame, blocks, parts, first: bool) -> DataFrame:
+        return rows.select(
+            "family", F.explode(blocks).alias("block"), parts.alias("parts"), "fp", "label", "n_shingles", "hashes"
+        ).select("family", "block", F.explode("parts").alias("part"), "fp", "label", "hashes", F.lit(first).alias("first"))
+
+    pieces = cut(dealt.where("outside"), one, every("parts"), True).unionByName(cut(dealt, every("blocks"), part, False))
+
+    def compare(group: pa.Table) -> pa.Table:
+        first = group.column("first").to_numpy(zero_copy_only=False)
+        fp = group.column("fp").to_numpy()
+        label = group.column("label").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("hashes")]
+        x, y = np.flatnonzero(first), np.flatnonzero(~first)
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            both = overlaps([sets[i] for i in x], [sets[i] for i in y])
+            nx, ny = (np.array([len(sets[i]) for i in z]) for z in (x, y))
+            near = 100 * both >= percent * (nx[:, None] + ny[None, :] - both)
+            near &= label[x][:, None] != label[y][None, :]
+            for i, j in enumerate(near):
+                hits = y[np.flatnonzero(j)]
+                for k in np.unique(label[hits], return_index=True)[1]:
+                    found.append((int(fp[x[i]]), int(fp[hits[k]])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    extra = pieces.groupBy("family", "block", "part").applyInArrow(compare, "a long, b long")
+    return durable(links.unionByName(extra))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of membership matrices."""
+    owner_l = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    owner_r = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    flat_l, flat_r = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(flat_l, flat_r)
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    if not len(shared):
+        return out.astype(np.int64)
+
+    def places(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        hit = shared[at] == flat
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    (al, ol), (ar, orr) = places(flat_l, owner_l), places(flat_r, owner_r)
+    for start in range(0, len(shared), columns):
+        cut_l = slice(*np.searchsorted(al, [start, start + columns]))
+        cut_r = slice(*np.searchsorted(ar, [start, start + columns]))
+        ml = np.zeros((len(left), columns), dtype=np.float32)
+        mr = np.zeros((len(right), columns), dtype=np.float32)
+        ml[ol[cut_l], al[cut_l] - start] = 1
+        mr[orr[cut_r], ar[cut_r] - start] = 1
+        out += ml @ mr.T
+    return np.rint(out).astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per input row.
 
@@ -320,27 +464,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = _confirmed(docs, classes, durable(_likely(star, classes, threshold)), size, percent)
     labels = components(links)
 
-    # buckets that still span several components: pairs across them, hubs are done
-    node = labels.select(F.col("node").alias("fp"), F.col("label"))
-    hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    left_over = (
-        members.where("g > 2 AND fp <> hub")
-        .join(node, "fp", "left")
-        .join(hub, "hub", "left")
-        .select("key", "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("hub_label", "hub").alias("main"))
-    )
-    left_over = durable(left_over.withColumn("inside", F.col("label") == F.col("main")))
-    outside = left_over.where("NOT inside").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
-    other = left_over.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), "inside")
-    across = (
-        outside.join(other, "key")
-        .where((F.col("la") != F.col("lb")) & (F.col("inside") | (F.col("a") < F.col("b"))))
-        .select("a", "b")
-        .distinct()
-    )
-    more = durable(_likely(across, classes, threshold))
+    more = _across_small(members, labels, classes, threshold)
     if more.take(1):
-        labels = components(links.unionByName(_confirmed(docs, classes, more, size, percent)))
+        links = durable(links.unionByName(_confirmed(docs, classes, more, size, percent)))
+        labels = components(links)
+    links = _across_large(docs, members, classes, links, labels, size, percent)
+    if links is not None:
+        labels = components(links)
 
     named = (
         classes.select("fp", "lo")
@@ -361,6 +491,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which one of each component stays, columns unchanged.
+
+    Repeated rows are copies of each other, so of those one stays too. Rows
+    without words have no copies and all stay, once per doc_id and text.
+    """
+    names = docs.columns
+    key = F.xxhash64("text", F.lit(1))
+    found = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
+    kept = docs.join(found.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(*names)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at 3-word shingles and a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

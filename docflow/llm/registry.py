@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontaminate, htmltext, langmodel, neardup, packing, pii, quality, sharding, urlfilter
+from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, quality, sharding, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
     "op5_pii": pii.op5_pii,
     "op6_url_filter": urlfilter.op6_url_filter,
@@ -17,12 +18,15 @@ QUERIES = {
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE_SQL,
+    "op3_license_scan": licenses.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:

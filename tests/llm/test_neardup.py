@@ -97,3 +97,25 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 1000 for i in range(1000, 1060)}}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_a_large_group_around_the_threshold(spark, monkeypatch):
+    random.seed(11)
+    base = ["b%d" % i for i in range(120)]
+    rows = []
+    for n in range(260):
+        own = list(base)
+        for _ in range(random.randint(0, 7)):
+            own[random.randrange(len(own))] = "x%d" % random.randrange(40)
+        rows.append((n, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "OUTSIDE_HASHES", 3000)
+    monkeypatch.setattr(neardup, "FAMILY_HASHES", 9000)
+    assert rows_of(neardup.near_duplicates(docs, 3, 85)) == brute(rows, 3, 85)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
+    got = neardup.overlaps(sets[:25], sets[25:], columns=16)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
