@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from docflow.llm.common import need, table
 
-WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
 MEASURES = (
@@ -64,6 +63,13 @@ def bound(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def words_of(text: Column) -> Column:
+    """Words between ASCII white space: plain replacements and a split at one character."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
+
+
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, all places counted.
 
@@ -99,7 +105,7 @@ def _measured(rows: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the measurements of column ``text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = words_of(text)
 
     def counted(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))
@@ -117,7 +123,7 @@ def _measured(rows: DataFrame, *keep: str) -> DataFrame:
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
     )
     by = {"n_words": "by_word", "n_repeat_words": "by_word", "n_lines": "by_line", "n_dup_lines": "by_line"}
     return found.select(*keep, *[F.col(f"{by[m]}.{m}" if m in by else m) for m in MEASURES])
