@@ -284,7 +284,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     """The pairs (a, b) that reach the threshold on their full sets; durable."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = ends.join(classes.select("fp", "lo"), "fp")
-    sets = _wanted_sets(docs, wanted, size)
+    sets = durable(_wanted_sets(docs, wanted, size))  # read by both joins, so the texts are scanned once
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
