@@ -121,3 +121,30 @@ def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 def take_per(rows: DataFrame, key: str, order: str, count: int) -> DataFrame:
     """The first rows of each key; ties by the whole order column only."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rank") <= count)
+
+
+def assign_splits(rows: DataFrame, lock: DataFrame) -> DataFrame:
+    """rows (url, page, ...) with the split that ``lock`` (url, page, split) fixes; problem names what's wrong.
+
+    The fixed list is complete: a row outside it, a listed page without a row and a repeated page are problems.
+    """
+    both = rows.join(lock.select("url", "page", "split", F.lit(True).alias("locked")), ["url", "page"], "full_outer")
+    seen = rows.select("url", "page", F.lit(True).alias("present")).groupBy("url", "page").agg(F.count("present").alias("n"))
+    problem = F.when(F.col("locked").isNull(), "not listed").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    named = F.concat(source_id(F.col("url")), F.lit("_p"), F.lpad(F.col("page").cast("string"), 5, "0"))
+    return both.join(seen, ["url", "page"], "left").withColumns({"problem": problem, "id": named}).drop("locked", "n")
+
+
+def withhold(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Answers of the training split only."""
+    return rows.withColumn(answer, F.when(F.col("split") == "train", F.col(answer)))
+
+
+def isolation_broken(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """n_broken: rows that have an answer outside train, or none inside."""
+    return rows.agg(F.count_if(F.col(answer).isNotNull() != (F.col("split") == "train")).alias("n_broken"))
+
+
+def unknown_fields(config: Column, allowed: list[str]) -> Column:
+    """Keys of a map column that a closed-world configuration doesn't know."""
+    return F.array_sort(F.array_except(F.map_keys(config), F.array(*[F.lit(k) for k in allowed])))

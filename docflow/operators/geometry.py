@@ -94,3 +94,27 @@ def pixel_shuffle(values: Column, side: int, channels: int, factor: int) -> Colu
         for c in range(channels)
     ]
     return gather(values, places)
+
+
+def mask_positions(mask: Column, side: int) -> Column:
+    """Bucket positions of a side-by-side patch mask, null unless it's a filled top-left rectangle.
+
+    A coordinate's fraction of its extent is compared with the grid's fractions in single precision.
+    """
+    at = lambda y, x: F.element_at(mask, F.lit(1) + y * side + x)
+    line = F.sequence(F.lit(0), F.lit(side - 1))
+    height = F.size(F.filter(line, lambda y: at(y, F.lit(0)) == 1))
+    width = F.size(F.filter(line, lambda x: at(F.lit(0), x) == 1))
+    fractions = F.array(*[(F.lit(float(i)).cast("float") / F.lit(side)).cast("float") for i in range(1, side)])
+
+    def bucket(place: Column, extent: Column) -> Column:
+        part = (place.cast("float") * (F.lit(1.0).cast("float") / extent).cast("float")).cast("float")
+        return F.size(F.filter(fractions, lambda f: part >= f))
+
+    slots = F.sequence(F.lit(0), F.lit(side * side - 1))
+    inside = lambda i: (F.floor(i / side) < height) & (i % side < width)
+    good = (F.size(mask) == side * side) & (height > 0) & (width > 0) & F.forall(slots, lambda i: inside(i) == (F.element_at(mask, i + 1) == 1))
+    return F.when(
+        good,
+        F.transform(slots, lambda i: F.when(inside(i), bucket(F.floor(i / side), height) * side + bucket(i % side, width)).otherwise(0).cast("int")),
+    )

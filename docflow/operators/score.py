@@ -111,3 +111,42 @@ def contiguous_steps(steps: DataFrame, run: str, step: str) -> DataFrame:
     order = Window.partitionBy(run).orderBy(step)
     marked = steps.select(run, (F.col(step) == F.coalesce(F.lag(step).over(order), F.lit(0)) + 1).alias("next"))
     return marked.groupBy(run).agg(F.bool_and("next").alias("contiguous"), F.count(F.lit(1)).alias("steps"))
+
+
+def score_pictures(pages: DataFrame, threshold: float) -> DataFrame:
+    """Adds picture_count_exact, picture_iou and accepted to scored pages with one-picture references.
+
+    pages: strict, markdown_exact, structure_exact, asset_verified, expected_boxes, actual_boxes (arrays of
+    struct l, t, r, b). A page that isn't strict has no overlap and isn't accepted.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be within 0..1")
+    single = (F.size("expected_boxes") == 1) & (F.size("actual_boxes") == 1)
+    iou = box_iou(F.get("expected_boxes", F.lit(0)), F.get("actual_boxes", F.lit(0)))
+    rows = pages.withColumn("picture_count_exact", F.col("strict") & single)
+    rows = rows.withColumn("picture_iou", F.when(F.col("picture_count_exact"), iou))
+    good = F.col("strict") & F.col("markdown_exact") & F.col("structure_exact") & F.col("asset_verified")
+    return rows.withColumn("accepted", good & F.col("picture_count_exact") & F.coalesce(F.col("picture_iou") >= threshold, F.lit(False)))
+
+
+def choose_least_edits(scores: DataFrame) -> DataFrame:
+    """Most accepted pages, then fewest character and word edits, then the first place: the base wins ties."""
+    sums = scores.groupBy("candidate", "place").agg(
+        F.sum("accepted").alias("accepted"), F.sum("character_edits").alias("character_edits"), F.sum("word_edits").alias("word_edits")
+    )
+    return sums.orderBy(F.desc("accepted"), "character_edits", "word_edits", "place").limit(1)
+
+
+def compare_runs(samples: DataFrame, outputs: DataFrame, stages: list[str]) -> DataFrame:
+    """Per runtime and case the median of each stage, and whether all runtimes had the same output.
+
+    samples: runtime, case, stage, seconds. outputs: runtime, case, output.
+    """
+    medians = samples.groupBy("runtime", "case").pivot("stage", stages).agg(F.median("seconds"))
+    same = outputs.groupBy("case").agg((F.count_distinct("output") == 1).alias("same_output"))
+    return medians.join(same, "case")
+
+
+def differing_fields(left: str, right: str, fields: list[str]) -> Column:
+    """Names of the fields in which two struct columns differ; nulls are equal to each other."""
+    return F.array_compact(F.array(*[F.when(~F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")), f) for f in fields]))
