@@ -90,7 +90,8 @@ def places(text: Column, n_words: Column) -> list[tuple[str, Column]]:
     for phrase, label in PHRASES:
         pattern = phrase_pattern(phrase)
         found = F.transform(F.array(F.split(text, pattern, -1)), spread(len(phrase.split())))[0]
-        out.append((label, F.when(text.rlike(pattern), found)))
+        some = F.lower(text).contains(phrase.split()[0]) & F.lower(text).contains(phrase.split()[-1])
+        out.append((label, F.when(some & text.rlike(pattern), found)))  # the substrings are the cheap test
     return out
 
 
@@ -169,6 +170,12 @@ def contained(docs: DataFrame) -> DataFrame:
     )
 
 
+def labelled(label: str):
+    """A place struct with its label, null for null."""
+    fields = ("n", "first", "last")
+    return lambda x: F.when(x.isNotNull(), F.struct(F.lit(label).alias("label"), *[x[f].alias(f) for f in fields]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per input row.
 
@@ -178,18 +185,15 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_words", _words(F.col("text")))
     rows = rows.withColumn(
         "base",
-        F.when(
-            F.lower("text").contains("license") | F.lower("text").contains("by"),
-            F.array(
-                *[
-                    F.when(
-                        found.isNotNull(),
-                        F.struct(F.lit(label).alias("label"), found["n"].alias("n"), found["first"].alias("first"), found["last"].alias("last")),
-                    )
-                    for label, found in places(F.col("text"), F.col("n_words"))
-                ]
-            ),
-        ).otherwise(F.array().cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>")),
+        F.array(
+            *[
+                F.transform(
+                    F.array(found),
+                    labelled(label),
+                )[0]
+                for label, found in places(F.col("text"), F.col("n_words"))
+            ]
+        ),
     )
     hits = contained(docs).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     base = rows.select(
