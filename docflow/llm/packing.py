@@ -31,6 +31,7 @@ MOST_FILLINGS = 3
 FEW_PIECES = 40
 #: Distinct words of a generation that a worker keeps with their ids; it keeps two.
 WORD_CACHE = 300_000
+CORE_CACHE = 600_000
 #: Rows of one (length, bucket) group that is sorted together, about.
 RANK_GROUP = 1000
 RANK_BUCKETS = 4096
@@ -89,7 +90,7 @@ class WordEncoder:
         """Put the words' ids into the cache."""
         if len(self.words) > self.limit:
             self.words, self.old_words = {}, self.words
-        if len(self.cores) > self.limit:
+        if len(self.cores) > max(self.limit, CORE_CACHE):
             self.cores, self.old_cores = {}, self.cores
         split, odd = [], []
         for word in words:
@@ -116,11 +117,11 @@ class WordEncoder:
         split = [
             text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else [] for text in texts
         ]
-        new = {word for words in split for word in words if word not in self.words}
+        every = set().union(*split)
+        new = every.difference(self.words)
         if new:
-            if len(self.words) > self.limit:  # the cache is about to turn
-                new = {word for words in split for word in words}
-            self.learn(new)
+            # if the cache is about to turn, all words of these texts move on
+            self.learn(every if len(self.words) > self.limit else new)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
