@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The model is a bigram model over the ``CONTEXT_WORDS`` most frequent tokens and
-one class for all others, with a unigram model inside that class. Counts cover
-every training document. They are quantised on a logarithmic scale, and an
-n-gram with level q is put into the filter as the q items (n-gram, 1) ...
-(n-gram, q); a count is read back by probing 1, 2, ... until an item is absent.
-The filter has a fixed number of bits: if the corpus has more items than it
-holds at half load, the rarest n-grams stay out, so what is broadcast has a
-proven bound while the counting behind it grows with the corpus.
+The model is a bigram model over all tokens that backs off to a unigram model.
+Counts cover every training document and every bigram in it. They are quantised
+on a logarithmic scale, and an n-gram with level q is put into the filter as the
+q items (n-gram, 1) ... (n-gram, q); a count is read back by probing 1, 2, ...
+until an item is absent. The filter has a fixed number of bits. If the corpus
+has more items than it holds at half load, the n-grams of the lowest levels are
+not put in; positions that need one of them are joined with the table of those
+n-grams instead. So what is broadcast is bounded and no n-gram is lost: the
+scores are the same by either way, up to the filter's false positives.
 
 The exact counts of the base score don't come from the filter: a bounded table
 of the most frequent tokens is looked up in place, all other tokens of a
@@ -36,10 +37,8 @@ from docflow.llm.neardup import WordHash, _chunks, mix
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose exact counts every worker holds: 12 bytes each.
 FREQUENT = 1 << 19
-#: Tokens with their own bigrams.
-CONTEXT_WORDS = 2047
 #: Filter: bits, slices, probes per item, base of the count scale.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 29
 SLICES = 256
 PROBES = 5
 BASE = 1.5
@@ -139,6 +138,12 @@ def value(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
 
 
+def _value(q):
+    """``value`` as a column."""
+    low, high = (F.ceil(F.pow(F.lit(BASE), q - d) - 1e-6) for d in (1, 0))
+    return F.when(q > 0, (low + F.greatest(low, high - 1)) / 2.0).otherwise(0.0)
+
+
 def _places(keys: np.ndarray, j: int) -> list[np.ndarray]:
     """Bit numbers in its slice of item (key, j), one array per probe."""
     with np.errstate(over="ignore"):
@@ -179,31 +184,22 @@ class LogFrequencyFilter:
         return out
 
 
-def _bigram_keys(tokens: np.ndarray, lengths: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Keys of the bigrams of classes; the first token's context is END."""
-    own = classes_of(tokens, vocabulary)
-    return pair_keys(_before(own, lengths, int(classes_of(np.array([END]), vocabulary)[0])), own)
-
-
-def classes_of(tokens: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place in the sorted vocabulary, or its length for all other tokens."""
-    if not len(vocabulary):
-        return np.zeros(len(tokens), dtype=np.int64)
-    at = np.searchsorted(vocabulary, tokens)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == tokens, at, len(vocabulary))
-
-
-def _before(own: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
-    before = np.empty_like(own)
-    before[1:] = own[:-1]
+def _before(tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """The token before each one; ``start`` before the first of a text."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
     before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = start
     return before
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((left * (1 << 20) + right).astype(np.uint64) ^ np.uint64(0x1234567)).view(np.int64)
+        return mix((left.view(np.uint64) * _SALT + right.view(np.uint64)) ^ np.uint64(0x1234567)).view(np.int64)
+
+
+def _bigram_keys(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Keys of the bigrams; the first token's context is END."""
+    return pair_keys(_before(tokens, lengths, END), tokens)
 
 
 @dataclass
@@ -214,38 +210,57 @@ class Model:
     v: int  # distinct training tokens
     keys: np.ndarray  # frequent tokens, sorted
     counts: np.ndarray
-    vocabulary: np.ndarray  # context tokens, sorted
-    class_counts: np.ndarray  # of the context tokens and the class of all others
     bits: np.ndarray
-    unseen: float  # probability of all tokens that the filter doesn't hold
+    low: tuple[int, int]  # least level that the filter holds, of unigrams and bigrams
+    unseen: float  # probability of all tokens without a count
     seen: float  # what is left for the others
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
-    def scores(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the one before."""
+    def probability(self, both: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of a token, from the counts of the bigram, the context and the token."""
+        # quantised counts may sum to a little more than there is
+        single = np.where(own > 0, np.minimum(self.seen * own / max(self.n, 1), 1.0), self.unseen)
+        return (np.minimum(both, before) + PRIOR * single) / (before + PRIOR)
+
+    def scores(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+        """Sum of log10 probabilities of the tokens given the one before, and what it lacks, per text.
+
+        Positions with an n-gram that the filter may have left out are not summed but
+        listed: keys and levels (-1 where to be joined) of bigram, context and token.
+        """
         kept = LogFrequencyFilter(self.bits)
         some, back = np.unique(tokens, return_inverse=True)
-        c = value(kept.levels(some))
-        single = np.where(c > 0, self.seen * c / max(self.n, 1), self.unseen)
-        own = classes_of(some, self.vocabulary)[back]
-        start = int(classes_of(np.array([END]), self.vocabulary)[0])
-        left = _before(own, lengths, start)
-        share = self.class_counts / max(self.class_counts.sum(), 1)
-        pairs, place = np.unique(left * (1 << 20) + own, return_inverse=True)
-        a, b = pairs >> 20, pairs & ((1 << 20) - 1)
-        both = value(kept.levels(pair_keys(a, b)))
-        total = self.class_counts[a]
-        given = (np.minimum(both, total) + PRIOR * np.maximum(share[b], 1e-12)) / (total + PRIOR)
-        other = len(self.vocabulary)
-        within = single[back] / max(share[other], 1e-12)
-        # quantised counts may sum to a little more than their class
-        return np.log10(given[place]) + np.where(own == other, np.log10(np.minimum(within, 1.0)), 0.0)
-
-
-def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter's bits and the least unigram level it holds."""
+        single = self._held(kept.levels(some), 0)
+        left = _before(back, lengths, int(np.searchsorted(some, END)))
+        pairs, place = np.unique(left * len(some) + back, return_inverse=True)
+        a, b = pairs // len(some), pairs % len(some)
+        keys = pair_keys(some[a], some[b])
+        both = self._held(kept.levels(keys), 1)
+        lacking = (both < 0) | (single[a] < 0) | (single[b] < 0)
+        each = np.log10(self.probability(value(both), value(single[a]), value(single[b])))
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        sums = np.add.reduceat(np.where(lacking, 0.0, each)[place], starts)
+        at = np.flatnonzero(lacking[place])
+        text = np.searchsorted(starts, at, side="right") - 1
+        asked, times = np.unique(text * len(pairs) + place[at], return_counts=True)
+        text, of = asked // len(pairs), asked % len(pairs)
+        columns = [keys[of], some[a[of]], some[b[of]], both[of], single[a[of]], single[b[of]], times]
+        ends = np.searchsorted(text, np.arange(len(lengths) + 1))
+        rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(ASKED))
+        return sums, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    def _held(self, levels: np.ndarray, order: int) -> np.ndarray:
+        """Levels as read, -1 where the n-gram may be among those left out; a lower level is a false positive."""
+        return np.where(levels < self.low[order], -1, levels) if self.low[order] > 1 else levels
+
+
+ASKED = ("both_key", "before_key", "own_key", "both", "before", "own", "t")
+
+
+def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
+    """The filter's bits and the least levels of unigrams and bigrams that it holds; 1 if it holds all."""
     items = (
         unigrams.select(F.lit(1).alias("order"), "key", level(F.col("c")).alias("q"))
         .unionByName(bigrams.select(F.lit(2).alias("order"), "key", level(F.col("c")).alias("q")))
@@ -256,12 +271,12 @@ def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, int]:
         used, low = 0, 1 << 40
         for q, n in sorted(((r["q"], r["n"]) for r in sizes if r["order"] == order), reverse=True):
             if used + q * n > room:
-                break
+                return used, low
             used, low = used + q * n, q
-        return used, low
+        return used, 1
 
-    used, low2 = least(2, CAPACITY // 2)
-    _, low1 = least(1, CAPACITY - used)
+    used, low1 = least(1, CAPACITY // 2)
+    _, low2 = least(2, CAPACITY - used)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,33 +306,46 @@ def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, int]:
     bits = np.zeros((SLICES, SLICE_BITS // 8), dtype=np.uint8)
     for r in built:
         bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits, low1
+    return bits, (low1, low2)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the full count table (key, c), durable."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, and the full count tables (key, c) of unigrams and bigrams, durable."""
     unigrams = durable(_counted(docs, lambda tokens, lengths: tokens))
     whole = unigrams.agg(
         F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")
     ).first()
     n, v, once = whole["n"] or 0, whole["v"], whole["once"] or 0
     keys, counts = _top(unigrams, FREQUENT)
-    most = np.argsort(-counts, kind="stable")[:CONTEXT_WORDS]
-    vocabulary = np.sort(keys[most])
-    own = counts[np.searchsorted(keys, vocabulary)]
-    class_counts = np.append(own, n - own.sum()).astype(float)
-    bigrams = durable(_counted(docs, lambda tokens, lengths: _bigram_keys(tokens, lengths, vocabulary)))
+    bigrams = durable(_counted(docs, _bigram_keys))
     bits, low = _filter(unigrams, bigrams)
-    out = unigrams.where(level(F.col("c")) < low).agg(F.sum("c")).first()[0] or 0
-    unseen = min(0.5, (max(1, once) + out) / max(n, 2))
-    return Model(n, v, keys, counts, vocabulary, class_counts, bits, unseen, 1 - once / max(n, 1) or 0.5), unigrams
+    unseen = min(0.5, max(1, once) / max(n, 2))
+    return Model(n, v, keys, counts, bits, low, unseen, 1 - once / max(n, 1) or 0.5), unigrams, bigrams
+
+
+def _left_out(scored: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(row, more_score): the log10 probabilities of the positions that a row lacks."""
+    rows = scored.select("row", F.inline("asked")).withColumn("place", F.monotonically_increasing_id())
+    for name, counts, low in (
+        ("both", bigrams, model.low[1]), ("before", unigrams, model.low[0]), ("own", unigrams, model.low[0])
+    ):
+        if low > 1:
+            side = counts.select(F.col("key").alias(f"{name}_key"), level(F.col("c")).alias("q")).where(F.col("q") < low)
+            # what is known needs no partner: its rows are spread, however frequent the n-gram is
+            key = F.when(F.col(name) < 0, F.col(f"{name}_key")).otherwise(F.xxhash64("place"))
+            rows = rows.withColumn(f"{name}_key", key).join(side, f"{name}_key", "left")
+            rows = rows.withColumn(name, F.when(F.col(name) < 0, F.coalesce("q", F.lit(0))).otherwise(F.col(name))).drop("q")
+    both, before, own = (_value(F.col(c)) for c in ("both", "before", "own"))
+    single = F.when(own > 0, F.least(F.lit(float(model.seen)) * own / F.lit(float(max(model.n, 1))), F.lit(1.0)))
+    p = (F.least(both, before) + PRIOR * F.coalesce(single, F.lit(float(model.unseen)))) / (before + PRIOR)
+    return rows.groupBy("row").agg(F.sum(F.col("t") * F.log10(p)).alias("more_score"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per input row."""
-    model, unigrams = train(docs)
+    model, unigrams, bigrams = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, m = WordHash(), shared.value
@@ -331,7 +359,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             c = np.where(found, m.counts[at], 0) if len(m.keys) else np.zeros(len(some), np.int64)
             known = found[back]
             base = np.where(known, m.base(c)[back], 0.0)
-            score = m.scores(tokens, lengths)
+            score, asked = m.scores(tokens, lengths)
             rare = tokens[~known]
             ends = np.concatenate([[0], np.cumsum(np.add.reduceat((~known).astype(np.int64), starts))])
             yield pa.RecordBatch.from_arrays(
@@ -341,8 +369,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     pa.array(lengths),
                     pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(score, starts)),
+                    pa.array(score),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.int64())),
+                    asked,
                 ],
                 names=names,
             )
@@ -350,7 +379,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     scored = durable(
         need(docs, doc_id="long", text="string").mapInArrow(
             run,
-            "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>",
+            "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, "
+            f"asked array<struct<{','.join(f'{x}:long' for x in ASKED)}>>",
         )
     ).withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count("*").alias("t"))
@@ -364,14 +394,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
             F.sum(F.col("t") * F.log10((F.col("c") + 1) / total)).alias("more_base"),
         )
     )
-    return scored.drop("rare").join(rest, "row", "left").select(
+    if max(model.low) > 1:
+        rest = rest.join(_left_out(scored, model, unigrams, bigrams), "row", "full")
+    else:
+        rest = rest.withColumn("more_score", F.lit(0.0))
+    return scored.drop("rare", "asked").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -72,3 +72,41 @@ def test_levels_stand_for_their_counts():
     for c in (1, 2, 3, 10, 1000, 10**6):
         q = math.floor(math.log(c) / math.log(langmodel.BASE) + 1e-9) + 1
         assert langmodel.value(np.array([q]))[0] == pytest.approx(c, rel=0.35)
+
+
+def brute_scores(rows):
+    """Scores of the quantised bigram model over all words, without a filter."""
+    uni, bi = Counter(), Counter()
+    for i, text in rows:
+        if not langmodel.in_fold(i):
+            own = tokens(text)
+            uni.update(own)
+            bi.update(zip([None, *own[:-1]], own))
+
+    def quantised(c):
+        q = math.floor(math.log(c) / math.log(langmodel.BASE) + 1e-9) + 1 if c else 0
+        return float(langmodel.value(np.array([q]))[0])
+
+    n, once = sum(uni.values()), sum(c == 1 for c in uni.values())
+    unseen, seen = min(0.5, max(1, once) / max(n, 2)), 1 - once / max(n, 1) or 0.5
+    out = []
+    for i, text in rows:
+        own, score = tokens(text), 0.0
+        for a, b in zip([None, *own[:-1]], own):
+            before, c = quantised(uni[a]), quantised(uni[b])
+            single = min(seen * c / max(n, 1), 1.0) if c else unseen
+            both = min(quantised(bi[a, b]), before)
+            score += math.log10((both + langmodel.PRIOR * single) / (before + langmodel.PRIOR))
+        out.append((i, score))
+    return out
+
+
+@pytest.mark.parametrize("capacity", [None, 20_000, 0])
+def test_no_ngram_is_left_out(spark, sf_dir, monkeypatch, capacity):
+    """All words have bigrams; what the filter can't hold is joined: scores don't depend on its size."""
+    if capacity is not None:
+        monkeypatch.setattr(langmodel, "CAPACITY", capacity)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r["doc_id"], r["score"]) for r in langmodel.op10_lm_scoring(spark, sf_dir).collect())
+    for (i, x), (j, y) in zip(got, sorted(brute_scores(docs)), strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-9 if capacity == 0 else 1e-3)
