@@ -6,7 +6,7 @@ on a logarithmic scale, and an n-gram with level q is put into the filter as the
 q items (n-gram, 1) ... (n-gram, q); a count is read back by probing 1, 2, ...
 until an item is absent. The filter has a fixed number of bits. If the corpus
 has more items than it holds at half load, the n-grams of the lowest levels are
-not put in; positions that need one of them are joined with the table of those
+not put in (of the last level that finds room, a share by hash is); positions that need one of them are joined with the table of those
 n-grams instead. So what is broadcast is bounded and no n-gram is lost: the
 scores are the same by either way, up to the filter's false positives.
 
@@ -21,6 +21,7 @@ equal rows get equal results; with no training token, V and N are 0.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ FREQUENT = 1 << 19
 #: Filter: bits, slices, probes per item, base of the count scale.
 FILTER_BITS = 1 << 29
 SLICES = 256
+#: Steps of a level's share.
+TICKETS = 1 << 10
 PROBES = 5
 BASE = 1.5
 #: Weight of the unigram model in a bigram's estimate, in counts.
@@ -153,7 +156,12 @@ def _places(keys: np.ndarray, j: int) -> list[np.ndarray]:
 
 
 def _slice_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64) ^ np.uint64(0xA5A5A5A5)) % np.uint64(SLICES)).astype(np.int64)
+    return keys & (SLICES - 1)
+
+
+def _ticket(keys: np.ndarray) -> np.ndarray:
+    """A number below TICKETS per key, of other bits than the slice's."""
+    return (keys >> 12) & (TICKETS - 1)
 
 
 class LogFrequencyFilter:
@@ -211,7 +219,7 @@ class Model:
     keys: np.ndarray  # frequent tokens, sorted
     counts: np.ndarray
     bits: np.ndarray
-    low: tuple[int, int]  # least level that the filter holds, of unigrams and bigrams
+    low: list[tuple[int, int]]  # of unigrams and bigrams: least level that the filter holds, tickets of the level below
     unseen: float  # probability of all tokens without a count
     seen: float  # what is left for the others
 
@@ -232,12 +240,12 @@ class Model:
         """
         kept = LogFrequencyFilter(self.bits)
         some, back = np.unique(tokens, return_inverse=True)
-        single = self._held(kept.levels(some), 0)
+        single = self._held(kept.levels(some), some, 0)
         left = _before(back, lengths, int(np.searchsorted(some, END)))
         pairs, place = np.unique(left * len(some) + back, return_inverse=True)
         a, b = pairs // len(some), pairs % len(some)
         keys = pair_keys(some[a], some[b])
-        both = self._held(kept.levels(keys), 1)
+        both = self._held(kept.levels(keys), keys, 1)
         lacking = (both < 0) | (single[a] < 0) | (single[b] < 0)
         each = np.log10(self.probability(value(both), value(single[a]), value(single[b])))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -246,44 +254,43 @@ class Model:
         text = np.searchsorted(starts, at, side="right") - 1
         asked, times = np.unique(text * len(pairs) + place[at], return_counts=True)
         text, of = asked // len(pairs), asked % len(pairs)
-        columns = [keys[of], some[a[of]], some[b[of]], both[of], single[a[of]], single[b[of]], times]
+        before_key, own_key = (np.where(single[x[of]] < 0, some[x[of]], 0) for x in (a, b))
+        columns = [keys[of], before_key, own_key, both[of], single[a[of]], single[b[of]], times]
         ends = np.searchsorted(text, np.arange(len(lengths) + 1))
         rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(ASKED))
         return sums, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    def _held(self, levels: np.ndarray, order: int) -> np.ndarray:
+    def _held(self, levels: np.ndarray, keys: np.ndarray, order: int) -> np.ndarray:
         """Levels as read, -1 where the n-gram may be among those left out; a lower level is a false positive."""
-        return np.where(levels < self.low[order], -1, levels) if self.low[order] > 1 else levels
+        low, tickets = self.low[order]
+        least = low - (_ticket(keys) < tickets)
+        return np.where((least > 1) & (levels < least), -1, levels)
 
 
 ASKED = ("both_key", "before_key", "own_key", "both", "before", "own", "t")
 
 
-def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    """The filter's bits and the least levels of unigrams and bigrams that it holds; 1 if it holds all."""
-    items = (
-        unigrams.select(F.lit(1).alias("order"), "key", level(F.col("c")).alias("q"))
-        .unionByName(bigrams.select(F.lit(2).alias("order"), "key", level(F.col("c")).alias("q")))
-    )
-    sizes = items.groupBy("order", "q").agg(F.count("*").alias("n")).collect()
-
-    def least(order: int, room: int) -> tuple[int, int]:
-        used, low = 0, 1 << 40
-        for q, n in sorted(((r["q"], r["n"]) for r in sizes if r["order"] == order), reverse=True):
-            if used + q * n > room:
-                return used, low
-            used, low = used + q * n, q
-        return used, 1
-
-    used, low1 = least(1, CAPACITY // 2)
-    _, low2 = least(2, CAPACITY - used)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_slice_of(keys)), batch.column("key"), batch.column("q")], names=["slice", "key", "q"]
-            )
+def _least(low: tuple[int, int]):
+    """The least level held of each key, as a column."""
+    ticket = F.shiftright("key", 12).bitwiseAND(F.lit(TICKETS - 1))
+    return F.lit(low[0]) - (ticket < low[1]).cast("long")
+
+
+def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The filter's bits, and for unigrams and bigrams the least level it holds and the tickets held of the level below."""
+    both = [x.select("key", level(F.col("c")).alias("q")) for x in (unigrams, bigrams)]
+    low, room = [], CAPACITY
+    for order, items in enumerate(both):
+        sizes = sorted(((r["q"], r["n"]) for r in items.groupBy("q").agg(F.count("*").alias("n")).collect()), reverse=True)
+        free, own = room // 2 if order == 0 else room, (1, 0)
+        for q, n in sizes:
+            if q * n > free:
+                own = (q + 1, int(TICKETS * free / (q * n)))
+                free -= q * n * own[1] // TICKETS
+                room -= q * n * own[1] // TICKETS
+                break
+            free, room = free - q * n, room - q * n
+        low.append(own)
 
     def build(group: pa.Table) -> pa.Table:
         keys, q = group.column("key").to_numpy(), group.column("q").to_numpy()
@@ -294,19 +301,24 @@ def _filter(unigrams: DataFrame, bigrams: DataFrame) -> tuple[np.ndarray, tuple[
             }
         )
 
-    chosen = items.where(
-        ((F.col("order") == 1) & (F.col("q") >= low1)) | ((F.col("order") == 2) & (F.col("q") >= low2))
-    ).select("key", "q")
-    built = (
-        chosen.mapInArrow(route, "slice long, key long, q long")
+    chosen = [x.where(F.col("q") >= _least(y)) for x, y in zip(both, low)]
+    built = durable(
+        chosen[0].unionByName(chosen[1])
+        .select(F.col("key").bitwiseAND(F.lit(SLICES - 1)).alias("slice"), "key", "q")
         .groupBy("slice")
         .applyInArrow(build, "slice long, bits binary")
-        .collect()
     )
     bits = np.zeros((SLICES, SLICE_BITS // 8), dtype=np.uint8)
-    for r in built:
+    _drop_shuffles(unigrams.sparkSession)
+    for r in built.toLocalIterator():
         bits[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits, (low1, low2)
+    return bits, low
+
+
+def _drop_shuffles(spark: SparkSession) -> None:
+    """The counts are stored: Spark deletes their shuffle files once the plans behind them are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
@@ -318,6 +330,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     n, v, once = whole["n"] or 0, whole["v"], whole["once"] or 0
     keys, counts = _top(unigrams, FREQUENT)
     bigrams = durable(_counted(docs, _bigram_keys))
+    _drop_shuffles(docs.sparkSession)
     bits, low = _filter(unigrams, bigrams)
     unseen = min(0.5, max(1, once) / max(n, 2))
     return Model(n, v, keys, counts, bits, low, unseen, 1 - once / max(n, 1) or 0.5), unigrams, bigrams
@@ -325,16 +338,18 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 
 def _left_out(scored: DataFrame, model: Model, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
     """(row, more_score): the log10 probabilities of the positions that a row lacks."""
-    rows = scored.select("row", F.inline("asked")).withColumn("place", F.monotonically_increasing_id())
+    rows = scored.select("row", F.inline("asked"))
     for name, counts, low in (
         ("both", bigrams, model.low[1]), ("before", unigrams, model.low[0]), ("own", unigrams, model.low[0])
     ):
-        if low > 1:
-            side = counts.select(F.col("key").alias(f"{name}_key"), level(F.col("c")).alias("q")).where(F.col("q") < low)
+        if low[0] > 1:
+            side = counts.withColumn("q", level(F.col("c"))).where(F.col("q") < _least(low))
+            side = side.select(F.col("key").alias(f"{name}_key"), "q")
             # what is known needs no partner: its rows are spread, however frequent the n-gram is
-            key = F.when(F.col(name) < 0, F.col(f"{name}_key")).otherwise(F.xxhash64("place"))
+            key = F.when(F.col(name) < 0, F.col(f"{name}_key")).otherwise(F.xxhash64("row", "own", "t"))
             rows = rows.withColumn(f"{name}_key", key).join(side, f"{name}_key", "left")
-            rows = rows.withColumn(name, F.when(F.col(name) < 0, F.coalesce("q", F.lit(0))).otherwise(F.col(name))).drop("q")
+            known = F.when(F.col(name) < 0, F.coalesce("q", F.lit(0))).otherwise(F.col(name))
+            rows = rows.withColumn(name, known).drop("q", f"{name}_key")
     both, before, own = (_value(F.col(c)) for c in ("both", "before", "own"))
     single = F.when(own > 0, F.least(F.lit(float(model.seen)) * own / F.lit(float(max(model.n, 1))), F.lit(1.0)))
     p = (F.least(both, before) + PRIOR * F.coalesce(single, F.lit(float(model.unseen)))) / (before + PRIOR)
@@ -394,7 +409,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             F.sum(F.col("t") * F.log10((F.col("c") + 1) / total)).alias("more_base"),
         )
     )
-    if max(model.low) > 1:
+    if max(model.low)[0] > 1:
         rest = rest.join(_left_out(scored, model, unigrams, bigrams), "row", "full")
     else:
         rest = rest.withColumn("more_score", F.lit(0.0))
