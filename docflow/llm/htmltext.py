@@ -3,11 +3,13 @@
 A page is cut into blocks; each block has a root-to-leaf path of block tags.
 Text length and punctuation are summed per path and divided by the path's
 blocks, the ratios are smoothed along the page and fused, and paths above a
-threshold are content. The closest element that holds the content paths is the
-article; its other blocks (headings, short paragraphs) belong to it too.
-Elements that can't be an article's text are left out before the ratios are
-taken: scripts, styles, navigation, asides, page headers and footers, forms,
-and elements whose class, id or role names such a part.
+threshold are content, on every page. Two priors weigh a path's ratio: being in
+an article or main raises it, a class or id that names a part of the page's
+frame lowers it. Blocks below the threshold (headings, short paragraphs, cells)
+belong to the text if the nearest section, division or article around them has
+content of its own; headings also if a wider article has. Scripts, styles,
+navigation, asides, page headers and footers, forms, hidden elements and those
+whose role names such a part are left out before the ratios are taken.
 
 Defined results: null or empty html, or a page without content, gives an empty
 text. Unclosed and stray tags are read as browsers do for the common cases; an
@@ -42,12 +44,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPACE_TAGS = frozenset("br hr img wbr td th".split()) - {"wbr"}
 DROPPED = frozenset("nav aside footer form button select dialog head menu fieldset".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|navbar|menu\w*|sidebar|side|breadcrumb\w*"
-    r"|footer|foot|header|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|share\w*"
-    r"|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|reply|discussion|disqus|widget\w*"
-    r"|pagination|pager|toolbar|search\w*|login|skip|alert|hidden|legal|copyright|tags?)(?:$|[\s_-])",
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side|breadcrumb\w*|footer|foot|header"
+    r"|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|share\w*|sharing|social|related"
+    r"|recommend\w*|comments?|commentlist|respond|replies|reply|discussion|disqus|widget\w*|pagination|pager|toolbar"
+    r"|search\w*|login|skip|alert|hidden|legal|copyright|tags?",
     re.I,
 )
+#: Hints that are as well words for what a text is about.
+TOPICS = frozenset(
+    "side foot header notice notices consent share shares sharing social related recommendation recommendations search "
+    "searching discussion reply replies alert hidden legal copyright tag tags skip login banner navigation".split()
+)
+#: Elements that hints are not read on: the text's own, and those around all of it.
+UNHINTED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
+#: Weights of a path: of frame names, of doubtful ones, in an article or main.
+FRAME, DOUBTFUL, INSIDE = 0.1, 0.5, 2.0
+#: Elements that hold a part of a page together.
+PARTS = frozenset("html body main article section div center".split())
 HINT_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -78,6 +91,7 @@ class Element:
     path: str
     inside: Element | None  # nearest article or main
     depth: int = 0
+    weight: float = 1.0
 
 
 @dataclass(eq=False)
@@ -101,13 +115,29 @@ def _dropped(tag: str, attributes: str, inside: Element | None) -> bool:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        elif name in ("class", "id") and tag not in ("html", "body", "main"):
-            hints = {m[0].strip(" _-\t\n").lower() for m in HINT.finditer(value)}
-            if hints - {"header"} or (hints and inside is None):
-                return True
     return False
 
 
+def _weight(tag: str, attributes: str, inside: Element | None) -> float:
+    """The prior of an element by its names; an id counts only as a whole and if it isn't a topic."""
+    least = 1.0
+    if tag in UNHINTED or not attributes:
+        return least
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        for token in "".join(values).lower().split() if name in ("class", "id") else ():
+            parts = [x for x in re.split("[_-]+", token) if x]
+            hints = [bool(HINT.fullmatch(x)) and (x != "header" or inside is None) for x in parts]
+            if not any(hints):
+                continue
+            frame = any(h and x not in TOPICS for h, x in zip(hints, parts))
+            if name == "id":
+                least = min(least, FRAME if frame and all(hints) else 1.0)
+            else:
+                least = min(least, FRAME if hints[-1] and frame else DOUBTFUL)
+    return least
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in order, those of dropped elements left out."""
     root = Element("", None, False, "", None)
@@ -190,7 +220,9 @@ def blocks_of(page: str) -> list[Block]:
             at = at.parent
         inside = at.inside
         drop = at.dropped or _dropped(tag, attributes, inside)
-        element = Element(tag, at, drop, f"{at.path}/{tag}", inside, at.depth + 1)
+        weight = 1.0 if drop else _weight(tag, attributes, inside)
+        step = tag if weight == 1 else f"{tag}*{weight}"  # a path of its own
+        element = Element(tag, at, drop, f"{at.path}/{step}", inside, at.depth + 1, at.weight * weight)
         if tag in ("article", "main"):
             element.inside = element
         opened[tag] = opened.get(tag, 0) + 1
@@ -244,46 +276,42 @@ def _chain(element: Element) -> list[Element]:
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, one per line."""
+    """The content's blocks, one per line."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    scores = path_ratios(blocks)
-    articles = [b.element.inside for b in blocks if b.element.inside is not None]
-    if articles:
-        # the outermost article or main with the most content by ratio
-        weight: dict[int, float] = {}
-        outer: dict[int, Element] = {}
-        for b, s in zip(blocks, scores):
-            top = next((e for e in _chain(b.element) if e.tag in ("article", "main")), None)
-            if top is not None:
-                outer[id(top)] = top
-                weight[id(top)] = weight.get(id(top), 0.0) + s * len(b.text)
-        holder = outer[max(weight, key=weight.get)]
+    scores = [
+        s * b.element.weight * (INSIDE if b.element.inside is not None else 1.0)
+        for b, s in zip(blocks, path_ratios(blocks), strict=True)
+    ]
+    best = max(scores)
+    if best <= 0:  # nothing but links: only the prior is left
+        content = [b for b in blocks if b.element.inside is not None and b.element.weight == 1]
     else:
-        best = max(scores)
-        if best <= 0:
-            return ""
         content = [b for b, s in zip(blocks, scores) if s >= SHARE * best]
-        chains = [_chain(b.element) for b in content]
-        holder = chains[0][-1]
-        for depth, element in enumerate(chains[0]):
-            if any(len(c) <= depth or c[depth] is not element for c in chains):
-                holder = chains[0][depth - 1]
-                break
-        if holder.tag in ("p", *HEADINGS, "li", "td", "th", "dd", "dt", "pre", "blockquote") and holder.parent is not None:
-            holder = holder.parent
+    chosen = {id(b) for b in content}
+    parts = {id(_part(b.element)) for b in content}
+    # articles with content anywhere in them
+    wide = {id(e) for b in content for e in _chain(b.element) if e.tag in ("article", "main")}
     kept = []
     for b in blocks:
-        chain = _chain(b.element)
-        if holder not in chain:
+        heading = b.element.tag in HEADINGS
+        own = id(b) in chosen or id(_part(b.element)) in parts
+        if not own and not (heading and b.element.weight == 1 and id(b.element.inside) in wide):
             continue
-        if any(e.tag == "header" for e in chain) and b.element.tag not in HEADINGS:
+        if not heading and any(e.tag == "header" for e in _chain(b.element)):
             continue
         kept.append(b.text)
     return "\n".join(kept)
 
 
+def _part(element: Element) -> Element:
+    """The nearest element that holds a part of the page together."""
+    while element.tag not in PARTS and element.parent is not None and element.weight == element.parent.weight:
+        element = element.parent
+    return element
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html)."""
 

@@ -64,3 +64,28 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'c' AS text")
     assert sorted((r["text"], r["n_chars"]) for r in htmltext.extract(pages).collect()) == [("", 0), ("", 0), ("x y z.", 6)]
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p><div><span>Buy now</span></div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG} 2</p></article>", f"{LONG}\n{LONG} 2"),
+        (f"<body><p>{LONG}</p><main><p>{LONG} 2</p></main><div><p>Hot</div></body>", f"{LONG}\n{LONG} 2"),
+    ],
+)
+def test_paths_are_thresholded_with_an_article(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "mark", ["section id='related-work'", "section id=search-trees", "div class=social-impact", "section id=legal", "div class=legal"]
+)
+def test_sections_survive_their_names(mark):
+    page = f"<article class='post tag-news hentry'><h1 id=search>T</h1><p>{LONG}</p><{mark}><h2 id=legal>U</h2><p>{LONG}</p></article>"
+    assert htmltext.main_text(page) == f"T\n{LONG}\nU\n{LONG}"
+
+
+def test_frames_still_lose():
+    page = f"<div class='ad box'><p>{LONG}</div><article><p>{LONG}</p><div class=post-comments><p>{LONG}</div></article>"
+    assert htmltext.main_text(page) == LONG
