@@ -11,15 +11,32 @@ from docflow.operators.corpus import normalized
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Unit-cost Levenshtein distance of two sequences."""
-    if len(a) < len(b):
+    """Unit-cost Levenshtein distance of two sequences.
+
+    A column of the table is two bit rows of differences (Myers), so a step of the
+    longer sequence costs a few operations on integers as long as the shorter one.
+    """
+    if len(a) > len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    at = {x: sum(1 << i for i in own) for x, own in places.items()}
+    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = mask, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        plus = down | (mask & ~(horizontal | up))
+        minus = up & horizontal
+        distance += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1) | 1, minus << 1
+        up = (minus | ~(vertical | plus)) & mask
+        down = plus & vertical & mask
+    return distance
 
 
 @F.arrow_udf(T.LongType())

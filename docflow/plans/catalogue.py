@@ -454,9 +454,10 @@ def q_image_slot_rank(spark, d):
     return _tokens(spark, d).select("conv_id", "turn", F.array_join(F.array_compact(merged).cast("array<string>"), ",").alias("slots"))
 
 
-def _scored(spark, d):
-    """Each document's first line against a copy without its letter e; every 10th page fails, every 7th has no reference."""
+def _scored(spark, d, whole=False):
+    """Each document's first line, or whole text, against a copy without its letter e; every 10th page fails, every 7th has no reference."""
     line = F.regexp_replace(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)), r"[^ -~]", "")
+    line = F.coalesce("text", F.lit("")) if whole else line
     rows = _table(spark, d, "documents").select(
         F.col("doc_id"),
         F.col("lang").alias("split"),
@@ -485,7 +486,7 @@ def q_cer(spark, d):
 
 @query(None)
 def q_wer_micro(spark, d):
-    return score.summarize(_scored(spark, d)).select("split", "word_edits", "reference_words", "wer")
+    return score.summarize(_scored(spark, d, whole=True)).select("split", "word_edits", "reference_words", "wer")
 
 
 @query(

@@ -142,3 +142,37 @@ def test_coverage_of_grids(spark):
     good, overlap = [(0, 0, 2, 1), (0, 1, 1, 1), (1, 1, 1, 1)], [(0, 0, 2, 2), (0, 1, 1, 1)]
     assert one(spark, build.covered_once(cells(good), F.lit(2), F.lit(2))) is True
     assert one(spark, build.covered_once(cells(overlap), F.lit(2), F.lit(2))) is False
+
+
+def _table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_against_the_table():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(90))] for _ in range(2))
+        assert score.edit_distance(a, b) == _table_distance(a, b)
+
+
+def test_word_rates_take_whole_texts(spark, tmp_path):
+    from docflow.plans import catalogue
+
+    texts = ["The one line", "Here\nare three\nlines été", None, "\nfirst line empty, see  日本 the\trest", "é", "nothing lost\nbut lines"]
+    rows = [(i, t, "en") for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    edits = words = 0
+    for _, text, _ in rows:
+        own = (text or "").split()
+        if own:
+            edits += _table_distance(own, (text or "").replace("e", "").split())
+            words += len(own)
+    got = catalogue.QUERIES["q_wer_micro"](spark, str(tmp_path)).first()
+    assert (got["word_edits"], got["reference_words"]) == (edits, words)
