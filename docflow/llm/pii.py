@@ -1,8 +1,8 @@
 """Personal data by exact forms and bootstrapped contexts.
 
 The exact forms (e-mail, IP, card, phone) are the seeds. Around them stand
-lexical patterns: the two words before an entity. Tokens that look like an
-entity of a kind but miss its exact form are unseen candidates. Patterns and
+lexical patterns: the two words before an entity. What looks like an entity of
+a kind (of each of the four) but misses its exact form is an unseen candidate. Patterns and
 instances form a graph; Spark scores it in rounds: a pattern is as good as the
 instances it has, an instance as good as the best patterns that have it, seeds
 are certain. Patterns that end with a high confidence and enough distinct seeds
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docflow.llm.common import durable, need, table
 from docflow.llm.neardup import _chunks
@@ -43,11 +44,17 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]++)(?:(\.[0-9]++)(\.[0-9]++)(\.[0-9]++))?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens like an entity of a kind; the exact forms are taken out before.
-LIKE = re.compile(
-    r"(?P<email>[^\s@<>\"]{1,64}@[^\s@<>\"]{2,255})"
-    r"|(?P<phone>\(?\+?[0-9](?:[().-]{0,2}[0-9]){6,14}(?![0-9.-]*[A-Za-z]))"
-)
+#: Loose forms of each kind, after white space; the exact forms are taken out before. What
+#: fits several kinds is a candidate of each, and the patterns' scores decide.
+LIKE = {
+    "email": re.compile(r"(?<!\S)[^\s@<>\"]{1,64}@[^\s@<>\"]{2,255}"),
+    "ip": re.compile(
+        r"(?<!\S)(?:(?=:{0,2}[0-9A-Fa-f])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?:(?<=[0-9A-Fa-f])|(?<=::))(?:\.[0-9]{1,3}){0,3}"
+        r"|[0-9]{1,4}(?:\.[0-9]{1,4}){3,5})(?![0-9A-Za-z])"
+    ),
+    "card": re.compile(r"(?<!\S)[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9]|[0-9A-Za-z])"),
+    "phone": re.compile(r"(?<!\S)\(?\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![().-]{0,2}[0-9])(?![0-9.-]{0,20}[A-Za-z])"),
+}
 DIGIT = re.compile(r"[0-9]")
 BEFORE = re.compile(r"[^\s]+")
 REACH = 60
@@ -139,19 +146,21 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         pattern = context(text, a)
         if pattern:
             out.append((kind, pattern, text[a:b], True, a, b))
-    if "@" in text or DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        i, last = 0, 0
-        for m in LIKE.finditer(text):
+    taken = sorted((a, b) for _, a, b in base)
+    numbers = DIGIT.search(text) is not None
+    for kind, form in LIKE.items():
+        if not ("@" in text if kind == "email" else numbers or (kind == "ip" and "::" in text)):
+            continue
+        i = 0
+        for m in form.finditer(text):
             a, b = m.span()
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
-            if (i < len(taken) and taken[i][0] < b) or a < last:
+            if i < len(taken) and taken[i][0] < b:
                 continue
             pattern = context(text, a)
             if pattern:
-                out.append((m.lastgroup, pattern, m[0], False, a, b))
-                last = b
+                out.append((kind, pattern, m[0], False, a, b))
     return out
 
 
@@ -246,14 +255,34 @@ def learn(seen: DataFrame) -> DataFrame:
 def added_spans(seen: DataFrame) -> DataFrame:
     """(text_key, added): spans of unseen candidates that accepted patterns have, per text."""
     fresh = seen.select("text_key", F.explode("seen").alias("s")).where("NOT s.seed")
+    order = F.array(*[F.lit(k) for k in KINDS])
+    kept = F.array().cast(SPANS)
     return (
         fresh.select("text_key", "s.kind", "s.pattern", "s.start", "s.end")
-        .join(learn(seen), ["kind", "pattern"], "left_semi")
+        .join(learn(seen), ["kind", "pattern"])
         .groupBy("text_key")
-        .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+        .agg(
+            F.array_sort(
+                F.collect_set(
+                    F.struct(
+                        (-F.col("confidence")).alias("rank"),
+                        F.array_position(order, F.col("kind")).alias("place"),
+                        F.struct("kind", "start", "end").alias("span"),
+                    )
+                )
+            ).alias("found")
+        )
+        .select("text_key", F.array_sort(F.aggregate("found", kept, _with_span)).alias("added"))
     )
 
 
+def _with_span(kept, found):
+    """Of overlapping candidates the one with the better pattern stays."""
+    span = found["span"]
+    free = ~F.exists(kept, lambda k: (k["start"] < span["end"]) & (span["start"] < k["end"]))
+    return F.when(free, F.array_append(kept, span)).otherwise(kept)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base and added spans (arrays of kind, start, end) of every row."""
     seen = durable(scan(docs))
@@ -273,7 +302,7 @@ def redact(docs: DataFrame, key: str = "text") -> DataFrame:
     seen = durable(scan(docs))
     added = durable(added_spans(seen))
     n = added.count()
-    names, kind = docs.columns, docs.schema
+    names, kind = docs.columns, StructType([*docs.schema.fields])
     at = names.index(key)
     rows = docs.withColumn("__added", F.lit(None).cast(SPANS))
     if n:

@@ -97,3 +97,29 @@ def test_odd_rows(odd_docs, no_docs):
     same = pii.redact(odd_docs)
     assert same.columns == odd_docs.columns and sorted(map(str, same.collect())) == sorted(map(str, odd_docs.collect()))
     assert pii.find(no_docs).collect() == [] and pii.redact(no_docs).collect() == []
+
+
+def test_every_kind_has_candidates(spark):
+    def card(i):
+        body = f"4111 1111 1111 {i:03d}"
+        return next(body + str(d) for d in range(10) if pii.luhn((body + str(d)).replace(" ", "")))
+
+    rows = [(i, f"So the server address is 10.0.0.{i} here.") for i in range(30)]
+    rows += [(100 + i, f"Now please charge card {card(i)} here.") for i in range(30)]
+    rows += [(200 + i, f"Then call me at +1 212 555 01{i:02d} here.") for i in range(30)]
+    wrong = card(7)[:-1] + str((int(card(7)[-1]) + 1) % 10)
+    want = {
+        900: ("ip", "So the server address is ", "2001:db8::1"),
+        901: ("ip", "So the server address is ", "fe80::"),
+        902: ("ip", "So the server address is ", "300.1.2.3"),
+        903: ("card", "Now please charge card ", wrong),
+        904: ("phone", "Then call me at ", "212 555 0177"),
+    }
+    rows += [(i, f"{before}{x} today.") for i, (_, before, x) in want.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.find(docs).collect()}
+    for i, (kind, before, x) in want.items():
+        assert found[i] == [(kind, len(before), len(before) + len(x))]
+    assert not any(v for k, v in found.items() if k not in want)
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert out[900] == "So the server address is [IP] today." and out[904] == "Then call me at [PHONE] today."
