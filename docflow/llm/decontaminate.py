@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Word n-grams of the test items are seeds. Rarity comes from the corpus: a seed
-is used if, by the corpus frequencies of its words, fewer than ``EXPECTED``
-places would have it by chance. So copies of a leaked passage, however many,
-don't make its own seeds look common. Passages around seed hits are aligned
-with the item by Smith-Waterman over words; a document is contaminated by an
+is used if, by the corpus frequencies of its words, at most ``EXPECTED`` of
+``SEED_WORDS`` places would have it by chance, however large the corpus is: an
+item's seeds don't thin out as it grows. Copies
+of a leaked passage, however many, don't make its own seeds look common.
+Passages around seed hits are aligned with the item by Smith-Waterman over words; a document is contaminated by an
 item if the aligned score reaches ``SHARE`` of the item's perfect score, which
 also finds edited copies.
 
@@ -34,6 +35,8 @@ from docflow.llm.neardup import WordHash, _chunks, mix
 
 N = 3
 EXPECTED = 1.0
+#: Words that chance places are counted in; a smaller corpus counts as it is.
+SEED_WORDS = 4_000_000
 SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of items that one block holds.
@@ -165,7 +168,7 @@ def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
     at = np.searchsorted(vocabulary, parts)
     at[at == len(vocabulary)] = 0
     p = np.where(parts == 0, 1.0, share[at])
-    rare = total * p.prod(axis=1) <= EXPECTED
+    rare = min(total, SEED_WORDS) * p.prod(axis=1) <= EXPECTED
     without = np.setdiff1d(items.owners, items.owners[rare])
     rare |= np.isin(items.owners, without)
     return Items(items.ids, items.words, items.seeds[rare], items.owners[rare], items.places[rare])

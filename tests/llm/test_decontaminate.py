@@ -82,3 +82,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count() - 3
     assert d.contaminated(no_docs, items).collect() == []
     assert d.contaminated(odd_docs, items.limit(0)).collect() == []
+
+
+def test_seeds_do_not_thin_out(monkeypatch):
+    """With the same word shares, an item keeps the same seeds in a corpus of any size."""
+    text = " ".join(f"w{i % 40}" for i in range(0, 400, 7))
+    items, parts = d._items([{"item_id": 1, "text": text}])
+
+    def seeds(times):
+        def counts(docs, vocabulary):
+            return {int(w): times * (200 + 800 * i) for i, w in enumerate(vocabulary)}, times * 4_000_000
+
+        monkeypatch.setattr(d, "_frequencies", counts)
+        return d._rare(items, parts, None).seeds.tolist()
+
+    assert 0 < len(seeds(1)) and seeds(1) == seeds(1200)
