@@ -33,9 +33,20 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
-def _rows(cells: Column, rows: Column, row: callable) -> Column:
-    """``row`` of each table row's cells, in order."""
-    return F.transform(F.sequence(F.lit(0), rows - 1), lambda r: row(F.filter(cells, lambda c: c["r"] == r)))
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once per row, also inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _rows(cells: Column, record: Column, row: callable) -> Column:
+    """``row`` of each table row's cells, in order; the cells are row-major and all there."""
+    width = record["columns"]
+    return F.transform(F.sequence(F.lit(0), record["rows"] - 1), lambda r: row(F.slice(cells, r * width + 1, width)))
+
+
+def cells_of(record: Column, cells: Column) -> Column:
+    """A renderable table's own cells out of its page's."""
+    return F.slice(cells, record["first"] + 1, record["rows"] * record["columns"])
 
 
 def table(record: Column, cells: Column) -> Column:
@@ -53,7 +64,7 @@ def table(record: Column, cells: Column) -> Column:
         F.array_join(
             _rows(
                 cells,
-                record["rows"],
+                record,
                 lambda own: F.concat(
                     F.lit("<tr>"), F.array_join(F.transform(F.filter(own, lambda c: c["kind"] != "span"), tagged), ""), F.lit("</tr>\n")
                 ),
@@ -62,13 +73,16 @@ def table(record: Column, cells: Column) -> Column:
         ),
         F.lit("</table>"),
     )
-    lines = _rows(cells, record["rows"], lambda own: _line(F.transform(own, lambda c: table_cell(c["text"]))))
+    lines = _rows(cells, record, lambda own: _line(F.transform(own, lambda c: table_cell(c["text"]))))
     rule = _line(F.array_repeat(F.lit("---"), record["columns"]))
-    headed = F.forall(F.filter(cells, lambda c: c["r"] == 0), lambda c: c["kind"] == "column-header")
+    headed = F.forall(F.slice(cells, 1, record["columns"]), lambda c: c["kind"] == "column-header")
     blank = _line(F.array_repeat(F.lit(""), record["columns"]))
-    plain = F.when(
-        headed, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 100000)), "\n")
-    ).otherwise(F.array_join(F.concat(F.array(blank, rule), lines), "\n"))
+    plain = _bound(
+        lines,
+        lambda own: F.when(
+            headed, F.array_join(F.concat(F.slice(own, 1, 1), F.array(rule), F.slice(own, 2, record["rows"])), "\n")
+        ).otherwise(F.array_join(F.concat(F.array(blank, rule), own), "\n")),
+    )
     return (
         F.when(~F.coalesce(record["renderable"], F.lit(False)), UNSUPPORTED_TABLE)
         .when(F.exists(cells, lambda c: (c["rs"] > 1) | (c["cs"] > 1)), html)
@@ -77,7 +91,8 @@ def table(record: Column, cells: Column) -> Column:
 
 
 def _items(element: Column, elements: Column) -> Column:
-    own = F.filter(elements, lambda e: e["parent"] == element["ordinal"])
+    below = F.slice(elements, element["ordinal"] + 2, element["below"])
+    own = F.filter(below, lambda e: e["parent"] == element["ordinal"])
     ordered = element["kind"] == "ordered-list"
 
     def item(child: Column, i: Column) -> Column:
@@ -92,14 +107,18 @@ def element(e: Column, parsed: Column, picture: Column) -> Column:
     """Markdown of one top-level element."""
     kind, text = e["kind"], escape(e["text"])
     flat = escape(F.regexp_replace(e["text"], r"[\r\n]", " "))
-    own = F.filter(parsed["cells"], lambda c: c["table"] == e["table"])
+
+    def tabled(record: Column) -> Column:
+        own = F.when(record["renderable"], cells_of(record, parsed["cells"])).otherwise(F.slice(parsed["cells"], 1, 0))
+        return _bound(own, lambda cells: table(record, cells))
+
     return (
         F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), e["level"] + 1), F.lit(" "), flat))
         .when(kind == "title", F.concat(F.lit("# "), flat))
         .when(kind.isin("text", "page-footer", "page-header", "footnote"), text)
         .when(kind == "list-item", F.concat(F.lit("- "), text))
         .when(kind.isin("ordered-list", "unordered-list"), _items(e, parsed["elements"]))
-        .when(kind == "table", table(F.get(parsed["tables"], e["table"]), own))
+        .when(kind == "table", _bound(F.get(parsed["tables"], e["table"]), tabled))
         .when(kind == "picture", F.concat(F.lit("![Picture]("), picture, F.lit(")")))
         .otherwise(UNSUPPORTED)
     )
