@@ -11,15 +11,20 @@ no per-partition remainders.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docflow.llm.common import durable, need, table
+from docflow.llm.words import bytes_of, chunks, hasher, spans
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -29,9 +34,10 @@ BACKTRACKS = 60
 #: Branches kept for one bin, and pieces from which on all branches are kept.
 MOST_FILLINGS = 3
 FEW_PIECES = 40
-#: Distinct words of a generation that a worker keeps with their ids; it keeps two.
-WORD_CACHE = 300_000
-CORE_CACHE = 600_000
+#: Distinct words that a worker keeps with their ids, some 50 bytes each: 25 MB.
+WORD_CACHE = 500_000
+#: Words that are looked up at once.
+WORD_BLOCK = 1 << 19
 #: Rows of one (length, bucket) group that is sorted together, about.
 RANK_GROUP = 1000
 RANK_BUCKETS = 4096
@@ -42,88 +48,140 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ---------------------------------------------------------------- tokenising
 
 
+#: Byte-level tokenizers write printable Latin-1 bytes as themselves, the others as 256, 257, ... in order.
+_ODD = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_ODD)}
+
+
 class WordEncoder:
-    """Token ids of a text, word by word, with a bounded cache.
+    """Token ids of texts, word by word, with a cache of bounded size.
 
     The tokenizer splits at white space before it does anything that looks
     across characters, so a text's ids are those of its words in turn. Words
     are cut at ASCII blanks only; any other space stays inside a word and is
-    left to the tokenizer. Unknown words of letters with trailing punctuation
-    are encoded in bulk: each such word ends in exactly one word-end token.
+    left to the tokenizer. Words are found and told apart by two 64-bit hashes;
+    only distinct words that the cache lacks become Python strings.
+
+    Words of ASCII or Latin-1 letters with plain punctuation behind are split:
+    their letters have no other form under NFC and one lower case, so the ids
+    are those of the letters and of the punctuation, and the letters' bytes go
+    to the BPE model directly, in the signs that byte-level tokenizers have for
+    them. All others go to the tokenizer whole.
     """
 
-    TAIL = ".,!#*%&$;:?)"
+    SPLIT = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!#*%&$;:?)]*)")
 
     def __init__(self, path: str, limit: int = WORD_CACHE):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        for i in range(0, len(cores), 5000):
-            part = cores[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                raw, last = ids.tobytes(), 0
-                for core, stop in zip(part, (4 * stops).tolist(), strict=True):
-                    self.cores[core] = raw[last:stop]
-                    last = stop
-            else:
-                for core in part:
-                    self.cores[core] = self._ids(core)
-
-    def learn(self, words: set[str]) -> None:
-        """Put the words' ids into the cache."""
-        if len(self.words) > self.limit:
-            self.words, self.old_words = {}, self.words
-        if len(self.cores) > max(self.limit, CORE_CACHE):
-            self.cores, self.old_cores = {}, self.cores
-        split, odd = [], []
-        for word in words:
-            if word in self.old_words:
-                self.words[word] = self.old_words[word]
+        self.tails: dict[str, list[int]] = {"": []}
+        self.first = np.zeros(0, np.uint64)  # sorted hashes of the cached words
+        self.second = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)  # where a word's ids begin
+        self.size = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of any text by the tokenizer itself."""
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words."""
+        split = [self.SPLIT.fullmatch(w) for w in words]
+        cores = {m[1].lower() for m in split if m}
+        model = self.tokenizer.model
+        known = {c: [t.id for t in model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_SIGNS))] for c in cores}
+        rest = [w for w, m in zip(words, split) if not m]
+        for i in range(0, len(rest), 2000):
+            part = rest[i : i + 2000]
+            # pretokenized: each word goes through normal form and splitting by itself
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, of = got.ids, np.array(got.word_ids, dtype=np.int64)
+            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        out = []
+        for word, m in zip(words, split):
+            if m is None:
+                out.append(known[word])
                 continue
-            core = word.rstrip(self.TAIL)
-            if core.isalpha():
-                split.append((word, core.lower(), word[len(core) :]))
-            else:
-                odd.append(word)
-        cores = {core for _, core, _ in split}.difference(self.cores)
-        again = cores.intersection(self.old_cores)
-        self.cores.update((core, self.old_cores[core]) for core in again)
-        self._learn_cores(list(cores - again))
-        tails = {tail: self._ids(tail) if tail else b"" for tail in {tail for _, _, tail in split}}
-        for word, core, tail in split:
-            self.words[word] = self.cores[core] + tails[tail]
-        for word in odd:
-            self.words[word] = self._ids(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [
-            text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else [] for text in texts
-        ]
-        every = set().union(*split)
-        new = every.difference(self.words)
-        if new:
-            # if the cache is about to turn, all words of these texts move on
-            self.learn(every if len(self.words) > self.limit else new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            tail = m[2]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": []}
+                self.tails[tail] = self.plain(tail)
+            out.append(known[m[1].lower()] + self.tails[tail])
+        return out
+
+    def _forget(self) -> None:
+        """Keep the more frequently used half of the words."""
+        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) - self.limit // 2 :])
+        ids = _ragged(self.ids, self.at[keep], self.size[keep])
+        self.first, self.second, self.size = self.first[keep], self.second[keep], self.size[keep]
+        self.used = self.used[keep] >> 1
+        self.at, self.ids = np.cumsum(self.size) - self.size, ids
+
+    def _put(self, first: np.ndarray, second: np.ndarray, found: list[list[int]]) -> None:
+        clash = np.isin(self.first, first)
+        if clash.any():  # the same first hash, another word: the new one takes the place
+            self.first, self.second, self.at, self.size, self.used = (
+                x[~clash] for x in (self.first, self.second, self.at, self.size, self.used)
+            )
+        size = np.array([len(x) for x in found], dtype=np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        where = np.searchsorted(self.first, first)
+        self.first, self.second = np.insert(self.first, where, first), np.insert(self.second, where, second)
+        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.used = np.insert(self.used, where, 0)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+
+    def _block(self, raw: bytes, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, second: np.ndarray):
+        """Ids of a row of words, and each word's number of ids."""
+        some, at, back, times = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
+        if (second[at][back] != second).any():  # two words of one hash among these
+            found = self.learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), stops.tolist())])
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+        if len(self.first) > self.limit:
+            self._forget()
+        place = np.searchsorted(self.first, some)
+        held = np.zeros(len(some), dtype=bool)
+        inside = np.flatnonzero(place < len(self.first))
+        own = place[inside]
+        held[inside] = (self.first[own] == some[inside]) & (self.second[own] == second[at[inside]])
+        fresh = np.flatnonzero(~held)
+        if len(fresh):
+            spots = at[fresh]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[spots].tolist(), stops[spots].tolist())]
+            self._put(some[fresh], second[spots], self.learn(words))
+            place = np.searchsorted(self.first, some)
+        self.used[place] += times
+        size = self.size[place][back]
+        return _ragged(self.ids, self.at[place][back], size), size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end; null is empty."""
+        data, offsets = bytes_of(texts)
+        starts, stops = spans(data, offsets)
+        ends = np.searchsorted(starts, offsets)
+        raw = data.tobytes()
+        ids, sizes = [], []
+        for i in range(0, len(starts), WORD_BLOCK):
+            a, b = starts[i : i + WORD_BLOCK], stops[i : i + WORD_BLOCK]
+            hashes = [hasher(seed, False).hashes(data, a, b) for seed in (2, 3)]
+            own, size = self._block(raw, a, b, *hashes)
+            ids.append(own)
+            sizes.append(size)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), total[ends[1:]]
+
+
+def _ragged(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[a : a + n] for each a and n, in a row."""
+    begin = np.cumsum(size) - size
+    return values[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -136,19 +194,6 @@ def encoder_of(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
-    """A batch as lists of ids and texts of about ``most`` characters each."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield ids[start : i + 1], texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(ids):
-        yield ids[start:], texts[start:]
-
-
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False
 ) -> DataFrame:
@@ -161,28 +206,34 @@ def tokenize_pieces(
     """
     schema = PIECE_SCHEMA + (", token_ids array<long>" if keep_ids else "")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     if keep_ids:
-        names, kinds = [*names, "token_ids"], [*kinds, pa.list_(pa.int64())]
+        names.append("token_ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        end, width = np.array([SEPARATOR_ID], dtype="<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            for ids, texts in _slices(batch, 4_000_000):
-                out: list[list] = [[] for _ in names]
-                for doc_id, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-                    raw += end
-                    for piece, at in enumerate(range(0, len(raw), width)):
-                        part = raw[at : at + width]
-                        row = [doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)]
-                        if keep_ids:
-                            row.append(np.frombuffer(part, dtype="<u4").tolist())
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=names
-                )
+        for batch in chunks(batches):
+            ids, stops = encoder.encode(batch.column(1))
+            ids = np.insert(ids, stops, SEPARATOR_ID).astype("<u4")
+            stops = stops + np.arange(1, len(stops) + 1)
+            sizes = np.diff(stops, prepend=0)
+            pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            begin = (stops - sizes)[row] + start
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist())]
+            columns = [
+                batch.column(0).take(pa.array(row)),
+                pa.array(piece, pa.int32()),
+                pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()),
+                pa.array(crc, pa.int64()),
+            ]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *(begin + length).tolist()], pa.int32()), pa.array(ids.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return need(docs, doc_id="long", text="string").mapInArrow(cut, schema)
 
@@ -412,7 +463,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at = _intervals(bin_completion(counts, capacity))
     ranked = _ranked(pieces, sum(counts.values()))
     columns = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # lexicographic search by (length, first) in one sorted key
