@@ -2,7 +2,8 @@
 
 One pass over the texts gives each document a sketch of ``REGISTERS`` 16-bit
 registers (leading-zero count and mantissa of the smallest shingle hash of a
-bucket). Documents with equal sets collapse into classes before anything is
+bucket) and its sorted shingle hashes; both are stored, and no text is read
+again. Documents with equal sets collapse into classes before anything is
 compared. Banded registers propose pairs: first a star from each band bucket's
 hub, and then, only where a bucket still spans several components, the pairs
 across components. A collision-corrected estimate drops pairs that are far from
@@ -18,7 +19,8 @@ sequence as its one shingle; without words its set is empty and it is linked
 with nothing (its component is its own doc_id). Equal rows get equal results.
 Rows with a null doc_id count as members of their component but never name it;
 a component of null ids only has a null component_id and is kept. Two rows with
-one doc_id but different texts are judged by their texts.
+one doc_id but different texts are judged by their texts; ``keep_one`` keeps the
+one of the smaller (doc_id, hash of the text), ids before null.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.common import durable, need, table
 from docflow.llm.components import components
+from docflow.llm.words import as_binary, chunks, mix, words_of
 
 #: Registers, their mantissa bits, and registers in a band.
 BUCKET_BITS = 7
@@ -51,60 +55,43 @@ CORE_HUBS = 4
 #: Hashes of a block's outside classes, and of the part of the family it is compared with.
 OUTSIDE_HASHES = 100_000
 FAMILY_HASHES = 400_000
-WORD_CACHE = 500_000
-CHUNK_CHARS = 3_000_000
+#: And their classes, which bound a block's table of intersections to some 32 MB.
+OUTSIDE_CLASSES = 1000
+FAMILY_CLASSES = 4000
 
-_C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_ODD = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (two multiplications with shifts)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _weight(i: int) -> np.uint64:
+    return _ODD[i % 64] * np.uint64(2 * (i // 64) + 1)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept until there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_sets(texts: list[str], size: int, words: WordHash) -> list[np.ndarray]:
-    """Per text its sorted distinct shingle hashes."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    lengths = [len(x) for x in split]
-    get = words.__getitem__
-    flat = np.fromiter((get(w) for x in split for w in x), dtype=np.uint64, count=sum(lengths))
-    weights = [mix(np.full(1, i + 1, dtype=np.uint64) * _C1)[0] | np.uint64(1) for i in range(size)]
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts in a row, and each text's number of them."""
+    words = words_of(texts)
+    flat, ends = words.hashes, words.ends
     with np.errstate(over="ignore"):
-        if len(flat) >= size:
-            rolled = flat[: len(flat) - size + 1] * weights[0]
-            for i in range(1, size):
-                rolled = mix(rolled ^ (flat[i : len(flat) - size + 1 + i] * weights[i]))
-            rolled = mix(rolled + _C2)
-        out, at = [], 0
-        for n in lengths:
-            if n >= size:
-                out.append(np.unique(rolled[at : at + n - size + 1]))
-            elif n:
-                own = flat[at : at + n].copy()
-                value = np.full(1, n, dtype=np.uint64) * _C3
-                for i in range(n):
-                    value = mix(value ^ (own[i : i + 1] * weights[i]))
-                out.append(value)
+        rolled = np.zeros(max(0, len(flat) - size + 1), dtype=np.uint64)
+        for i in range(size if len(rolled) else 0):
+            rolled += flat[i : len(flat) - size + 1 + i] * _weight(i)
+        rolled = mix(rolled)
+        sets, counts = [], np.zeros(len(texts), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if b - a >= size:
+                own = np.sort(rolled[a : b - size + 1])
+                new = np.ones(len(own), dtype=bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                own = own[new]
+            elif b > a:  # the whole sequence, told from longer ones by its length
+                own = np.array([(b - a) * 0x9E3779B97F4A7C15 % 2**64], dtype=np.uint64)
+                for i_word in range(b - a):
+                    own += flat[a + i_word : a + i_word + 1] * _weight(i_word)
+                own = mix(own)
             else:
-                out.append(flat[:0])
-            at += n
-    return out
+                continue
+            sets.append(own)
+            counts[i] = len(own)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), counts
 
 
 def _probes() -> np.ndarray:
@@ -116,28 +103,37 @@ def _probes() -> np.ndarray:
 PROBES = _probes()
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Registers of one set of sorted distinct hashes, empty buckets filled by borrowing.
+def sketches_of(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Registers of sets of sorted distinct hashes, a row per set; all zero for an empty set.
 
     The leading bits choose the bucket, so the first hash of a bucket is its
     smallest. A register holds the leading zeros of the other bits plus one, and
-    the bits that follow the leading one.
+    the bits that follow the leading one. Empty buckets borrow from others.
     """
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = (hashes[first] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits, exact as doubles
+    out = np.zeros((len(counts), REGISTERS), dtype="<u2")
+    have = np.zeros((len(counts), REGISTERS), dtype=bool)
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = row * REGISTERS + (flat >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    rest = (flat[first] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits, exact as doubles
     mantissa, exponent = np.frexp(rest.astype(np.float64))
     zeros = np.minimum(53 - exponent, 62)
     register = ((zeros + 1) << MANTISSA_BITS) | np.floor(
         np.maximum(2 * mantissa - 1, 0) * (1 << MANTISSA_BITS)
     ).astype(np.int64)
-    full = np.zeros(REGISTERS, dtype="<u2")
-    have = np.zeros(REGISTERS, dtype=bool)
-    full[bucket[first]], have[bucket[first]] = register, True
-    if not have.all():
-        empty = np.flatnonzero(~have)
-        full[empty] = full[PROBES[empty, have[PROBES[empty]].argmax(axis=1)]]
-    return full.tobytes()
+    out.reshape(-1)[place[first]], have.reshape(-1)[place[first]] = register, True
+    rows, empty = np.nonzero(~have & (counts > 0)[:, None])
+    for i in range(0, len(rows), 20_000):
+        r, e = rows[i : i + 20_000], empty[i : i + 20_000]
+        order = PROBES[e]
+        source = order[np.arange(len(e)), have[r[:, None], order].argmax(axis=1)]
+        out[r, e] = out[r, source]
+    return out
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Registers of one set of sorted distinct hashes."""
+    return sketches_of(hashes, np.array([len(hashes)])).tobytes()
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -145,42 +141,44 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or "")
-            if size >= CHUNK_CHARS or i + 1 == len(texts):
-                yield ids[start : i + 1], texts[start : i + 1]
-                start, size = i + 1, 0
-
+def sketches(docs: DataFrame, size: int, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, fp, sketch, hashes (the set) of each document; the last three null for empty sets.
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, fp, sketch of each document; fp and sketch null for empty sets."""
+    With ``keys`` two 64-bit hashes of the text, k1 and k2, follow.
+    """
+    rows = need(docs, doc_id="long", text="string")
+    names = ["doc_id", "n_shingles", "fp", "sketch", "hashes"]
+    schema = "doc_id long, n_shingles long, fp long, sketch binary, hashes binary"
+    if keys:
+        rows = rows.select("doc_id", "text", *text_keys(F.col("text")))
+        names, schema = [*names, "k1", "k2"], f"{schema}, k1 long, k2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
-        for ids, texts in _chunks(batches):
-            sets = shingle_sets(texts, size, words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64()),
-                    pa.array([sketch(x) if len(x) else None for x in sets], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "fp", "sketch"],
-            )
+        for batch in chunks(batches):
+            flat, counts = shingle_sets(batch.column(1), size)
+            none = pa.array(counts == 0)
+            cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            fps = pa.array([fingerprint(flat[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())
+            columns = [
+                batch.column(0),
+                pa.array(counts),
+                pc.if_else(none, None, fps),
+                pc.if_else(none, None, as_binary(sketches_of(flat, counts).reshape(-1), np.full(len(counts), REGISTERS))),
+                pc.if_else(none, None, as_binary(flat, counts)),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
 
-    return need(docs, doc_id="long", text="string").mapInArrow(
-        run, "doc_id long, n_shingles long, fp long, sketch binary"
-    )
+    return rows.mapInArrow(run, schema)
+
+
+def text_keys(text):
+    """Two independent 64-bit hashes of a text as columns k1 and k2."""
+    return [F.xxhash64(F.lit(i), text).alias(f"k{i}") for i in (1, 2)]
 
 
 def _slot(fp: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(fp.astype(np.uint64) ^ (doc_id.astype(np.uint64) * _C1)) % np.uint64(64 * FILTER_WORDS)
+        return mix(fp.astype(np.uint64) ^ (doc_id.astype(np.uint64) * _ODD[0])) % np.uint64(64 * FILTER_WORDS)
 
 
 def _wanted_filter(wanted: DataFrame) -> np.ndarray:
@@ -210,28 +208,20 @@ def _wanted_filter(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _wanted_sets(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """fp and full set (sorted 64-bit hashes) of the classes in ``wanted`` (fp, lo), perhaps more."""
-    shared = docs.sparkSession.sparkContext.broadcast(_wanted_filter(wanted))
+    shared = found.sparkSession.sparkContext.broadcast(_wanted_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHash(), shared.value
-        for ids, texts in _chunks(batches):
-            sets = shingle_sets(texts, size, words)
-            fps = np.array([fingerprint(x) for x in sets], dtype=np.int64)
-            own = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            at = _slot(fps.view(np.uint64), own.view(np.uint64))
+        bits = shared.value
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            at = _slot(fp.view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            chosen = [i for i in np.flatnonzero(hit).tolist() if len(sets[i])]
-            for start in range(0, len(chosen), 500):
-                part = chosen[start : start + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps[part]), pa.array([sets[i].tobytes() for i in part], pa.binary())],
-                    names=["fp", "hashes"],
-                )
+            yield batch.filter(pa.array(hit.astype(bool))).select([0, 2])
 
-    rows = need(docs, doc_id="long", text="string").mapInArrow(run, "fp long, hashes binary")
-    return rows.dropDuplicates(["fp"])
+    rows = found.where("fp IS NOT NULL").select("fp", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "hashes")
+    return rows.mapInArrow(run, "fp long, hashes binary").dropDuplicates(["fp"])
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -280,11 +270,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(found: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets; durable."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = ends.join(classes.select("fp", "lo"), "fp")
-    sets = durable(_wanted_sets(docs, wanted, size))  # read by both joins, so the texts are scanned once
+    sets = durable(_wanted_sets(found, wanted))  # read by both joins
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +324,7 @@ def _across_small(members: DataFrame, labels: DataFrame, classes: DataFrame, thr
 
 
 def _across_large(
-    docs: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, size: int, percent: int
+    found: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, percent: int
 ) -> DataFrame | None:
     """links with those across components inside larger buckets, or None where there is nothing to add.
 
@@ -371,15 +361,15 @@ def _across_large(
         .agg(F.max_by("fp", F.struct(F.coalesce("d", F.lit(0)), "fp")).alias("b"))
     )
     tries = durable(own.where("outside").select(F.col("fp").alias("a"), "family").join(hubs, "family").select("a", "b"))
-    links = durable(links.unionByName(_confirmed(docs, classes, tries, size, percent)))
+    links = durable(links.unionByName(_confirmed(found, classes, tries, percent)))
     own = placed(components(links))
 
     sized = own.join(classes.select("fp", "lo", "n_shingles"), "fp")
     whole = sized.groupBy("family").agg(
-        F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles")).otherwise(0)) / OUTSIDE_HASHES).alias("blocks"),
-        F.ceil(F.sum("n_shingles") / FAMILY_HASHES).alias("parts"),
+        F.ceil(F.sum(F.when(F.col("outside"), _load(OUTSIDE_HASHES, OUTSIDE_CLASSES)).otherwise(0.0))).alias("blocks"),
+        F.ceil(F.sum(_load(FAMILY_HASHES, FAMILY_CLASSES))).alias("parts"),
     )
-    sets = _wanted_sets(docs, sized.select("fp", "lo"), size)
+    sets = _wanted_sets(found, sized.select("fp", "lo"))
     dealt = durable(sized.join(whole.where("blocks > 0"), "family").join(sets, "fp"))
     one = F.array(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")))
     part = F.array(F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")))
@@ -397,8 +387,8 @@ def _across_large(
         fp = group.column("fp").to_numpy()
         label = group.column("label").to_numpy()
         sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("hashes")]
+        pairs: list[tuple[int, int]] = []
         x, y = np.flatnonzero(first), np.flatnonzero(~first)
-        found: list[tuple[int, int]] = []
         if len(x) and len(y):
             both = overlaps([sets[i] for i in x], [sets[i] for i in y])
             nx, ny = (np.array([len(sets[i]) for i in z]) for z in (x, y))
@@ -407,13 +397,18 @@ def _across_large(
             for i, j in enumerate(near):
                 hits = y[np.flatnonzero(j)]
                 for k in np.unique(label[hits], return_index=True)[1]:
-                    found.append((int(fp[x[i]]), int(fp[hits[k]])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+                    pairs.append((int(fp[x[i]]), int(fp[hits[k]])))
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     extra = pieces.groupBy("family", "block", "part").applyInArrow(compare, "a long, b long")
     return durable(links.unionByName(extra))
 
 
+def _load(hashes: int, classes: int):
+    """A class's share of a block, by its hashes or as one of the block's classes."""
+    return F.greatest(F.col("n_shingles") / hashes, F.lit(1.0 / classes))
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of membership matrices."""
     owner_l = np.repeat(np.arange(len(left)), [len(s) for s in left])
@@ -450,8 +445,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Links join documents whose sets of ``size``-word shingles have
     100 * intersection >= percent * union. The default is five words and 0.8.
     """
-    threshold = percent / 100
     found = durable(sketches(docs, size))
+    classes, labels = _linked(found, percent)
+    named = classes.select("fp", "lo").join(labels, "fp")
+    lowest = named.groupBy("label").agg(F.min("lo").alias("component"))
+    component = named.join(lowest, "label").select("fp", "component")
+    return (
+        found.select("doc_id", "n_shingles", "fp")
+        .join(component, "fp", "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        )
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    )
+
+
+def _linked(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (fp, lo, n_shingles, sketch) of stored sketches, and their components (fp, label)."""
+    threshold = percent / 100
     classes = durable(
         found.where("fp IS NOT NULL")
         .groupBy("fp")
@@ -461,47 +474,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hubs = banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1")
     members = durable(banded.join(hubs, "key"))
     star = members.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(docs, classes, durable(_likely(star, classes, threshold)), size, percent)
+    links = _confirmed(found, classes, durable(_likely(star, classes, threshold)), percent)
     labels = components(links)
 
     more = _across_small(members, labels, classes, threshold)
     if more.take(1):
-        links = durable(links.unionByName(_confirmed(docs, classes, more, size, percent)))
+        links = durable(links.unionByName(_confirmed(found, classes, more, percent)))
         labels = components(links)
-    links = _across_large(docs, members, classes, links, labels, size, percent)
+    links = _across_large(found, members, classes, links, labels, percent)
     if links is not None:
         labels = components(links)
-
-    named = (
-        classes.select("fp", "lo")
+    return classes, (
+        classes.select("fp")
         .join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
         .withColumn("label", F.coalesce("label", "fp"))
     )
-    lowest = named.groupBy("label").agg(F.min("lo").alias("component"))
-    component = named.join(lowest, "label").select("fp", "component")
-    return (
-        found.select("doc_id", "n_shingles", "fp")
-        .join(component, "fp", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    )
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one of each component stays, columns unchanged.
 
-    Repeated rows are copies of each other, so of those one stays too. Rows
-    without words have no copies and all stay, once per doc_id and text.
+    A row is known by its doc_id and text, a component keeps the row of the
+    smallest doc_id (null last), and of rows that agree in both one stays. Rows
+    without words have no copies: they stay, once per doc_id and text. Texts are
+    shuffled once, after equal rows of a task are combined; the verdicts hold
+    hashes of texts only.
     """
-    names = docs.columns
-    key = F.xxhash64("text", F.lit(1))
-    found = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(*names)
+    found = durable(sketches(docs, size, keys=True))
+    _, labels = _linked(found, percent)
+    own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2"]
+    key = F.struct("no_id", "id", "k1", "k2")
+    rows = found.select("fp", *own)
+    best = rows.where("fp IS NOT NULL").join(labels, "fp").groupBy("label").agg(F.min(key).alias("key")).select("key.*")
+    bare = rows.where("fp IS NULL").select("no_id", "id", "k1", "k2").distinct()
+    kept = durable(best.unionByName(bare))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    id_of = F.col("`doc_id`").cast("long")
+    keyed = docs.select(
+        whole, id_of.isNull().alias("no_id"), F.coalesce(id_of, F.lit(0)).alias("id"), *text_keys(F.col("`text`").cast("string"))
+    )
+    once = keyed.groupBy("no_id", "id", "k1", "k2").agg(F.first("whole").alias("whole"))
+    return once.join(kept, ["no_id", "id", "k1", "k2"], "left_semi").select("whole.*")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
