@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.common import need, table
-from docflow.llm.neardup import WordHash, _chunks, mix
+from docflow.llm.words import chunks, mix
+from docflow.llm.words import words_of as hashed_words
 
 N = 3
 EXPECTED = 1.0
@@ -45,21 +46,30 @@ _EDGE = b".,;:!?\"'()[]{}<>*#%&$|"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class BareHash(WordHash):
-    """Hashes of words without the punctuation at their ends."""
+_STRIPPED = np.zeros(256, dtype=bool)
+_STRIPPED[list(_EDGE)] = True
 
-    def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word.strip(_EDGE) or word)
-        self[word] = value
-        return value
 
-
-def words_of(texts: list[str | None], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and where each text starts and the last ends."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-    get = hashes.__getitem__
-    return np.fromiter((get(w) for x in split for w in x), dtype=np.uint64, count=int(ends[-1])), ends
+    words = hashed_words(texts, _STRIPPED)
+    return words.hashes, words.ends
+
+
+def _mask(sorted_hashes: np.ndarray) -> np.ndarray:
+    """A small table over leading bits that most other hashes miss."""
+    out = np.zeros(1 << 20, dtype=bool)
+    out[(sorted_hashes >> np.uint64(44)).astype(np.int64)] = True
+    return out
+
+
+def _found(sorted_hashes: np.ndarray, mask: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``hashes`` are among the sorted ones, and where there."""
+    maybe = np.flatnonzero(mask[(hashes >> np.uint64(44)).astype(np.int64)])
+    at = np.searchsorted(sorted_hashes, hashes[maybe])
+    at[at == len(sorted_hashes)] = 0
+    hit = sorted_hashes[at] == hashes[maybe] if len(sorted_hashes) else np.zeros(len(maybe), bool)
+    return maybe[hit], at[hit]
 
 
 def grams(flat: np.ndarray, n: int = N) -> np.ndarray:
@@ -108,11 +118,12 @@ class Items:
     seeds: np.ndarray  # sorted
     owners: np.ndarray  # item per seed
     places: np.ndarray  # place of the seed in its item
+    mask: np.ndarray | None = None  # of the seeds, made where it is used
 
 
 def _items(rows: list) -> tuple[Items, np.ndarray]:
     """Items with all their seeds, and each seed's words (short seeds padded with 0)."""
-    flat, ends = words_of([r["text"] for r in rows], BareHash())
+    flat, ends = words_of(pa.array([r["text"] for r in rows], pa.string()))
     words = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     seeds, owners, places, own = [], [], [], []
     for i, w in enumerate(words):
@@ -138,13 +149,10 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
     """Corpus counts of the items' words (no more rows than words), and of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, total = BareHash(), np.zeros(len(vocabulary) + 1, dtype=np.int64), 0
-        for _, texts in _chunks(batches):
-            flat, _ = words_of(texts, hashes)
-            at = np.searchsorted(vocabulary, flat)
-            at[at == len(vocabulary)] = 0
-            hit = vocabulary[at] == flat
-            counts += np.bincount(at[hit], minlength=len(counts))
+        counts, total, mask = np.zeros(len(vocabulary) + 1, dtype=np.int64), 0, _mask(vocabulary)
+        for batch in chunks(batches):
+            flat, _ = words_of(batch.column(1))
+            counts += np.bincount(_found(vocabulary, mask, flat)[1], minlength=len(counts))
             total += len(flat)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -176,13 +184,12 @@ def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
 
 def _hits(flat: np.ndarray, ends: np.ndarray, items: Items, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of n-grams that are seeds and stay within one text, and the seeds' first numbers."""
-    g = grams(flat, n)
-    at = np.searchsorted(items.seeds, g)
-    at[at == len(items.seeds)] = 0
-    places = np.flatnonzero(items.seeds[at] == g)
+    if items.mask is None:
+        items.mask = _mask(items.seeds)
+    places, at = _found(items.seeds, items.mask, grams(flat, n))
     text = np.searchsorted(ends, places, side="right") - 1
     inside = places + n <= ends[text + 1]
-    return places[inside], at[places[inside]]
+    return places[inside], at[inside]
 
 
 def _matches(flat: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple]:
@@ -257,11 +264,12 @@ def _marked(docs: DataFrame, rows: list) -> DataFrame:
     shared = _prepared(docs, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, items = BareHash(), shared.value
-        for ids, texts in _chunks(batches):
+        items = shared.value
+        for batch in chunks(batches):
             if not len(items.seeds):
                 continue
-            got = _matches(*words_of(texts, hashes), items)
+            ids = batch.column(0).to_pylist()
+            got = _matches(*words_of(batch.column(1)), items)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[t] for t, *_ in got], pa.int64()),
@@ -294,17 +302,12 @@ def _without(docs: DataFrame, rows: list) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, items = BareHash(), shared.value
-        for batch in batches:
+        items = shared.value
+        for batch in chunks(batches, at):
             keep = np.ones(batch.num_rows, dtype=bool)
-            texts = batch.column(at).to_pylist()
             if len(items.seeds):
-                done = 0
-                one = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), batch.column(at)], ["i", "t"])
-                for ids, part in _chunks(iter([one])):
-                    for t, *_ in _matches(*words_of(part, hashes), items):
-                        keep[done + t] = False
-                    done += len(ids)
+                for t, *_ in _matches(*words_of(batch.column(at)), items):
+                    keep[t] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
