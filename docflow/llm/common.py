@@ -18,13 +18,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: written as a table to the shared checkpoint folder and read back.
 
     The folder comes from ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (tests, a single machine). A table, not an RDD
+    where the session names none and runs on a single machine. A table, not an RDD
     checkpoint: it survives lost executors alike, is compressed, has known sizes
     for join planning, and carries no constraints of the plan that made it, which
     would otherwise pile up over iterations.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/docflow-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -33,10 +33,13 @@ def durable(df: DataFrame) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """Where the cluster's machines share files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docflow-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -59,6 +62,14 @@ def need(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def unused(names: list[str], name: str) -> str:
+    """``name``, longer where a column has it already."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text):
     """Lower-case A-Z only, everything else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,12 +1,16 @@
 """Personal data by exact forms and bootstrapped contexts.
 
 The exact forms (e-mail, IP, card, phone) are the seeds. Around them stand
-lexical patterns: the two words before an entity. What looks like an entity of
-a kind (of each of the four) but misses its exact form is an unseen candidate. Patterns and
-instances form a graph; Spark scores it in rounds: a pattern is as good as the
-instances it has, an instance as good as the best patterns that have it, seeds
-are certain. Patterns that end with a high confidence and enough distinct seeds
-in enough documents give their unseen candidates as further spans.
+lexical patterns: the one to three words before an entity, those behind it, and
+the words next to it on both sides. What looks like an entity of a kind (of each
+of the four) but misses its exact form is an unseen candidate. Patterns and
+instances form a graph; Spark scores it in rounds: a pattern is as good as its
+instances on average, seeds are certain, and an unseen instance is worth
+``TRUST`` times its best pattern. So what unseen instances lend each other
+shrinks from step to step, the scores converge by that factor in each round, and
+``ROUNDS`` rounds leave less than a thousandth. Patterns that end with a high
+confidence and enough distinct seeds in enough documents give their unseen
+candidates as further spans.
 
 Each text is scanned once in time proportional to its length: every form is
 matched by an expression that never takes a character twice for one failure.
@@ -25,19 +29,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from docflow.llm.common import durable, need, table
-from docflow.llm.neardup import _chunks
+from docflow.llm.common import durable, need, table, unused
+from docflow.llm.words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-#: Scoring: rounds, least confidence, distinct seeds and documents of a pattern.
-ROUNDS = 3
+#: Words of a pattern on one side.
+WIDTH = 3
+#: Scoring: trust in unseen instances, rounds, least confidence, distinct seeds and documents of a pattern.
+TRUST = 0.5
+ROUNDS = 10
 CONFIDENCE = 0.9
 LEAST_SEEDS = 5
 LEAST_DOCS = 5
-#: Rows of added spans that may be broadcast to the texts.
-BROADCAST_ROWS = 100_000
+#: Bytes of added spans that may be broadcast to the texts.
+BROADCAST_BYTES = 16_000_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -56,8 +63,7 @@ LIKE = {
     "phone": re.compile(r"(?<!\S)\(?\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![().-]{0,2}[0-9])(?![0-9.-]{0,20}[A-Za-z])"),
 }
 DIGIT = re.compile(r"[0-9]")
-BEFORE = re.compile(r"[^\s]+")
-REACH = 60
+CLOSING = re.compile(r"[.,;:!?)]{0,3}")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -129,23 +135,33 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def context(text: str, start: int) -> str | None:
-    """The pattern at a place: the two words before it, lower-cased, digits as 0."""
-    words = BEFORE.findall(text[max(0, start - REACH) : start])
-    if start > REACH and words and not text[start - REACH - 1].isspace() and not text[start - REACH].isspace():
-        words = words[1:]  # cut by the reach
-    if len(words) < 2 or not text[start - 1].isspace():
-        return None
-    return DIGIT.sub("0", " ".join(words[-2:]).lower())
-
-
-def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, str, bool, int, int]]:
-    """(kind, pattern, instance, is seed, start, end) of seeds and of unseen candidates."""
-    out = []
-    for kind, a, b in base:
-        pattern = context(text, a)
-        if pattern:
-            out.append((kind, pattern, text[a:b], True, a, b))
+def _near(text: str, place: int, step: int) -> list[str]:
+    """Up to WIDTH whole words next to a place, the nearest first; step is -1 before it and 1 behind it."""
+    reach = 64
+    while True:
+        a, b = (max(0, place - reach), place) if step < 0 else (place, min(len(text), place + reach))
+        words = text[a:b].split()
+        at_end = a == 0 if step < 0 else b == len(text)
+        if at_end or len(words) > WIDTH:
+            break  # the last one seen may be cut and is one too many
+        reach *= 4
+    return words[: -WIDTH - 1 : -1] if step < 0 else words[:WIDTH]
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The patterns at a place, lower-cased, digits as 0; ``_`` stands for the entity."""
+    before = _near(text, start, -1) if start and text[start - 1].isspace() else []
+    after = CLOSING.match(text, end).end()  # an entity may close a clause
+    behind = _near(text, after, 1) if after < len(text) and text[after].isspace() else []
+    left = [" ".join(before[:n][::-1]) for n in range(1, len(before) + 1)]
+    right = [" ".join(behind[:n]) for n in range(1, len(behind) + 1)]
+    both = [f"{before[0]} _ {behind[0]}"] if before and behind else []
+    return [DIGIT.sub("0", x.lower()) for x in [*(f"{x} _" for x in left), *(f"_ {x}" for x in right), *both]]
+
+
+def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, list[str], str, bool, int, int]]:
+    """(kind, patterns, instance, is seed, start, end) of seeds and of unseen candidates."""
+    out = [(kind, patterns(text, a, b), text[a:b], True, a, b) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     numbers = DIGIT.search(text) is not None
     for kind, form in LIKE.items():
@@ -158,20 +174,18 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
                 i += 1
             if i < len(taken) and taken[i][0] < b:
                 continue
-            pattern = context(text, a)
-            if pattern:
-                out.append((kind, pattern, m[0], False, a, b))
+            out.append((kind, patterns(text, a, b), m[0], False, a, b))
     return out
 
 
-SEEN = "array<struct<kind:string,pattern:string,instance:string,seed:boolean,start:long,end:long>>"
+SEEN = "array<struct<kind:string,patterns:array<string>,instance:string,seed:boolean,start:long,end:long>>"
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _SEEN = pa.list_(
     pa.struct(
         [
             ("kind", pa.string()),
-            ("pattern", pa.string()),
+            ("patterns", pa.list_(pa.string())),
             ("instance", pa.string()),
             ("seed", pa.bool_()),
             ("start", pa.int64()),
@@ -185,11 +199,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base spans and occurrences of every row. No texts follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
+        for batch in chunks(batches):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             base = [base_spans(t or "") for t in texts]
             seen = [occurrences(t or "", s) for t, s in zip(texts, base, strict=True)]
             span = ("kind", "start", "end")
-            full = ("kind", "pattern", "instance", "seed", "start", "end")
+            full = ("kind", "patterns", "instance", "seed", "start", "end")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -216,7 +231,7 @@ def learn(seen: DataFrame) -> DataFrame:
     copies of a document count once. Instances are compared by hash.
     """
     rows = seen.select("text_key", F.explode("seen").alias("s")).select(
-        "text_key", "s.kind", "s.pattern", F.xxhash64("s.instance").alias("instance"), "s.seed"
+        "text_key", "s.kind", F.explode("s.patterns").alias("pattern"), F.xxhash64("s.instance").alias("instance"), "s.seed"
     )
     support = (
         rows.where("seed")
@@ -225,45 +240,42 @@ def learn(seen: DataFrame) -> DataFrame:
         .where((F.col("seeds") >= LEAST_SEEDS) & (F.col("docs") >= LEAST_DOCS))
         .select("kind", "pattern")
     )
-    edges = durable(
-        rows.groupBy("kind", "pattern", "instance")
-        .agg(F.max("seed").alias("seed"))
-        .join(support, ["kind", "pattern"])
-    )
-    scores = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = (
-            edges.join(scores, ["kind", "instance"])
-            .groupBy("kind", "pattern")
-            .agg(F.avg("score").alias("confidence"), F.count(F.lit(1)).alias("instances"))
-        )
-        scores = durable(
-            edges.join(patterns, ["kind", "pattern"])
-            .groupBy("kind", "instance")
-            .agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("confidence")).alias("score"))
-        )
+    edges = rows.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")).join(support, ["kind", "pattern"])
+    # all seeds of a pattern count alike: they are one row, and only unseen instances take part in the rounds
+    own = durable(edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")))
+    fresh = durable(edges.where("NOT seed").select("kind", "pattern", "instance"))
+    found = own.withColumn("confidence", F.col("seeds") / F.col("n"))
+    if fresh.take(1):
+        for _ in range(ROUNDS):
+            scores = (
+                fresh.join(found.select("kind", "pattern", "confidence"), ["kind", "pattern"])
+                .groupBy("kind", "instance")
+                .agg((F.max("confidence") * TRUST).alias("score"))
+            )
+            lent = fresh.join(scores, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.sum("score").alias("lent"))
+            found = durable(
+                own.join(lent, ["kind", "pattern"], "left").withColumn(
+                    "confidence", (F.col("seeds") + F.coalesce("lent", F.lit(0.0))) / F.col("n")
+                )
+            )
     # a pattern whose instances are mostly unseen proves nothing, however they score each other
-    known = edges.groupBy("kind", "pattern").agg(F.avg(F.col("seed").cast("double")).alias("known"))
-    return (
-        patterns.join(known, ["kind", "pattern"])
-        .where((F.col("confidence") >= CONFIDENCE) & (F.col("known") >= 0.5))
-        .select("kind", "pattern", "confidence")
-    )
+    return found.where((F.col("confidence") >= CONFIDENCE) & (2 * F.col("seeds") >= F.col("n"))).select("kind", "pattern", "confidence")
 
 
-def added_spans(seen: DataFrame) -> DataFrame:
-    """(text_key, added): spans of unseen candidates that accepted patterns have, per text."""
-    fresh = seen.select("text_key", F.explode("seen").alias("s")).where("NOT s.seed")
+def added_spans(seen: DataFrame, key: str) -> DataFrame:
+    """(key, added): spans of unseen candidates that accepted patterns have, per key (row or text_key)."""
+    fresh = seen.select(key, F.explode("seen").alias("s")).where("NOT s.seed")
     order = F.array(*[F.lit(k) for k in KINDS])
     kept = F.array().cast(SPANS)
     return (
-        fresh.select("text_key", "s.kind", "s.pattern", "s.start", "s.end")
-        .join(learn(seen), ["kind", "pattern"])
-        .groupBy("text_key")
+        fresh.select(key, "s.kind", F.explode("s.patterns").alias("pattern"), "s.start", "s.end")
+        .join(durable(learn(seen)), ["kind", "pattern"])
+        .groupBy(key, "kind", "start", "end")
+        .agg(F.max("confidence").alias("confidence"))
+        .groupBy(key)
         .agg(
             F.array_sort(
-                F.collect_set(
+                F.collect_list(
                     F.struct(
                         (-F.col("confidence")).alias("rank"),
                         F.array_position(order, F.col("kind")).alias("place"),
@@ -272,7 +284,7 @@ def added_spans(seen: DataFrame) -> DataFrame:
                 )
             ).alias("found")
         )
-        .select("text_key", F.array_sort(F.aggregate("found", kept, _with_span)).alias("added"))
+        .select(key, F.array_sort(F.aggregate("found", kept, _with_span)).alias("added"))
     )
 
 
@@ -284,12 +296,16 @@ def _with_span(kept, found):
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base and added spans (arrays of kind, start, end) of every row."""
-    seen = durable(scan(docs))
+    """doc_id, text_key, base and added spans (arrays of kind, start, end) of every row.
+
+    Rows are told apart by a number that is stored with them, so copies of one
+    text are not brought together.
+    """
+    seen = durable(scan(docs).withColumn("row", F.monotonically_increasing_id()))
     return (
-        seen.select("doc_id", "text_key", "base")
-        .join(added_spans(seen), "text_key", "left")
-        .withColumn("added", F.coalesce("added", F.lit(None).cast(SPANS), F.array().cast(SPANS)))
+        seen.select("row", "doc_id", "text_key", "base")
+        .join(added_spans(seen, "row"), "row", "left")
+        .select("doc_id", "text_key", "base", F.coalesce("added", F.array().cast(SPANS)).alias("added"))
     )
 
 
@@ -297,18 +313,22 @@ def redact(docs: DataFrame, key: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; other columns unchanged.
 
     Base spans are found in place. Added spans are usually few: their size is
-    checked and they are broadcast below ``BROADCAST_ROWS`` rows, joined above.
+    checked and they are broadcast up to ``BROADCAST_BYTES``, joined above, where
+    Spark splits the rows of a frequent text.
     """
     seen = durable(scan(docs))
-    added = durable(added_spans(seen))
-    n = added.count()
-    names, kind = docs.columns, StructType([*docs.schema.fields])
+    added = durable(added_spans(seen, "text_key"))
+    n, spans = added.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("added")), F.lit(0))).first()
+    names = docs.columns
     at = names.index(key)
-    rows = docs.withColumn("__added", F.lit(None).cast(SPANS))
+    key_of, more = unused(names, "text_key"), unused(names, "added")
+    rows = docs.withColumn(more, F.lit(None).cast(SPANS))
     if n:
-        keyed = docs.mapInArrow(_with_key(at), kind.add("__key", "string"))
-        side = added.select(F.col("text_key").alias("__key"), F.col("added").alias("__added"))
-        rows = keyed.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "__key", "left").select(*names, "__added")
+        kind = StructType([*docs.schema.fields, StructField(key_of, StringType())])
+        keyed = docs.mapInArrow(_with_key(at), kind)
+        side = added.select(F.col("text_key").alias(key_of), F.col("added").alias(more))
+        side = F.broadcast(side) if 80 * n + 64 * spans <= BROADCAST_BYTES else side
+        rows = keyed.join(side, key_of, "left").drop(key_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +347,7 @@ def _with_key(at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([text_key(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "key"])
 
     return run
 
