@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _CELL = r'<(t[dh])((?: rowspan="[1-9][0-9]*")?(?: colspan="[1-9][0-9]*")?)>((?:[^<]|<br>)*)</\1>'
 _CELLS = re.compile(_CELL)
@@ -71,23 +71,24 @@ def read_markdown(table: str) -> list[list[str]]:
     return ([head] if any(head) else []) + body
 
 
-CELLS_DDL = "cells array<struct<r:int,c:int,rs:int,cs:int,text:string>>, error string"
+def html_cells(rows: DataFrame, key: str, table: str) -> DataFrame:
+    """(key, r, c, rs, cs, text, error): the cells of each row's table; one row with the error where it can't be read.
 
-
-def parse_html_table(table: Column) -> Column:
-    """``read_html`` of a column: struct(cells, error); one of the two is null, both for null."""
-    result = T.StructType.fromDDL(CELLS_DDL)
-    kind = to_arrow_type(result)
-
-    @F.arrow_udf(result)
-    def run(tables: pa.Array) -> pa.Array:
-        out = []
-        for text in tables.to_pylist():
-            try:
-                found = None if text is None else [dict(zip(("r", "c", "rs", "cs", "text"), x)) for x in read_html(text)]
-                out.append({"cells": found, "error": None})
-            except ValueError as e:
-                out.append({"cells": None, "error": str(e)})
-        return pa.array(out, type=kind)
-
-    return run(table)
+    A null table has no rows.
+    """
+    kind = rows.schema[key]
+    schema = T.StructType([T.StructField("key", kind.dataType), *T.StructType.fromDDL("r int, c int, rs int, cs int, text string, error string").fields])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, text in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    out += [(own, *cell, None) for cell in (read_html(text) if text is not None else ())]
+                except ValueError as e:
+                    out.append((own, None, None, None, None, None, str(e)))
+            columns = list(zip(*out)) or [()] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    return rows.select(key, table).mapInArrow(run, schema).withColumnRenamed("key", key)

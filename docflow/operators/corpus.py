@@ -22,21 +22,107 @@ def fingerprint(raw: Column) -> Column:
     return F.sha2(normalized(F.regexp_replace(raw, "<loc_[0-9]+>", "")), 256)
 
 
+def page_identity(identifier: Column) -> Column:
+    """struct(source_id, page) of a page's id, null for any other text. Pages beyond 38 digits are no ids."""
+    page = F.regexp_extract(identifier, PAGE_ID, 2).try_cast("decimal(38,0)")
+    return F.when(
+        identifier.rlike(PAGE_ID) & page.isNotNull(),
+        F.struct(F.regexp_extract(identifier, PAGE_ID, 1).alias("source_id"), page.alias("page")),
+    )
+
+
 def inspect_label(raw: Column) -> Column:
-    """Digest, length, locations (count, largest, out of range) and other tags of a label."""
-    found = F.regexp_extract_all(raw, F.lit("<loc_([0-9]{1,9})>"), F.lit(1))
-    numbers = F.transform(found, lambda x: x.cast("int"))
-    tags = F.regexp_extract_all(raw, F.lit(r"<([A-Za-z][A-Za-z0-9_]*)"), F.lit(1))
+    """Digest, length, locations (count, largest, out of range) and other tags of a label, opening and closing.
+
+    Locations may have any number of digits; the largest is null beyond 38 of them.
+    """
+    found = F.regexp_extract_all(raw, F.lit("<loc_([0-9]+)>"), F.lit(1))
+    numbers = F.transform(found, lambda x: F.ltrim(x, F.lit("0")))
+    largest = F.array_max(F.transform(numbers, lambda x: F.struct(F.length(x).alias("n"), x.alias("digits"))))
+    value = F.when(largest["n"] == 0, "0").otherwise(largest["digits"]).try_cast("decimal(38,0)")
+    tags = F.regexp_extract_all(raw, F.lit(r"</?([^<>]+)>"), F.lit(1))
     return F.struct(
         F.sha2(raw, 256).alias("sha256"),
         F.length(raw).alias("characters"),
         F.size(numbers).alias("locations"),
-        F.array_max(numbers).alias("largest_location"),
-        F.size(F.filter(numbers, lambda x: x >= 500)).alias("out_of_range"),
+        value.alias("largest_location"),
+        F.size(F.filter(numbers, lambda x: (F.length(x) > 3) | (x.try_cast("int") >= 500))).alias("out_of_range"),
         F.array_sort(F.array_distinct(F.filter(tags, lambda t: ~t.startswith("loc_")))).alias("tags"),
     )
 
 
+def safe_relative(name: Column) -> Column:
+    """A bounded relative path that stays beneath its root: no empty, ``.`` or ``..`` part."""
+    parts = F.split(name, "/", -1)
+    fine = (F.length(name) > 0) & (F.length(name) <= 240) & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
+    return F.coalesce(fine, F.lit(False))
+
+
+#: The fields of a selection seal, fixed.
+SEAL_FIELDS = (
+    "schema_version status selection_criterion final_content_opened workflow_sha256 selection_protocol_sha256 "
+    "selection_report selection_report_sha256 selected_id selected_kind selected_files final_cases "
+    "development_evidence source_revision"
+).split()
+
+
+def seal_problems(seal: Column, policy: Column) -> Column:
+    """What keeps a seal from being accepted, in order; an empty array for a good one.
+
+    ``seal`` is JSON text. ``policy``: struct of workflow_sha256,
+    selection_protocol_sha256, final_cases and development_evidence (JSON text of
+    what it must hold).
+    """
+    field = lambda name: F.get_json_object(seal, f"$.{name}")
+    keys = F.coalesce(F.json_object_keys(seal), F.array().cast("array<string>"))
+    wanted = F.array(*[F.lit(k) for k in SEAL_FIELDS])
+    files = F.from_json(field("selected_files"), "map<string,string>")
+    n_files = F.coalesce(F.size(files), F.lit(-1))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rules = (
+        ("fields", (F.size(keys) == len(SEAL_FIELDS)) & (F.size(F.array_except(keys, wanted)) == 0)),
+        ("schema", field("schema_version") == "1"),
+        ("status", (field("status") == "selection-sealed") & (field("selection_criterion") == "validation-only")),
+        ("final opened", field("final_content_opened") == "false"),
+        ("workflow", field("workflow_sha256") == policy["workflow_sha256"]),
+        ("protocol", field("selection_protocol_sha256") == policy["selection_protocol_sha256"]),
+        ("revision", field("source_revision").rlike(r"\A[0-9a-f]{40}\z")),
+        ("identity", F.length(field("selected_id")) > 0),
+        ("final cases", field("final_cases") == policy["final_cases"]),
+        ("evidence", field("development_evidence") == policy["development_evidence"]),
+        ("report path", safe_relative(field("selection_report"))),
+        ("kind", field("selected_kind").isin("base", "adapter") & (n_files >= 0)),
+        ("payload", (field("selected_kind") == "base") == (n_files == 0)),
+        ("digests", F.forall(F.map_entries(files), lambda e: safe_relative(e["key"]) & e["value"].rlike(r"\A[0-9a-f]{64}\z"))),
+    )
+    return F.array_compact(F.array(*[F.when(~yes(fine), name) for name, fine in rules]))
+
+
+GROUND_TRUTH = (
+    "texts array<struct<text:string>>, tables array<struct<data:struct<num_rows:int,num_cols:int,"
+    "table_cells:array<struct<start_row_offset_idx:int,start_col_offset_idx:int,row_span:int,col_span:int,text:string>>>>>"
+)
+
+
+def ground_truth(document: Column) -> Column:
+    """A nested ground-truth document (JSON text) as struct(text, tables), null where it's no such document.
+
+    tables: array of rows, columns and cells (r, c, rs, cs, text), in order.
+    """
+    parsed = F.from_json(document, GROUND_TRUTH)
+    cell = lambda x: F.struct(
+        x["start_row_offset_idx"].alias("r"), x["start_col_offset_idx"].alias("c"),
+        x["row_span"].alias("rs"), x["col_span"].alias("cs"), x["text"].alias("text"),
+    )
+    tables = F.transform(
+        F.coalesce(parsed["tables"], F.array().cast("array<struct<data:struct<num_rows:int,num_cols:int,table_cells:array<struct<start_row_offset_idx:int,start_col_offset_idx:int,row_span:int,col_span:int,text:string>>>>>")),
+        lambda t: F.struct(
+            t["data"]["num_rows"].alias("rows"), t["data"]["num_cols"].alias("columns"), F.transform(t["data"]["table_cells"], cell).alias("cells")
+        ),
+    )
+    return F.when(parsed["texts"].isNotNull(), F.struct(F.array_join(F.transform(parsed["texts"], lambda x: x["text"]), "\n\n").alias("text"), tables.alias("tables")))
+
+
 def source_id(url: Column) -> Column:
     return F.concat(F.lit("doc_"), F.sha1(url))
 

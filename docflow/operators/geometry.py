@@ -19,6 +19,53 @@ def box_to_grid(l: Column, t: Column, r: Column, b: Column, w: Column, h: Column
     return F.when(fine, F.array(to_grid(l, w), to_grid(t, h), to_grid(r, w), to_grid(b, h)))
 
 
+_LOC = "<loc_[0-9]{1,5}>"
+
+
+def convert_locations(raw: Column, width: Column, height: Column) -> Column:
+    """Tagged text in pixel coordinates on the grid: struct(raw, boxes, error), raw null with an error.
+
+    Locations must come in runs of exactly four that form a box within the image;
+    nothing is clipped or repaired, and only location tokens change.
+    """
+    box = f"(?:{_LOC}){{4}}"
+    rest = F.split(raw, box, -1)
+    boxes = F.regexp_extract_all(raw, F.lit(f"({box})"), F.lit(1))
+    runs = F.regexp_extract_all(raw, F.lit(f"((?:{_LOC})+)"), F.lit(1))
+    numbers = F.transform(
+        boxes, lambda b: F.transform(F.regexp_extract_all(b, F.lit("<loc_([0-9]+)>"), F.lit(1)), lambda n: n.cast("int"))
+    )
+    grids = F.transform(numbers, lambda n: box_to_grid(n[0], n[1], n[2], n[3], width, height))
+    written = F.transform(grids, lambda g: F.array_join(F.transform(g, lambda v: F.concat(F.lit("<loc_"), v.cast("string"), F.lit(">"))), ""))
+    known = width.between(1, 20000) & height.between(1, 20000)
+    error = (
+        F.when(~F.coalesce(known, F.lit(False)), "image size")
+        .when(raw.isNull() | (raw == "") | (F.octet_length(raw) > 2_000_000), "target")
+        .when(F.exists(rest, lambda x: F.contains(x, F.lit("<loc_"))), "orphan location")
+        .when(F.exists(runs, lambda x: F.regexp_count(x, F.lit("<loc_")) != 4), "location count")
+        .when(F.exists(grids, lambda g: g.isNull()), "box")
+    )
+    text = F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(written)), written, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1))
+    return F.struct(F.when(error.isNull(), text).alias("raw"), F.size(boxes).alias("boxes"), error.alias("error"))
+
+
+def without_locations(raw: Column) -> Column:
+    return F.regexp_replace(raw, "<loc_[0-9]+>", "")
+
+
+def audit_locations(raw: Column, width: Column, height: Column) -> Column:
+    """A label's conversion with proof: digests before, after and without locations, and whether only those changed."""
+    done = convert_locations(raw, width, height)
+    return F.struct(
+        F.sha2(raw, 256).alias("original_sha256"),
+        F.sha2(done["raw"], 256).alias("converted_sha256"),
+        F.sha2(without_locations(raw), 256).alias("content_sha256"),
+        F.coalesce(without_locations(raw) == without_locations(done["raw"]), F.lit(False)).alias("content_kept"),
+        done["boxes"].alias("boxes"),
+        done["error"].alias("error"),
+    )
+
+
 def crop(value: Column, size: Column) -> Column:
     """A grid coordinate in source pixels."""
     return F.floor(value * size / GRID).cast("int")
@@ -53,10 +100,15 @@ def image_prompt(rows: Column, cols: Column, slots: int = SLOTS) -> Column:
     return F.concat(grid, F.lit("<fake_token_around_image><global-img>"), images, F.lit("<fake_token_around_image>"))
 
 
-def patch_count(size: int, patch: int) -> int:
-    if patch < 1 or size % patch:
-        raise ValueError("size must be a multiple of the patch")
-    return (size // patch) ** 2
+def layout(size: Column, patch: Column, factor: Column, hidden: Column) -> Column:
+    """struct(patches, tokens, connector_width) of an image side; null where the sides don't divide."""
+    side = F.try_divide(size, patch).cast("int")
+    fine = (patch > 0) & (factor > 0) & (hidden > 0) & (size > 0) & (size % patch == 0) & (side % factor == 0)
+    tokens = F.try_divide(side, factor).cast("int")
+    return F.when(
+        fine,
+        F.struct((side * side).alias("patches"), (tokens * tokens).alias("tokens"), (hidden * factor * factor).alias("connector_width")),
+    )
 
 
 def gather(values: Column, places: list[int]) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "job string, page long, raw string, token_ids array<long>, stop_reason string, error string"
-MAX_RAW = 262_144
+RECORD = "job string, page long, attempt int, raw string, token_ids array<long>, stop_reason string, error string"
+MAX_RAW, MAX_ATTEMPTS = 262_144, 10_000
 
 
 def missing_pages(selected: DataFrame, journal: DataFrame) -> DataFrame:
@@ -17,48 +17,85 @@ def missing_pages(selected: DataFrame, journal: DataFrame) -> DataFrame:
     return selected.join(valid_records(journal), ["job", "page"], "left_anti")
 
 
-def valid_records(journal: DataFrame) -> DataFrame:
-    """Records that can be reused: text within its budget, ids that aren't negative, a known stop reason."""
-    return journal.where(
+def is_valid() -> Column:
+    """A record that can be reused: text within its budget, ids that aren't negative, a known stop reason."""
+    return F.coalesce(
         F.col("error").isNull()
         & (F.length("raw") <= MAX_RAW)
         & F.col("stop_reason").isin("eos", "length")
-        & ~F.exists(F.coalesce("token_ids", F.array().cast("array<long>")), lambda t: t < 0)
+        & ~F.exists(F.coalesce("token_ids", F.array().cast("array<long>")), lambda t: t < 0),
+        F.lit(False),
     )
 
 
+def valid_records(journal: DataFrame) -> DataFrame:
+    return journal.where(is_valid())
+
+
+def latest_records(journal: DataFrame) -> DataFrame:
+    """One record per (job, page): the valid one of the highest attempt, else the last failure."""
+    columns = [c for c in journal.columns if c not in ("job", "page")]
+    rank = F.struct(is_valid(), F.coalesce("attempt", F.lit(0)))
+    best = journal.groupBy("job", "page").agg(F.max_by(F.struct(*columns), rank).alias("best"))
+    return best.select("job", "page", "best.*").select(*journal.columns)
+
+
+def next_attempt(journal: DataFrame) -> DataFrame:
+    """(job, attempt): the next unused attempt number of each job, null beyond MAX_ATTEMPTS."""
+    following = F.max(F.coalesce("attempt", F.lit(0))) + 1
+    return journal.groupBy("job").agg(F.when(following <= MAX_ATTEMPTS, following).cast("int").alias("attempt"))
+
+
 def generate(pages: DataFrame, generator: Callable[[int], tuple[str, list[int], str]]) -> DataFrame:
-    """One record per page from the generator; an exception becomes that page's error only."""
+    """One record per (job, page, attempt) from the generator; an exception becomes that page's error only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for job, page in zip(batch["job"], batch["page"]):
+            for page in batch.column("page").to_pylist():
                 try:
-                    raw, ids, stop = generator(int(page))
-                    out.append((job, page, raw, ids, stop, None))
+                    out.append((*generator(page), None))
                 except Exception as e:  # noqa: BLE001
-                    out.append((job, page, None, None, None, str(e)[:200]))
-            yield pd.DataFrame(out, columns=["job", "page", "raw", "token_ids", "stop_reason", "error"])
-
-    return pages.select("job", "page").mapInPandas(run, RECORD)
+                    out.append((None, None, None, str(e)[:200]))
+            raw, ids, stop, error = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array(raw, pa.string()),
+                    pa.array([None if x is None else list(x) for x in ids], pa.list_(pa.int64())),
+                    pa.array(stop, pa.string()),
+                    pa.array(error, pa.string()),
+                ],
+                names=["job", "page", "attempt", "raw", "token_ids", "stop_reason", "error"],
+            )
+
+    return pages.select("job", "page", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, RECORD)
 
 
 def run_job(spark: SparkSession, selected: DataFrame, generator: Callable, journal_path: str) -> DataFrame:
-    """Generate what the journal lacks, append it, return the job's records.
+    """Generate what the journal lacks, append it, return the latest record of each selected page.
 
     The append is its own action: records are durable before anything parses
-    them, and a second run calls the generator for failed pages only.
+    them, and a second run calls the generator for failed pages only. A failure
+    is overtaken by a later attempt that succeeds.
     """
-    try:
+    todo = selected.select("job", "page").distinct()
+    if _exists(spark, journal_path):
         journal = spark.read.schema(RECORD).parquet(journal_path)
-        todo = missing_pages(selected, journal)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        todo = selected
+        attempts = next_attempt(journal)
+        if attempts.where("attempt IS NULL").join(selected, "job", "left_semi").take(1):
+            raise RuntimeError(f"a job has used its {MAX_ATTEMPTS} attempts")
+        todo = missing_pages(todo, journal).join(attempts, "job", "left").withColumn("attempt", F.coalesce("attempt", F.lit(1)))
+    else:
+        todo = todo.withColumn("attempt", F.lit(1))
     generate(todo, generator).write.mode("append").parquet(journal_path)
-    return spark.read.schema(RECORD).parquet(journal_path).join(selected.select("job", "page"), ["job", "page"], "left_semi")
+    journal = spark.read.schema(RECORD).parquet(journal_path)
+    return latest_records(journal.join(selected.select("job", "page"), ["job", "page"], "left_semi"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def job_report(records: DataFrame, n_diagnostics: str = "n_diagnostics") -> DataFrame:

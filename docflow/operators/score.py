@@ -167,3 +167,253 @@ def compare_runs(samples: DataFrame, outputs: DataFrame, stages: list[str]) -> D
 def differing_fields(left: str, right: str, fields: list[str]) -> Column:
     """Names of the fields in which two struct columns differ; nulls are equal to each other."""
     return F.array_compact(F.array(*[F.when(~F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")), f) for f in fields]))
+
+
+def untagged(raw: Column) -> Column:
+    """Raw text with every tag as a blank: diagnostic text, nothing is repaired."""
+    return normalized(F.regexp_replace(raw, "<[^>]*>", " "))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, " ", -1), "")
+
+
+def inventory(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two arrays: sorted, and matched run by run."""
+    counted = lambda x: F.map_from_entries(
+        F.transform(F.array_distinct(x), lambda v: F.struct(v, F.size(F.filter(x, lambda w: w == v))))
+    )
+    left, right = counted(a), counted(b)
+    shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
+    return F.aggregate(shared, F.lit(0), lambda n, v: n + F.least(F.element_at(left, v), F.element_at(right, v)))
+
+
+def score_coverage(cases: DataFrame) -> DataFrame:
+    """Adds lexical scores of untagged raw text to (expected, raw, stop_reason, n_diagnostics, markdown_written).
+
+    Word order counts for the edits and not for ``inventory_matches``.
+    """
+    rows = cases.withColumns({"expected_text": normalized(F.col("expected")), "recognized_text": untagged(F.coalesce("raw", F.lit("")))})
+    wanted, found = _words(F.col("expected_text")), _words(F.col("recognized_text"))
+    rows = rows.withColumns(
+        {
+            "character_edits": F.levenshtein("expected_text", "recognized_text").cast("long"),
+            "reference_characters": F.length("expected_text").cast("long"),
+            "word_edits": word_edits("expected_text", "recognized_text"),
+            "reference_words": F.size(wanted).cast("long"),
+            "inventory_matches": inventory(wanted, found).cast("long"),
+            "text_exact": F.col("expected_text") == F.col("recognized_text"),
+        }
+    )
+    good = F.col("text_exact") & (F.col("stop_reason") == "eos") & (F.col("n_diagnostics") == 0) & F.col("markdown_written")
+    return rows.withColumns(
+        {
+            "cer": F.try_divide("character_edits", "reference_characters"),
+            "wer": F.try_divide("word_edits", "reference_words"),
+            "accepted": F.coalesce(good, F.lit(False)),
+        }
+    )
+
+
+def cell_inventory(tables: Column) -> Column:
+    """All cells of an array of tables as texts ``table,r,c,rs,cs,text``, blanks of the text collapsed."""
+    cell = lambda i: lambda c: F.concat_ws(
+        ",", i.cast("string"), *[c[f].cast("string") for f in ("r", "c", "rs", "cs")], F.coalesce(normalized(c["text"]), F.lit(""))
+    )
+    return F.flatten(F.transform(tables, lambda t, i: F.transform(t["cells"], cell(i))))
+
+
+def score_page(pages: DataFrame) -> DataFrame:
+    """Scores of one expected table per page: expected_tables and tables (arrays of rows, columns, renderable, cells).
+
+    A page is comparable if exactly one renderable table was found; otherwise no
+    cell matches. The word inventory ignores reading order; nothing expected
+    gives a recall of 1.
+    """
+    one = (F.size("tables") == 1) & F.get("tables", F.lit(0))["renderable"]
+    rows = pages.withColumns(
+        {
+            "comparable": F.coalesce(one, F.lit(False)),
+            "wanted": cell_inventory(F.col("expected_tables")),
+            "found": cell_inventory(F.col("tables")),
+        }
+    )
+    rows = rows.withColumn("exact_cell_matches", F.when(F.col("comparable"), inventory(F.col("wanted"), F.col("found"))).otherwise(0).cast("long"))
+    first = lambda c: F.get(c, F.lit(0))
+    same_size = (first("expected_tables")["rows"] == first("tables")["rows"]) & (first("expected_tables")["columns"] == first("tables")["columns"])
+    text = F.array_join(F.flatten(F.transform("expected_tables", lambda t: F.transform(t["cells"], lambda c: c["text"]))), " ")
+    words = _words(normalized(text))
+    rows = rows.withColumns(
+        {
+            "expected_cells": F.size("wanted").cast("long"),
+            "recognized_cells": F.size("found").cast("long"),
+            "exact_table": F.col("comparable") & same_size & (F.array_sort("wanted") == F.array_sort("found")),
+            "matched_words": inventory(words, _words(untagged(F.coalesce("raw", F.lit(""))))).cast("long"),
+            "expected_words": F.size(words).cast("long"),
+        }
+    )
+    good = F.col("exact_table") & (F.col("stop_reason") == "eos") & (F.col("n_diagnostics") == 0) & F.col("markdown_written")
+    return rows.withColumns(
+        {
+            "table_accepted": F.coalesce(good, F.lit(False)),
+            "word_recall": F.coalesce(F.try_divide("matched_words", "expected_words"), F.lit(1.0)),
+        }
+    ).drop("wanted", "found")
+
+
+def score_document(cases: DataFrame) -> DataFrame:
+    """Benchmark scores of whole documents: strict Markdown, cells of all tables, and untagged raw text.
+
+    cases: markdown_reference, text_reference, expected_tables, markdown, raw,
+    stop_reason, n_diagnostics, error, tables. A missing output or a recorded
+    error stays as a row with empty output.
+    """
+    strict = F.coalesce(
+        F.col("error").isNull() & (F.col("stop_reason") == "eos") & (F.col("n_diagnostics") == 0) & F.col("markdown").isNotNull(), F.lit(False)
+    )
+    none = F.array().cast("array<struct<rows:int,columns:int,renderable:boolean,cells:array<struct<r:int,c:int,rs:int,cs:int,text:string>>>>")
+    shapes = lambda c: F.transform(c, lambda t: F.struct(t["rows"], t["columns"]))
+    rows = cases.withColumns({"strict_export": strict, "tables": F.coalesce("tables", none)})
+    rows = rows.withColumns(
+        {
+            "reference": normalized(F.col("markdown_reference")),
+            "actual": F.when(F.col("strict_export"), normalized(F.col("markdown"))).otherwise(""),
+            "reference_text": normalized(F.coalesce("text_reference", "markdown_reference")),
+            "raw_text": untagged(F.coalesce("raw", F.lit(""))),
+            "wanted": cell_inventory(F.col("expected_tables")),
+            "found": cell_inventory(F.col("tables")),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "markdown_exact": F.col("reference") == F.col("actual"),
+            "tables_exact": (shapes(F.col("expected_tables")) == shapes(F.col("tables"))) & (F.array_sort("wanted") == F.array_sort("found")),
+            "exact_cell_matches": inventory(F.col("wanted"), F.col("found")).cast("long"),
+            "character_edits": F.levenshtein("reference", "actual").cast("long"),
+            "reference_characters": F.length("reference").cast("long"),
+            "word_edits": word_edits("reference", "actual"),
+            "reference_words": F.size(_words(F.col("reference"))).cast("long"),
+            "raw_text_character_edits": F.levenshtein("reference_text", "raw_text").cast("long"),
+            "raw_text_reference_characters": F.length("reference_text").cast("long"),
+            "raw_text_word_edits": word_edits("reference_text", "raw_text"),
+            "raw_text_reference_words": F.size(_words(F.col("reference_text"))).cast("long"),
+            "execution_error": F.col("error").isNotNull(),
+        }
+    )
+    rows = rows.withColumn("accepted", F.col("strict_export") & F.col("markdown_exact") & F.col("tables_exact"))
+    return rows.drop("reference", "actual", "reference_text", "raw_text", "wanted", "found")
+
+
+#: (rate, edits, length) of a run summary.
+RATES = (
+    ("markdown_cer", "character_edits", "reference_characters"),
+    ("markdown_wer", "word_edits", "reference_words"),
+    ("raw_text_cer", "raw_text_character_edits", "raw_text_reference_characters"),
+    ("raw_text_wer", "raw_text_word_edits", "raw_text_reference_words"),
+)
+
+
+def run_summary(scored: DataFrame, *by: str) -> DataFrame:
+    """Counts and micro rates of scored documents; a rate without a length is null. Parser-valid and exact are kept apart."""
+    have = [r for r in RATES if r[1] in scored.columns]
+    return scored.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.count_if("strict_export").alias("strict_exports"),
+        F.count_if("accepted").alias("accepted"),
+        F.count_if("execution_error").alias("execution_failures"),
+        *[F.try_divide(F.sum(edits), F.sum(total)).alias(rate) for rate, edits, total in have],
+    )
+
+
+def load_outputs(cases: DataFrame, outputs: DataFrame, errors: DataFrame, most_tokens: int) -> DataFrame:
+    """cases (name) with their stored output or why there is none; ``problem`` names an inconsistent record.
+
+    outputs: name, raw, stored_raw, token_ids, stop_reason. errors: name, error.
+    """
+    both = cases.join(outputs, "name", "left").join(errors, "name", "left")
+    status = (
+        F.when(F.col("error").isNotNull(), "recorded-execution-error")
+        .when(F.col("raw").isNull() | F.col("stored_raw").isNull(), "missing-output")
+        .otherwise("output")
+    )
+    fine = (
+        (F.col("raw") == F.col("stored_raw"))
+        & (F.size("token_ids") <= most_tokens)
+        & F.col("stop_reason").isin("eos", "length", "unknown")
+    )
+    return both.withColumn("status", status).withColumn(
+        "problem", F.when((F.col("status") == "output") & ~F.coalesce(fine, F.lit(False)), "inconsistent output")
+    )
+
+
+def split_phase_grid(scored: DataFrame, phases: list[str]) -> DataFrame:
+    """Per split and phase accepted pages and exact cells: scored rows have split, phase, accepted, exact_cell_matches."""
+    return scored.groupBy("split").pivot("phase", phases).agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if("accepted").alias("accepted"), F.sum("exact_cell_matches").alias("exact_cells")
+    )
+
+
+def grid_complete(scores: DataFrame, candidate: str, case: str) -> DataFrame:
+    """(candidate, missing, repeated) of an incomplete candidate-by-case grid; no rows if it's whole."""
+    cases = scores.select(case).distinct().agg(F.count(F.lit(1)).alias("n"))
+    own = scores.groupBy(candidate).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(case).alias("cases"))
+    return (
+        own.join(F.broadcast(cases))
+        .select(candidate, (F.col("n") - F.col("cases")).alias("missing"), (F.col("rows") - F.col("cases")).alias("repeated"))
+        .where("missing > 0 OR repeated > 0")
+    )
+
+
+def single_table(raw: Column) -> Column:
+    """The one table markup of an output, null if there is none or more."""
+    found = F.regexp_extract_all(raw, F.lit("(?s)(<otsl>.*?</otsl>)"), F.lit(1))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def runtimes_agree(outputs: DataFrame, case: str) -> DataFrame:
+    """(case, runtimes, agree): whether all runtimes gave the same ids, text and stop reason."""
+    whole = F.sha2(F.to_json(F.struct("token_ids", "raw", "stop_reason")), 256)
+    return outputs.groupBy(case).agg(F.count(F.lit(1)).alias("runtimes"), (F.count_distinct(whole) == 1).alias("agree"))
+
+
+def trajectory_problems(steps: DataFrame, run: str = "run") -> DataFrame:
+    """Per run what is wrong with its training steps (step, loss, handles, base_unchanged, adapter_changed).
+
+    Steps follow without a gap, losses are finite and not negative, the number of
+    handles stays as it begins and is positive.
+    """
+    order = Window.partitionBy(run).orderBy("step")
+    marked = steps.withColumns(
+        {"before": F.lag("step").over(order), "handles_before": F.coalesce(F.lag("handles").over(order), "handles")}
+    )
+    finite = (F.col("loss") >= 0) & (F.col("loss") < float("inf"))
+    rules = (
+        ("step", F.col("before").isNull() | (F.col("step") == F.col("before") + 1)),
+        ("loss", finite),
+        ("handles", (F.col("handles") == F.col("handles_before")) & (F.col("handles") > 0)),
+        ("base", F.col("base_unchanged")),
+        ("adapter", F.col("adapter_changed")),
+    )
+    broken = [F.bool_or(~F.coalesce(fine, F.lit(False))).alias(name) for name, fine in rules]
+    found = marked.groupBy(run).agg(F.count(F.lit(1)).alias("steps"), *broken)
+    return found.select(run, "steps", F.array_compact(F.array(*[F.when(F.col(n), n) for n, _ in rules])).alias("problems"))
+
+
+def resumed_equal(whole: DataFrame, resumed: DataFrame, after: int) -> DataFrame:
+    """(steps, differing): steps behind ``after`` in either run, and those whose loss isn't exactly the same."""
+    left = whole.where(F.col("step") > after).select("step", F.col("loss").alias("x"))
+    both = left.join(resumed.select("step", F.col("loss").alias("y")), "step", "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("steps"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"))
+
+
+def signature(parsed: Column) -> Column:
+    """Kind and level (0 without one) of each top-level element, in order."""
+    top = F.filter(parsed["elements"], lambda e: e["parent"].isNull())
+    return F.transform(top, lambda e: F.concat_ws(":", e["kind"], F.coalesce(e["level"], F.lit(0)).cast("string")))
+
+
+def probe(parsed: Column, markdown: Column) -> Column:
+    """A label's audit: distinct diagnostic codes in order of first appearance, and whether it renders strictly."""
+    codes = F.array_distinct(F.transform(parsed["diagnostics"], lambda x: x["code"]))
+    fatal = parsed["fatal_error"].isNotNull()
+    return F.struct(F.when(fatal, F.array(F.lit("document-error"))).otherwise(codes).alias("codes"), markdown.isNotNull().alias("renderable"))

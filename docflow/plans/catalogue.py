@@ -223,7 +223,7 @@ def q_bundle_status(spark, d):
 
 _AUDIT = r"""
 a AS (SELECT page_id, sha256(html) AS sha256, length(html)::INTEGER AS characters,
-      list_sort(list_distinct(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9_]*)', 1))) AS tags FROM pages)"""
+      list_sort(list_distinct(list_filter(regexp_extract_all(html, '</?([^<>]+)>', 1), lambda t: NOT starts_with(t, 'loc_')))) AS tags FROM pages)"""
 
 
 @query(f"WITH {_AUDIT} SELECT page_id, sha256, characters, array_to_string(tags, ',') AS tags FROM a")
@@ -619,3 +619,6 @@ def q_page_selection(spark, d):
         .otherwise(F.concat((s + 1).cast("string"), F.lit(","), s.cast("string")))
     )
     return _table(spark, d, "part").select("p_partkey", F.array_join(pdf.page_selection(text).cast("array<string>"), ",").alias("pages"))
+
+
+from docflow.plans import evidence  # noqa: E402, F401  registers its queries

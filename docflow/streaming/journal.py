@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.doctags import parse_doctags
 from docflow.functions.render import to_markdown
-from docflow.operators.jobs import RECORD
+from docflow.operators.jobs import RECORD, latest_records
 
 
 def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -21,11 +21,25 @@ def convert(records: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, journal: str, target: str, checkpoint: str):
-    """Convert what arrives; each batch is written under its number, so a replayed batch replaces itself."""
+    """Convert what arrives; each batch is written under its number, so a replayed batch replaces itself.
+
+    A later attempt of a page may come in a later batch: ``pages`` reads the
+    latest one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["job", "page"])
-        convert(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh = latest_records(batch)
+        attempts = fresh.select("job", "page", "attempt")
+        convert(fresh).join(attempts, ["job", "page"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = read_journal(spark, journal).where("error IS NULL")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pages(spark: SparkSession, target: str) -> DataFrame:
+    """(job, page, codes, markdown, error) of the latest attempt of each page that the stream has written."""
+    rows = spark.read.parquet(target)
+    columns = ("codes", "markdown", "error")
+    rank = F.struct(F.coalesce("attempt", F.lit(0)), "batch")
+    best = rows.groupBy("job", "page").agg(F.max_by(F.struct(*columns), rank).alias("best"))
+    return best.select("job", "page", "best.*")

@@ -83,7 +83,11 @@ def test_jobs_resume_and_isolate_failures(spark, tmp_path):
     todo = jobs.missing_pages(selected, spark.read.schema(jobs.RECORD).parquet(at))
     assert [r["page"] for r in todo.collect()] == [3]
     again = jobs.run_job(spark, selected, lambda p: ("<doctag></doctag>", [1], "eos"), at)
-    assert again.count() == 6 and jobs.valid_records(again).count() == 5
+    assert again.count() == 5 and jobs.valid_records(again).count() == 5
+    report = jobs.job_report(again.withColumn("n_diagnostics", F.lit(0))).first()
+    assert (report["pages"], report["status"]) == (5, "complete")
+    kept = spark.read.schema(jobs.RECORD).parquet(at)
+    assert kept.count() == 6 and [r["attempt"] for r in kept.where("page = 3").orderBy("attempt").collect()] == [1, 2]
 
 
 def test_supervision(spark):
