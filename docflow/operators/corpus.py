@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.operators.graph import components, hub_edges
+from docflow.operators.graph import components, shared_keys
 
 #: White space as Unicode-aware string splitting has it.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -148,16 +148,15 @@ def evaluate_candidates(pages: DataFrame, sources: DataFrame) -> DataFrame:
     pages: id, source_id, split, image, target, content, renderable, approved_target.
     sources: source_id, allowed, reviewed, quarantined, development (one row per source).
     """
-    keys = ("source_id", "image", "target", "content")
-    labels = components(hub_edges(pages, "id", *keys))
+    shared = shared_keys(pages, "id", "source_id", "image", "target", "content")
+    labels = components(shared.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    twice = shared.where("key <> 'source_id'").select(F.col("node").alias("id"), F.lit(True).alias("twice")).distinct()
     rows = (
         pages.join(labels.withColumnsRenamed({"node": "id", "label": "component"}), "id", "left")
+        .join(twice, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
         .join(sources, "source_id", "left")
     )
-    for k in ("image", "target", "content"):
-        counts = rows.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}"))
-        rows = rows.join(counts, k, "left")
     whole = rows.groupBy("component").agg(
         (F.min("split") != F.max("split")).alias("crosses"),
         F.bool_or(F.coalesce("quarantined", F.lit(False))).alias("q"),
@@ -173,7 +172,7 @@ def evaluate_candidates(pages: DataFrame, sources: DataFrame) -> DataFrame:
             F.when(~F.col("renderable"), "native-target-rejected"),
             F.when(F.col("crosses"), "cross-split-component"),
             F.when(F.col("d") & (F.col("split") == "final"), "development-source-in-final"),
-            F.when((F.col("n_image") > 1) | (F.col("n_target") > 1) | (F.col("n_content") > 1), "duplicate-page"),
+            F.when(yes("twice"), "duplicate-page"),
         )
     )
     judged = rows.join(whole, "component").withColumn("reasons", reasons)

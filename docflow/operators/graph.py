@@ -23,12 +23,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hub_edges(rows: DataFrame, node: str, *keys: str) -> DataFrame:
-    """Edges (a, b) from every node to the smallest node with the same value of a key: linear, no pairs."""
-    values = F.explode(F.array(*[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys]))
-    long = rows.select(F.col(node).alias("b"), values.alias("value")).where("value IS NOT NULL")
-    hubs = long.groupBy("value").agg(F.min("b").alias("a"))
-    return long.join(hubs, "value").where("a <> b").select("a", "b").distinct()
+def shared_keys(rows: DataFrame, node: str, *keys: str) -> DataFrame:
+    """(node, key, hub): for every key value that several rows have, each of them and the smallest: linear, no pairs."""
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")
+    long = rows.select(F.col(node).alias("node"), values).select("node", "x.key", "x.value").where("value IS NOT NULL")
+    hubs = long.groupBy("key", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(long.join(hubs, ["key", "value"]).select("node", "key", "hub"))
 
 
 def components(edges: DataFrame) -> DataFrame:

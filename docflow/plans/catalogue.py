@@ -9,6 +9,7 @@ from docflow.functions import render
 from docflow.functions.doctags import parse_doctags
 from docflow.operators import build, compose, corpus, geometry, jobs, score, supervise
 from docflow.sources import pdf
+from docflow.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,8 +25,7 @@ def query(sql: str | None = None):
     return register
 
 
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+_table = read_table
 
 
 def _parsed_documents(spark: SparkSession, d: str) -> DataFrame:
