@@ -7,7 +7,8 @@ threshold are content, on every page. Two priors weigh a path's ratio: being in
 an article or main raises it, a class or id that names a part of the page's
 frame lowers it. Blocks below the threshold (headings, short paragraphs, cells)
 belong to the text if the nearest section, division or article around them has
-content of its own; headings also if a wider article has. Scripts, styles,
+content of its own (of blocks directly in the body not those that are only
+links); headings also if a wider article has. Scripts, styles,
 navigation, asides, page headers and footers, forms, hidden elements and those
 whose role names such a part are left out before the ratios are taken.
 
@@ -296,7 +297,10 @@ def main_text(page: str | None) -> str:
     kept = []
     for b in blocks:
         heading = b.element.tag in HEADINGS
-        own = id(b) in chosen or id(_part(b.element)) in parts
+        part = _part(b.element)
+        # what is only links and stands in no part but the page belongs to its frame
+        framed = part.tag in ("", "html", "body") and len(b.text) <= b.linked
+        own = id(b) in chosen or (id(part) in parts and not framed)
         if not own and not (heading and b.element.weight == 1 and id(b.element.inside) in wide):
             continue
         if not heading and any(e.tag == "header" for e in _chain(b.element)):

@@ -1,4 +1,5 @@
 import html
+import math
 import re
 
 import pytest
@@ -89,3 +90,43 @@ def test_sections_survive_their_names(mark):
 def test_frames_still_lose():
     page = f"<div class='ad box'><p>{LONG}</div><article><p>{LONG}</p><div class=post-comments><p>{LONG}</div></article>"
     assert htmltext.main_text(page) == LONG
+
+
+def plain_ratios(rows):
+    """Fused ratios from (path, text, linked characters) of a page's blocks, sum by sum."""
+    own = lambda p: [(t, k) for q, t, k in rows if q == p]
+    raw = [
+        (
+            sum(max(0, len(t) - k) for t, k in own(p)) / len(own(p)),
+            sum(len(htmltext.PUNCTUATION.findall(t)) for t, _ in own(p)) / len(own(p)),
+        )
+        for p, _, _ in rows
+    ]
+    out = []
+    for path, _, _ in rows:
+        parts = []
+        for k in (0, 1):
+            total = 0.0
+            places = [i for i, r in enumerate(rows) if r[0] == path]
+            for i in places:
+                near = [(j, math.exp(-((j - i) ** 2) / (2 * htmltext.SIGMA**2))) for j in range(i - 2, i + 3) if 0 <= j < len(rows)]
+                total += math.sqrt(raw[i][k] * sum(w * raw[j][k] for j, w in near) / sum(w for _, w in near))
+            parts.append(total / len(places))
+        out.append(parts[0] * (1 + parts[1]))
+    return out
+
+
+def test_path_ratios_against_plain_sums(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(25).collect()]
+    pages.append(f"<div><p>{LONG}</p><p>a</p><ul><li><a href=x>links only</a><li>b, c.</ul></div><div><p>{LONG}</div>")
+    for page in pages:
+        blocks = htmltext.blocks_of(page)
+        want = plain_ratios([(b.element.path, b.text, b.linked) for b in blocks])
+        assert htmltext.path_ratios(blocks) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("box", ["div id=content class=no-sidebar", "div class='main legal'", "section class=post", "td"])
+def test_pages_without_an_article(box):
+    tag = box.split()[0]
+    page = f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><{box}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{tag}><div><a href=c>More</a></div>"
+    assert htmltext.main_text(page) == f"T\n{LONG}\n{LONG}"
