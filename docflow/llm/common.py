@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.sources.tables import read_table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read lazily by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+table = read_table
 
 
 def durable(df: DataFrame) -> DataFrame:
