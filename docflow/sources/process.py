@@ -1,0 +1,98 @@
+"""Child processes with deadlines, measured: what external tools are called through."""
+
+from __future__ import annotations
+
+import os
+import signal
+import statistics
+import subprocess
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
+#: Bytes of output that a child may write, and seconds between a polite and a hard end.
+MAX_OUTPUT = 4_000_000
+GRACE = 2.0
+
+
+class ChildError(Exception):
+    """A child that failed, ran over its deadline or wrote too much."""
+
+
+@dataclass(frozen=True)
+class Child:
+    """A finished child: its output and what it used."""
+
+    output: bytes
+    seconds: float
+    cpu_seconds: float
+    peak_bytes: int
+
+
+def run_child(command: list[str], timeout: float, most: int = MAX_OUTPUT, grace: float = GRACE) -> Child:
+    """Run a command to its end; it is asked to stop at the deadline, then killed, and always reaped.
+
+    Its own process group goes with it. Peak memory and processor time are the
+    child's alone, as the system reports them when it is reaped.
+    """
+    began = time.monotonic()
+    with subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, start_new_session=True) as child:
+        os.set_blocking(child.stdout.fileno(), False)
+        parts: list[bytes] = []
+        size, ended, stopping, usage = 0, None, None, None
+        while ended is None:
+            part = child.stdout.read()
+            if part:
+                parts.append(part)
+                size += len(part)
+            pid, state, usage = os.wait4(child.pid, os.WNOHANG)
+            if pid:
+                ended = os.waitstatus_to_exitcode(state)
+                continue
+            now = time.monotonic()
+            over = now - began > timeout or size > most
+            if over and stopping is None:
+                stopping = now
+                _signal(child.pid, signal.SIGTERM)
+            elif stopping is not None and now - stopping > grace:
+                _signal(child.pid, signal.SIGKILL)
+            time.sleep(0.005)
+        _signal(child.pid, signal.SIGKILL)  # whatever it left behind
+        rest = child.stdout.read()
+        child.returncode = ended
+    output = b"".join([*parts, rest or b""])
+    if stopping is not None:
+        raise ChildError("deadline" if len(output) <= most else "output budget")
+    if ended or len(output) > most:
+        raise ChildError(f"exit {ended}" if ended else "output budget")
+    return Child(output, time.monotonic() - began, usage.ru_utime + usage.ru_stime, usage.ru_maxrss * 1024)
+
+
+def _signal(pid: int, number: int) -> None:
+    try:
+        os.killpg(pid, number)
+    except ProcessLookupError:
+        pass
+
+
+def staged_times(stages: list[tuple[str, Callable]], repeats: int = 3) -> list[dict]:
+    """Seconds of each stage of a pipeline of functions, each fed its predecessor's result.
+
+    One call checks, one warms up, ``repeats`` are measured; all must give the same
+    last result. Rows of stage, samples, median, least, most.
+    """
+    taken: dict[str, list[float]] = {name: [] for name, _ in stages}
+    results = []
+    for turn in range(2 + repeats):
+        value = None
+        for name, run in stages:
+            began = time.perf_counter()
+            value = run(value)
+            if turn >= 2:
+                taken[name].append(time.perf_counter() - began)
+        results.append(value)
+    if any(r != results[0] for r in results[1:]):
+        raise ChildError("repeats differ")
+    return [
+        {"stage": name, "samples": len(s), "median": statistics.median(s), "least": min(s), "most": max(s)} for name, s in taken.items()
+    ]

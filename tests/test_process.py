@@ -1,0 +1,41 @@
+import sys
+import time
+
+import pytest
+
+from docflow.sources import process
+
+
+def python(code):
+    return [sys.executable, "-c", code]
+
+
+def test_output_and_usage():
+    child = process.run_child(python("x = bytearray(30_000_000); print('é' * 3)"), 20)
+    assert child.output.decode() == "ééé\n"
+    assert child.peak_bytes > 30_000_000 and 0 <= child.cpu_seconds <= child.seconds + 1
+
+
+@pytest.mark.parametrize(
+    ("code", "why"),
+    [("import time; time.sleep(60)", "deadline"), ("raise SystemExit(3)", "exit 3"), ("print('x' * 10_000)", "output budget")],
+)
+def test_failures(code, why):
+    began = time.monotonic()
+    with pytest.raises(process.ChildError, match=why):
+        process.run_child(python(code), 1.5, most=5000, grace=0.2)
+    assert time.monotonic() - began < 15
+
+
+def test_a_deaf_child_is_killed():
+    code = "import signal, time; signal.signal(signal.SIGTERM, signal.SIG_IGN); time.sleep(60)"
+    with pytest.raises(process.ChildError, match="deadline"):
+        process.run_child(python(code), 1.5, grace=0.3)
+
+
+def test_stages():
+    rows = process.staged_times([("a", lambda _: 2), ("b", lambda x: x + 1)])
+    assert [(r["stage"], r["samples"]) for r in rows] == [("a", 3), ("b", 3)] and all(r["least"] <= r["median"] <= r["most"] for r in rows)
+    turns = iter(range(9))
+    with pytest.raises(process.ChildError):
+        process.staged_times([("a", lambda _: next(turns))])
