@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.common import durable, need, table
-from docflow.llm.neardup import WordHash, _chunks, mix
+from docflow.llm.words import chunks, mix, words_of
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens whose exact counts every worker holds: 12 bytes each.
@@ -61,13 +61,10 @@ def in_fold(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def token_hashes(texts: list[str], words: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of the texts, each text closed by END, and the texts' token counts."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    lengths = np.array([len(x) + 1 for x in split], dtype=np.int64)
-    get = words.__getitem__
-    flat = np.fromiter((get(w) for x in split for w in x), dtype=np.uint64, count=int(lengths.sum()) - len(split))
-    return np.insert(flat.view(np.int64), np.cumsum(lengths - 1), END), lengths
+    words = words_of(texts)
+    return np.insert(words.hashes.view(np.int64), words.ends[1:], END), np.diff(words.ends) + 1
 
 
 class _Counts:
@@ -96,11 +93,11 @@ def _counted(docs: DataFrame, keys_of) -> DataFrame:
     """(key, c): counts over the training documents of ``keys_of(tokens, lengths)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHash(), _Counts()
-        for ids, texts in _chunks(batches):
-            mine = [t for i, t in zip(ids, texts, strict=True) if not in_fold(i)]
-            if mine:
-                counts.add(keys_of(*token_hashes(mine, words)))
+        counts = _Counts()
+        for batch in chunks(batches):
+            mine = batch.filter(pa.array([not in_fold(i) for i in batch.column(0).to_pylist()], pa.bool_()))
+            if mine.num_rows:
+                counts.add(keys_of(*token_hashes(mine.column(1))))
             if counts.size > COUNT_BUFFER:
                 yield counts.flush()
         yield counts.flush()
@@ -180,13 +177,20 @@ class LogFrequencyFilter:
         return bits.tobytes()
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by probing items 1, 2, ...; a key leaves at its first bit that isn't set."""
         out = np.zeros(len(keys), dtype=np.int64)
-        live, j, rows = np.arange(len(keys)), 1, _slice_of(keys)
+        flat, width = self.bits.reshape(-1), SLICE_BITS // 8
+        first = _slice_of(keys) * width
+        live, j = np.arange(len(keys)), 1
         while len(live):
-            hit = np.ones(len(live), dtype=bool)
-            for at in _places(keys[live], j):
-                hit &= (self.bits[rows[live], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            with np.errstate(over="ignore"):
+                h = mix(keys[live].view(np.uint64) + np.uint64(j) * _SALT)
+                step = mix(h ^ _SALT) | np.uint64(1)
+                for _ in range(PROBES):
+                    at = (h % np.uint64(SLICE_BITS)).astype(np.int64)
+                    hit = (flat[first[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    live, h, step = live[hit], h[hit], step[hit]
+                    h += step
             out[live] = j
             j += 1
         return out
@@ -363,9 +367,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "asked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, m = WordHash(), shared.value
-        for ids, texts in _chunks(batches):
-            tokens, lengths = token_hashes(texts, words)
+        m = shared.value
+        for batch in chunks(batches):
+            ids = batch.column(0).to_pylist()
+            tokens, lengths = token_hashes(batch.column(1))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
             some, back = np.unique(tokens, return_inverse=True)
             at = np.searchsorted(m.keys, some)
