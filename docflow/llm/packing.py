@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docflow.llm.common import durable, need, table
-from docflow.llm.words import bytes_of, chunks, hasher, spans
+from docflow.llm.words import bytes_of, chunks, hasher, held, spans
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -184,14 +184,9 @@ def _ragged(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return values[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The worker process's encoder, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def tokenize_pieces(

@@ -96,6 +96,18 @@ def hasher(seed: int = 1, fold: bool = True) -> Hasher:
     return _HASHERS[seed, fold]
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make=lambda: None):
+    """A worker process's one large object: kept from task to task, dropped when another operator's code runs there."""
+    if name not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and each text's first byte, the last text's end added; null is empty."""
     if texts.null_count:

@@ -119,3 +119,43 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
     got = neardup.overlaps(sets[:25], sets[25:], columns=16)
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
+
+
+def test_keep_one_judges_rows_by_id_and_text(spark):
+    a, b = "one two three four five six seven eight", "quite another text of nine words in a row"
+    rows = [(1, a), (2, b), (2, a), (None, a), (None, "only here and nowhere else at all"), (7, ""), (7, ""), (None, None), (None, None), (8, " "), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS k1", "'c' AS id", "'c' AS whole", "'c' AS fp", "'c' AS __key")
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    want = [(1, a), (2, b), (None, "only here and nowhere else at all"), (7, ""), (None, None), (8, " ")]
+    assert kept == sorted(want, key=str)
+
+
+def test_many_tiny_sets_in_a_family(spark, monkeypatch):
+    """Ten-shingle texts in one large bucket family: blocks are bounded by classes, the result is whole."""
+    random.seed(3)
+    rows = []
+    for n in range(220):
+        own = ["t%d" % i for i in range(12)]
+        own[random.choice([0, 11])] = "y%d" % random.randrange(60)
+        rows.append((n, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "OUTSIDE_CLASSES", 20)
+    monkeypatch.setattr(neardup, "FAMILY_CLASSES", 40)
+    assert rows_of(neardup.near_duplicates(docs, 3, 80)) == brute(rows, 3, 80)
+
+
+@pytest.mark.parametrize("small", [2, 32, 1000])
+def test_the_border_between_small_and_large_buckets_does_not_show(spark, monkeypatch, small):
+    random.seed(9)
+    base = ["b%d" % i for i in range(60)]
+    rows = []
+    for n in range(80):
+        own = list(base)
+        for _ in range(random.randint(0, 4)):
+            own[random.randrange(60)] = "x%d" % random.randrange(20)
+        rows.append((n, " ".join(own)))
+    monkeypatch.setattr(neardup, "SMALL", small)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(neardup.near_duplicates(docs, 3, 85)) == brute(rows, 3, 85)

@@ -100,3 +100,24 @@ def test_bad_lengths():
     assert packing.bin_completion({}) == []
     with pytest.raises(ValueError):
         packing.bin_completion({3000: 1})
+
+
+SIGNS = "aAbBzİıΣσςΟΔéÉé̈ﬁßẞſ日本😀'sStT.,!?-_  ‍09²½ÅKẛ̣한ᄒµªÿ÷×"
+
+
+@pytest.mark.parametrize("limit", [packing.WORD_CACHE, 200])
+def test_ids_of_any_script_are_the_tokenizers(limit):
+    import pyarrow as pa
+
+    random.seed(1)
+    encoder = packing.WordEncoder(packing.tokenizer_path(), limit)
+    texts = [None, "", "ΟΔΟΣ. ŞİRKETİ. ΑΘΗΝΑΣ, J̌ x", "a<|endoftext|>b <|ENDOFTEXT|>. the<|startoftext|>", "p" * 100_000 + " r", "\x00 \x0b\x0c x"]
+    for _ in range(2000):
+        words = ["".join(random.choice(SIGNS) for _ in range(random.randint(1, 6))) for _ in range(random.randint(0, 9))]
+        texts.append(random.choice([" ", "\n", " \t "]).join(words))
+    for i in range(0, len(texts), 300):
+        ids, ends = encoder.encode(pa.array(texts[i : i + 300], pa.string()))
+        start = 0
+        for text, end in zip(texts[i : i + 300], ends.tolist()):
+            assert ids[start:end].tolist() == encoder.plain(text or "")
+            start = end
