@@ -233,3 +233,10 @@ def isolation_broken(rows: DataFrame, answer: str = "answer") -> DataFrame:
 def unknown_fields(config: Column, allowed: list[str]) -> Column:
     """Keys of a map column that a closed-world configuration doesn't know."""
     return F.array_sort(F.array_except(F.map_keys(config), F.array(*[F.lit(k) for k in allowed])))
+
+
+def repeated_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, copies) of values that are not unique in a field that must be; nulls are no values."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"))
+    counted = long.select("x.field", "x.value").where("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("copies"))
+    return counted.where("copies > 1")

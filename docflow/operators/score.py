@@ -417,3 +417,17 @@ def probe(parsed: Column, markdown: Column) -> Column:
     codes = F.array_distinct(F.transform(parsed["diagnostics"], lambda x: x["code"]))
     fatal = parsed["fatal_error"].isNotNull()
     return F.struct(F.when(fatal, F.array(F.lit("document-error"))).otherwise(codes).alias("codes"), markdown.isNotNull().alias("renderable"))
+
+
+def loss_table(steps: DataFrame, run: str = "run") -> DataFrame:
+    """Training steps with the change of the loss and the least loss so far, per run in step order."""
+    order = Window.partitionBy(run).orderBy("step")
+    return steps.withColumns({"change": F.col("loss") - F.lag("loss").over(order), "least": F.min("loss").over(order)})
+
+
+def replay_differences(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """(side, rows): rows that only the stored or only the recomputed result has, repeats counted; none means identical."""
+    columns = stored.columns
+    left = stored.exceptAll(again.select(*columns)).select(F.lit("stored").alias("side"))
+    right = again.select(*columns).exceptAll(stored).select(F.lit("recomputed").alias("side"))
+    return left.unionByName(right).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORE = -100
@@ -94,3 +94,10 @@ def merge_slots(ids: Column, image: int, features: Column) -> Column:
         F.size(slots) == F.size(features),
         F.transform(ids, lambda t, i: F.when(t == image, F.get(features, F.array_position(slots, i).cast("int") - 1))),
     )
+
+
+def export_rows(examples: DataFrame, key: list[str], supervised: str) -> DataFrame:
+    """key, position, id, label, mask: one row per token of every supervised example."""
+    x = F.col(supervised)
+    zipped = F.posexplode(F.arrays_zip(x["ids"].alias("id"), x["labels"].alias("label"), x["mask"].alias("mask"))).alias("position", "token")
+    return examples.where(x.isNotNull()).select(*key, zipped).select(*key, "position", "token.id", "token.label", "token.mask")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docflow.functions import render, tables
 from docflow.functions.doctags import CODES, parse_doctags
 from docflow.operators import build, corpus, geometry, jobs, score, supervise
-from docflow.plans.catalogue import _ITEMS, _order_tables, _table, normalized_sql, query
-from docflow.sources import tensors
+from docflow.plans.catalogue import _ITEMS, _TOK, _order_tables, _table, _tokens, normalized_sql, query
+from docflow.sources import pdf, tensors
 
 # ------------------------------------------------------------------ parsing
 
@@ -626,3 +626,60 @@ def q_resumed_jobs(spark, d):
 @query("SELECT o_custkey::VARCHAR AS job, max(CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 2 END)::INTEGER AS attempt FROM orders GROUP BY 1")
 def q_next_attempt(spark, d):
     return jobs.next_attempt(_attempts(spark, d))
+
+
+# ------------------------------------------------- tables of runs and sources
+
+
+@query(
+    """WITH s AS (SELECT user_id AS run, event_id AS step, value AS loss FROM events)
+    SELECT run, step, loss - lag(loss) OVER (PARTITION BY run ORDER BY step) AS change, min(loss) OVER (PARTITION BY run ORDER BY step) AS least FROM s"""
+)
+def q_loss_table(spark, d):
+    steps = _table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    return score.loss_table(steps).select("run", "step", "change", "least")
+
+
+@query(
+    """SELECT 'recomputed' AS side, count(*)::BIGINT AS rows FROM orders WHERE o_orderkey % 40 = 0 UNION ALL SELECT 'stored', count(*) FROM orders WHERE o_orderkey % 40 = 0 OR o_orderkey % 40 = 1"""
+)
+def q_replay_identity(spark, d):
+    rows = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    again = rows.where("o_orderkey % 40 <> 1").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 40 == 0, "?").otherwise(F.col("o_orderstatus")))
+    return score.replay_differences(rows, again)
+
+
+@query(
+    """WITH f AS (SELECT 'document' AS field, md5(coalesce(text, '')) AS value FROM documents UNION ALL SELECT 'row', doc_id::VARCHAR FROM documents)
+    SELECT field, value, count(*)::BIGINT AS copies FROM f GROUP BY ALL HAVING count(*) > 1"""
+)
+def q_repeated_fields(spark, d):
+    rows = _table(spark, d, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("document"), F.col("doc_id").alias("row"))
+    return corpus.repeated_fields(rows, ["document", "row"])
+
+
+@query(
+    f"""WITH {_TOK}, e AS (SELECT conv_id, turn, ids, n, unnest(range(0, n)) AS position FROM s WHERE n >= 4 AND n <= 8192)
+    SELECT conv_id, turn, position::INTEGER AS position, ids[position + 1]::INTEGER AS id, CASE WHEN position >= 2 THEN ids[position + 1] ELSE -100 END::INTEGER AS label, 1 AS mask FROM e"""
+)
+def q_accounting_export(spark, d):
+    x = supervise.answer_supervision(F.col("ids"), F.lit(2), 1, 9)
+    return supervise.export_rows(_tokens(spark, d).select("conv_id", "turn", x.alias("x")), ["conv_id", "turn"], "x")
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 <> 1 AND length('%PDF-' || page_id) + octet_length(encode(url)) <= 60 THEN sha256('%PDF-' || page_id || url) END AS sha256 FROM pages"""
+)
+def q_pdf_snapshot(spark, d):
+    head = F.when(F.col("page_id") % 3 == 1, "%PNG-").otherwise("%PDF-")
+    content = F.concat(head, F.col("page_id").cast("string"), F.col("url")).cast("binary")
+    return _table(spark, d, "pages").select("page_id", F.sha2(pdf.snapshot(content, 60), 256).alias("sha256"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 1 THEN (100 + p_size)::BIGINT END AS width, CASE WHEN p_partkey % 3 <> 1 THEN p_partkey END AS height FROM part")
+def q_png_size(spark, d):
+    size = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    kind = F.when(F.col("p_partkey") % 3 == 1, "0803000000").otherwise("0802000000")
+    content = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(F.col("p_size") + 100), size(F.col("p_partkey")), kind, F.lit("00000000")))
+    rows = _table(spark, d, "part").select("p_partkey", pdf.png_size(content).alias("x"))
+    return rows.select("p_partkey", "x.width", "x.height")

@@ -17,8 +17,10 @@ MAX_PAGES, LAST_PAGE = 16, 100_000
 MAX_EDGE, MAX_PIXELS = 16384, 1 << 24
 
 
-def is_pdf(content: Column) -> Column:
-    return F.substring(content, 1, 5) == F.lit(b"%PDF-")
+def snapshot(content: Column, most: int) -> Column:
+    """A PDF's bytes, null for other files and for more than ``most`` bytes."""
+    fine = (F.substring(content, 1, 5) == F.lit(b"%PDF-")) & (F.octet_length(content) <= most)
+    return F.when(fine, content)
 
 
 def page_geometry(text: Column, page: int) -> Column:
