@@ -1,6 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Word n-grams of the test items are seeds. Rarity comes from the corpus: a seed
+Word n-grams of the test items are seeds: three words in a row, and three of
+four with the third left open, so that a copy with every third word replaced has
+seeds too. Rarity comes from the corpus: a seed
 is used if, by the corpus frequencies of its words, at most ``EXPECTED`` of
 ``SEED_WORDS`` places would have it by chance, however large the corpus is: an
 item's seeds don't thin out as it grows. Copies
@@ -35,6 +37,8 @@ from docflow.llm.words import chunks, mix
 from docflow.llm.words import words_of as hashed_words
 
 N = 3
+#: Places of a seed's words, by the words that an item has at least.
+SHAPES = {1: ((0,),), 2: ((0, 1),), N: ((0, 1, 2), (0, 1, 3))}
 EXPECTED = 1.0
 #: Words that chance places are counted in; a smaller corpus counts as it is.
 SEED_WORDS = 4_000_000
@@ -72,12 +76,13 @@ def _found(sorted_hashes: np.ndarray, mask: np.ndarray, hashes: np.ndarray) -> t
     return maybe[hit], at[hit]
 
 
-def grams(flat: np.ndarray, n: int = N) -> np.ndarray:
-    """Hashes of all n-grams of a row of words."""
+def grams(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words at all places of a shape in a row of words."""
+    size = max(0, len(flat) - shape[-1])
     with np.errstate(over="ignore"):
-        out = flat[: max(0, len(flat) - n + 1)].copy()
-        for i in range(1, n):
-            out = mix(out * _MUL + flat[i : len(flat) - n + 1 + i])
+        out = flat[:size] + np.uint64(sum(1 << i for i in shape))
+        for i in shape[1:]:
+            out = mix(out * _MUL + flat[i : size + i])
     return out
 
 
@@ -127,17 +132,15 @@ def _items(rows: list) -> tuple[Items, np.ndarray]:
     words = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
     seeds, owners, places, own = [], [], [], []
     for i, w in enumerate(words):
-        n = min(N, len(w))
-        if not n:
-            continue
-        g = grams(w, n)
-        seeds.append(g)
-        owners.append(np.full(len(g), i))
-        places.append(np.arange(len(g)))
-        padded = np.zeros((len(g), N), dtype=np.uint64)
-        for k in range(n):
-            padded[:, k] = w[k : len(w) - n + 1 + k]
-        own.append(padded)
+        for shape in SHAPES.get(min(N, len(w)), ()):
+            g = grams(w, shape)
+            seeds.append(g)
+            owners.append(np.full(len(g), i))
+            places.append(np.arange(len(g)))
+            padded = np.zeros((len(g), N), dtype=np.uint64)
+            for k, at in enumerate(shape):
+                padded[:, k] = w[at : at + len(g)]
+            own.append(padded)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     s, o, p = cat(seeds, np.uint64), cat(owners, np.int64), cat(places, np.int64)
     parts = np.concatenate(own) if own else np.zeros((0, N), np.uint64)
@@ -182,13 +185,13 @@ def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
     return Items(items.ids, items.words, items.seeds[rare], items.owners[rare], items.places[rare])
 
 
-def _hits(flat: np.ndarray, ends: np.ndarray, items: Items, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of n-grams that are seeds and stay within one text, and the seeds' first numbers."""
+def _hits(flat: np.ndarray, ends: np.ndarray, items: Items, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a seed of a shape begins and stays within one text, and the seeds' first numbers."""
     if items.mask is None:
         items.mask = _mask(items.seeds)
-    places, at = _found(items.seeds, items.mask, grams(flat, n))
+    places, at = _found(items.seeds, items.mask, grams(flat, shape))
     text = np.searchsorted(ends, places, side="right") - 1
-    inside = places + n <= ends[text + 1]
+    inside = places + shape[-1] < ends[text + 1]
     return places[inside], at[inside]
 
 
@@ -196,8 +199,9 @@ def _matches(flat: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple]:
     """(text, item, score, start, end) of every contaminated pair among a chunk of texts."""
     shortest = min((len(w) for w in items.words if len(w)), default=N)
     spans: dict[tuple[int, int], list[int]] = {}
-    for n in range(min(N, shortest), N + 1):
-        for place, first in zip(*(x.tolist() for x in _hits(flat, ends, items, n))):
+    shapes = [(n, shape) for n in range(min(N, shortest), N + 1) for shape in SHAPES[n]]
+    for n, shape in shapes:
+        for place, first in zip(*(x.tolist() for x in _hits(flat, ends, items, shape))):
             text = int(np.searchsorted(ends, place, side="right")) - 1
             k, seed = first, items.seeds[first]
             while k < len(items.seeds) and items.seeds[k] == seed:

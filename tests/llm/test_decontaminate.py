@@ -97,3 +97,26 @@ def test_seeds_do_not_thin_out(monkeypatch):
         return d._rare(items, parts, None).seeds.tolist()
 
     assert 0 < len(seeds(1)) and seeds(1) == seeds(1200)
+
+
+def test_recall_by_edit_rate(spark):
+    """Against the alignment of all pairs: copies with every k-th word replaced are found down to SHARE."""
+    random.seed(6)
+    words = ["v%d" % i for i in range(2000)]
+    items = [(i, " ".join(random.choice(words) for _ in range(30))) for i in range(12)]
+    rows = []
+    for i, text in items:
+        for k in (2, 3, 4, 6, 10):
+            own = text.split()
+            own[k - 1 :: k] = ["x%d" % random.randrange(500) for _ in own[k - 1 :: k]]
+            rows.append((10 * i + k % 10, " ".join([*random.choices(words, k=40), *own, *random.choices(words, k=20)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = {w: i for i, w in enumerate(sorted({w for _, t in [*rows, *items] for w in t.split()}))}
+    want = set()
+    for j, text in rows:
+        for i, item in items:
+            a, b = (np.array([number[w] for w in t.split()]) for t in (item, text))
+            if d.align(a, b)[0] >= d.SHARE * d.MATCH * len(a):
+                want.add((j, i))
+    assert got == want and len(want) >= 4 * len(items)
