@@ -52,9 +52,9 @@ def inspect_label(raw: Column) -> Column:
 
 
 def safe_relative(name: Column) -> Column:
-    """A bounded relative path that stays beneath its root: no empty, ``.`` or ``..`` part."""
+    """A bounded relative path that stays beneath its root; empty and ``.`` parts don't count, ``..`` is refused."""
     parts = F.split(name, "/", -1)
-    fine = (F.length(name) > 0) & (F.length(name) <= 240) & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
+    fine = F.length(name).between(1, 240) & ~F.startswith(name, F.lit("/")) & ~F.array_contains(parts, "..")
     return F.coalesce(fine, F.lit(False))
 
 
