@@ -179,13 +179,20 @@ def _words(text: Column) -> Column:
 
 
 def inventory(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: sorted, and matched run by run."""
-    counted = lambda x: F.map_from_entries(
-        F.transform(F.array_distinct(x), lambda v: F.struct(v, F.size(F.filter(x, lambda w: w == v))))
-    )
-    left, right = counted(a), counted(b)
-    shared = F.array_intersect(F.map_keys(left), F.map_keys(right))
-    return F.aggregate(shared, F.lit(0), lambda n, v: n + F.least(F.element_at(left, v), F.element_at(right, v)))
+    """Size of the multiset intersection of two arrays of strings.
+
+    The n-th occurrence of a value is told from the others by its number, so the
+    built-in intersection of sets counts occurrences.
+    """
+
+    def numbered(values: Column) -> Column:
+        own = F.transform(
+            F.array(F.array_sort(values)),
+            lambda s: F.transform(s, lambda v, i: F.concat_ws("\0", v, (i + 1 - F.array_position(s, v)).cast("string"))),
+        )
+        return F.get(own, F.lit(0))
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def score_coverage(cases: DataFrame) -> DataFrame:
