@@ -2,9 +2,9 @@
 
 One pass over the texts gives each document a sketch of ``REGISTERS`` 16-bit
 registers (leading-zero count and mantissa of the smallest shingle hash of a
-bucket) and its sorted shingle hashes; both are stored, and no text is read
-again. Documents with equal sets collapse into classes before anything is
-compared. Banded registers propose pairs: first a star from each band bucket's
+bucket). Documents with equal sets collapse into classes before anything is
+compared. A second pass stores the sorted shingle hashes of the classes that
+share a band bucket with another; no text is read again. Banded registers propose pairs: first a star from each band bucket's
 hub, and then, only where a bucket still spans several components, the pairs
 across components. A collision-corrected estimate drops pairs that are far from
 the threshold; every other pair is checked on the full shingle sets. Families of
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.common import durable, need, table
 from docflow.llm.components import components
-from docflow.llm.words import as_binary, chunks, mix, words_of
+from docflow.llm.words import as_binary, chunks, held, mix, words_of
 
 #: Registers, their mantissa bits, and registers in a band.
 BUCKET_BITS = 7
@@ -55,9 +55,11 @@ CORE_HUBS = 4
 #: Hashes of a block's outside classes, and of the part of the family it is compared with.
 OUTSIDE_HASHES = 100_000
 FAMILY_HASHES = 400_000
-#: And their classes, which bound a block's table of intersections to some 32 MB.
-OUTSIDE_CLASSES = 1000
-FAMILY_CLASSES = 4000
+#: And their classes, which bound a block's table of intersections to some 8 MB.
+OUTSIDE_CLASSES = 500
+FAMILY_CLASSES = 2000
+#: Documents that are sketched at once.
+SKETCHED = 2000
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -111,6 +113,14 @@ def sketches_of(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     the bits that follow the leading one. Empty buckets borrow from others.
     """
     out = np.zeros((len(counts), REGISTERS), dtype="<u2")
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    for i in range(0, len(counts), SKETCHED):
+        part = counts[i : i + SKETCHED]
+        _fill(out[i : i + SKETCHED], flat[cuts[i] : cuts[i + len(part)]], part)
+    return out
+
+
+def _fill(out: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
     have = np.zeros((len(counts), REGISTERS), dtype=bool)
     row = np.repeat(np.arange(len(counts)), counts)
     place = row * REGISTERS + (flat >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -128,7 +138,6 @@ def sketches_of(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         order = PROBES[e]
         source = order[np.arange(len(e)), have[r[:, None], order].argmax(axis=1)]
         out[r, e] = out[r, source]
-    return out
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -141,30 +150,33 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def fingerprints(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return np.array([fingerprint(flat[a:b]) for a, b in zip(cuts, cuts[1:])], dtype=np.int64)
+
+
 def sketches(docs: DataFrame, size: int, keys: bool = False) -> DataFrame:
-    """doc_id, n_shingles, fp, sketch, hashes (the set) of each document; the last three null for empty sets.
+    """doc_id, n_shingles, fp, sketch of each document; the last two null for empty sets.
 
     With ``keys`` two 64-bit hashes of the text, k1 and k2, follow.
     """
     rows = need(docs, doc_id="long", text="string")
-    names = ["doc_id", "n_shingles", "fp", "sketch", "hashes"]
-    schema = "doc_id long, n_shingles long, fp long, sketch binary, hashes binary"
+    names = ["doc_id", "n_shingles", "fp", "sketch"]
+    schema = "doc_id long, n_shingles long, fp long, sketch binary"
     if keys:
         rows = rows.select("doc_id", "text", *text_keys(F.col("text")))
         names, schema = [*names, "k1", "k2"], f"{schema}, k1 long, k2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near duplicates")
         for batch in chunks(batches):
             flat, counts = shingle_sets(batch.column(1), size)
             none = pa.array(counts == 0)
-            cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            fps = pa.array([fingerprint(flat[a:b]) for a, b in zip(cuts, cuts[1:])], pa.int64())
             columns = [
                 batch.column(0),
                 pa.array(counts),
-                pc.if_else(none, None, fps),
+                pc.if_else(none, None, pa.array(fingerprints(flat, counts), pa.int64())),
                 pc.if_else(none, None, as_binary(sketches_of(flat, counts).reshape(-1), np.full(len(counts), REGISTERS))),
-                pc.if_else(none, None, as_binary(flat, counts)),
             ]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
 
@@ -181,8 +193,8 @@ def _slot(fp: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
         return mix(fp.astype(np.uint64) ^ (doc_id.astype(np.uint64) * _ODD[0])) % np.uint64(64 * FILTER_WORDS)
 
 
-def _wanted_filter(wanted: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter over (fp, lo) as FILTER_WORDS 64-bit words.
+def _filter_of(wanted: DataFrame, lo=None) -> np.ndarray:
+    """A one-hash Bloom filter over (fp, lo) as FILTER_WORDS 64-bit words; without ``lo`` over fp.
 
     Its size doesn't depend on the data. A fuller filter lets more sets through,
     which the joins then drop; it never loses one.
@@ -196,7 +208,7 @@ def _wanted_filter(wanted: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63)], names=["word", "bit"])
 
     rows = (
-        wanted.select("fp", F.coalesce("lo", F.lit(0)).alias("lo"))
+        wanted.select("fp", F.coalesce(F.lit(None).cast("long") if lo is None else F.col(lo), F.lit(0)).alias("lo"))
         .mapInArrow(slots, "word long, bit long")
         .groupBy("word")
         .agg(F.expr("bit_or(shiftleft(1L, CAST(bit AS INT)))").alias("bits"))
@@ -208,20 +220,42 @@ def _wanted_filter(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _wanted_sets(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp and full set (sorted 64-bit hashes) of the classes in ``wanted`` (fp, lo), perhaps more."""
-    shared = found.sparkSession.sparkContext.broadcast(_wanted_filter(wanted))
+def _passed(bits: np.ndarray, fp: np.ndarray, own: np.ndarray) -> np.ndarray:
+    at = _slot(fp.view(np.uint64), own.view(np.uint64))
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _stored_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """fp and full set (sorted 64-bit hashes) of the classes in ``wanted`` (fp, lo), perhaps more; durable.
+
+    A class's set comes from its document ``lo``: copies are left out by the
+    filter, and only repeated rows are left for the last step to combine.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, "lo"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        for batch in chunks(batches):
+            flat, counts = shingle_sets(batch.column(1), size)
+            fp, own = fingerprints(flat, counts), batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            keep = _passed(bits, fp, own) & (counts > 0)
+            sets = pa.RecordBatch.from_arrays([pa.array(fp), as_binary(flat, counts)], names=["fp", "hashes"])
+            yield sets.filter(pa.array(keep))
+
+    rows = need(docs, doc_id="long", text="string").mapInArrow(run, "fp long, hashes binary")
+    return durable(rows.dropDuplicates(["fp"]))
+
+
+def _wanted_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of the stored sets that are in ``wanted`` (fp), perhaps more: what the joins would drop isn't shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            at = _slot(fp.view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 2])
+            yield batch.filter(pa.array(_passed(shared.value, fp, np.zeros(len(fp), np.int64))))
 
-    rows = found.where("fp IS NOT NULL").select("fp", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "hashes")
-    return rows.mapInArrow(run, "fp long, hashes binary").dropDuplicates(["fp"])
+    return sets.mapInArrow(run, "fp long, hashes binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -270,11 +304,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def _confirmed(found: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets; durable."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = ends.join(classes.select("fp", "lo"), "fp")
-    sets = durable(_wanted_sets(found, wanted))  # read by both joins
+    own = _wanted_sets(sets, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +322,8 @@ def _confirmed(found: DataFrame, classes: DataFrame, pairs: DataFrame, percent:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     full = (
-        pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a")
-        .join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
+        pairs.join(own.select(F.col("fp").alias("a"), F.col("hashes").alias("ha")), "a")
+        .join(own.select(F.col("fp").alias("b"), F.col("hashes").alias("hb")), "b")
         .select("a", "b", "ha", "hb")
         .mapInArrow(compare, "a long, b long")
     )
@@ -324,7 +356,7 @@ def _across_small(members: DataFrame, labels: DataFrame, classes: DataFrame, thr
 
 
 def _across_large(
-    found: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, percent: int
+    stored: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, percent: int
 ) -> DataFrame | None:
     """links with those across components inside larger buckets, or None where there is nothing to add.
 
@@ -361,15 +393,15 @@ def _across_large(
         .agg(F.max_by("fp", F.struct(F.coalesce("d", F.lit(0)), "fp")).alias("b"))
     )
     tries = durable(own.where("outside").select(F.col("fp").alias("a"), "family").join(hubs, "family").select("a", "b"))
-    links = durable(links.unionByName(_confirmed(found, classes, tries, percent)))
+    links = durable(links.unionByName(_confirmed(stored, tries, percent)))
     own = placed(components(links))
 
-    sized = own.join(classes.select("fp", "lo", "n_shingles"), "fp")
+    sized = own.join(classes.select("fp", "n_shingles"), "fp")
     whole = sized.groupBy("family").agg(
         F.ceil(F.sum(F.when(F.col("outside"), _load(OUTSIDE_HASHES, OUTSIDE_CLASSES)).otherwise(0.0))).alias("blocks"),
         F.ceil(F.sum(_load(FAMILY_HASHES, FAMILY_CLASSES))).alias("parts"),
     )
-    sets = _wanted_sets(found, sized.select("fp", "lo"))
+    sets = _wanted_sets(stored, sized.select("fp"))
     dealt = durable(sized.join(whole.where("blocks > 0"), "family").join(sets, "fp"))
     one = F.array(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")))
     part = F.array(F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")))
@@ -409,7 +441,7 @@ def _load(hashes: int, classes: int):
     return F.greatest(F.col("n_shingles") / hashes, F.lit(1.0 / classes))
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of membership matrices."""
     owner_l = np.repeat(np.arange(len(left)), [len(s) for s in left])
     owner_r = np.repeat(np.arange(len(right)), [len(s) for s in right])
@@ -446,7 +478,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     100 * intersection >= percent * union. The default is five words and 0.8.
     """
     found = durable(sketches(docs, size))
-    classes, labels = _linked(found, percent)
+    classes, labels = _linked(docs, found, size, percent)
     named = classes.select("fp", "lo").join(labels, "fp")
     lowest = named.groupBy("label").agg(F.min("lo").alias("component"))
     component = named.join(lowest, "label").select("fp", "component")
@@ -462,7 +494,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def _linked(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, found: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The classes (fp, lo, n_shingles, sketch) of stored sketches, and their components (fp, label)."""
     threshold = percent / 100
     classes = durable(
@@ -474,14 +506,16 @@ def _linked(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     hubs = banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("g")).where("g > 1")
     members = durable(banded.join(hubs, "key"))
     star = members.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(found, classes, durable(_likely(star, classes, threshold)), percent)
+    shared = members.select("fp").distinct().join(classes.select("fp", "lo"), "fp")
+    sets = _stored_sets(docs, shared, size)
+    links = _confirmed(sets, durable(_likely(star, classes, threshold)), percent)
     labels = components(links)
 
     more = _across_small(members, labels, classes, threshold)
     if more.take(1):
-        links = durable(links.unionByName(_confirmed(found, classes, more, percent)))
+        links = durable(links.unionByName(_confirmed(sets, more, percent)))
         labels = components(links)
-    links = _across_large(found, members, classes, links, labels, percent)
+    links = _across_large(sets, members, classes, links, labels, percent)
     if links is not None:
         labels = components(links)
     return classes, (
@@ -501,7 +535,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     hashes of texts only.
     """
     found = durable(sketches(docs, size, keys=True))
-    _, labels = _linked(found, percent)
+    _, labels = _linked(docs, found, size, percent)
     own = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "k1", "k2"]
     key = F.struct("no_id", "id", "k1", "k2")
     rows = found.select("fp", *own)
