@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from docflow.sources.tables import read_table
 
-
 table = read_table
 
 
@@ -44,9 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def release(spark: SparkSession) -> int:
+def mark(spark: SparkSession) -> int:
+    """How many durable tables this application has written: ``release`` from there deletes what follows."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
     """Delete this application's durable tables, once results that read them are written."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+    own = _written.get(spark.sparkContext.applicationId, [])
+    paths = own[since:]
+    del own[since:]
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
