@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm import decontaminate, neardup, packing, pii, quality
-from docflow.llm.common import shared_folder
+from docflow.llm.common import mark, release, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,6 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = mark(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        release(spark, before)  # the stage's own tables; its result is written
         docs = spark.read.parquet(f"{at}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
