@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, quality, sharding, urlfilter
+from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, quality, sharding, turnrepair, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": langmodel.op10_lm_scoring,
+    "op12_conversation_repair": turnrepair.op12_conversation_repair,
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE_SQL,
     "op3_license_scan": licenses.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op12_conversation_repair": turnrepair.ORACLE_SQL,
 }
 
 
