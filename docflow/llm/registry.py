@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, quality, sharding, turnrepair, urlfilter
+from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, prefixtrie, quality, sharding, turnrepair, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,12 +16,14 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": langmodel.op10_lm_scoring,
     "op12_conversation_repair": turnrepair.op12_conversation_repair,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE_SQL,
     "op3_license_scan": licenses.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op12_conversation_repair": turnrepair.ORACLE_SQL,
+    "op13_prefix_trie": prefixtrie.ORACLE_SQL,
 }
 
 

@@ -27,16 +27,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import durable, need, table
+from docflow.llm.common import crc32_sql, durable, need, table
+from docflow.llm.streams import EMPTY_SHA256, sha256_by_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Costs of the edits, and of leaving a truncated row in.
@@ -44,7 +42,6 @@ REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: Grammar ``(s?(ua)+)?``: state 0 nothing yet, 1 after s, 2 after u, 3 after a.
 #: The role that an inserted or reroled turn must have, and the state after it.
 NEXT = (("u", 2), ("u", 2), ("a", 3), ("u", 2))
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 @lru_cache(maxsize=None)
@@ -173,7 +170,7 @@ def solved(convs: DataFrame) -> DataFrame:
 
 
 def replay(found: DataFrame, scripts: DataFrame) -> DataFrame:
-    """conv, pos, piece: the repaired lines, each with a newline before it."""
+    """key (conversation), at, piece: the repaired lines that stand at a row, joined by newlines."""
 
     def inserted(x):
         return F.replace(F.replace(x, F.lit("U"), F.lit("\nuser:")), F.lit("A"), F.lit("\nassistant:"))
@@ -185,33 +182,15 @@ def replay(found: DataFrame, scripts: DataFrame) -> DataFrame:
     rows = found.join(edits, ["conv", "pos"]).select("conv", "pos", F.concat(inserted(F.col("before")), line).alias("piece"))
     end = F.regexp_extract("script", "([UA]*)$", 1)
     ends = scripts.select("conv", (F.length("signature") + 1).alias("pos"), inserted(end).alias("piece"))
-    return rows.unionByName(ends).where("piece <> ''")
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The SHA-256 of each conversation's pieces, from rows sorted by conversation and position."""
-
-    def out(conv, digest):
-        return pa.RecordBatch.from_pydict({"conv": [conv], "repaired_sha256": [digest.hexdigest()]})
-
-    conv = digest = None
-    for batch in batches:
-        for key, piece in zip(batch.column("conv").to_pylist(), batch.column("piece").to_pylist()):
-            if key != conv or digest is None:
-                if digest is not None:
-                    yield out(conv, digest)
-                conv, digest, piece = key, hashlib.sha256(), piece[1:]
-            digest.update(piece.encode())
-    if digest is not None:
-        yield out(conv, digest)
+    pieces = rows.unionByName(ends).where("piece <> ''")
+    return pieces.select(F.col("conv").alias("key"), F.col("pos").alias("at"), F.substring("piece", 2, 2**31 - 1).alias("piece"))
 
 
 def repair(rows: DataFrame) -> DataFrame:
     """Per conversation of ``rows`` (conv, turn, role, text without nulls but in turn) its faults, audit and repaired hash."""
     found = durable(faults(rows))
     convs = durable(solved(signatures(found)))
-    pieces = replay(found, convs).repartition("conv").sortWithinPartitions("conv", "pos").select("conv", "piece")
-    hashes = pieces.mapInArrow(_hashes, "conv string, repaired_sha256 string")
+    hashes = sha256_by_key(replay(found, convs), "\n").select(F.col("key").alias("conv"), F.col("sha256").alias("repaired_sha256"))
     return convs.join(hashes, "conv", "left").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.lit(EMPTY_SHA256)))
 
 
@@ -234,13 +213,6 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
-def crc32_sql(text: str) -> str:
-    """CRC-32 of an ASCII text in DuckDB SQL: each byte and eight steps (-1) folded one after the other."""
-    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(({text})[i]), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))"
-    step = "CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: {step}), 4294967295)"
-
-
 def _oracle() -> str:
     """The recursion over every distinct signature from its end, a list of (cost, audit, script) per state."""
 

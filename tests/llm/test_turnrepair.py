@@ -6,6 +6,7 @@ import zlib
 import pytest
 
 from docflow.llm import turnrepair
+from docflow.llm.common import crc32_sql
 
 
 def plain_repair(signature, most_inserts=3):
@@ -139,4 +140,4 @@ def test_a_long_conversation(spark):
 def test_crc_in_sql(x):
     import duckdb
 
-    assert duckdb.sql(f"SELECT {turnrepair.crc32_sql('s')} FROM (SELECT '{x}' AS s)").fetchall()[0][0] == zlib.crc32(x.encode())
+    assert duckdb.sql(f"SELECT {crc32_sql('s')} FROM (SELECT '{x}' AS s)").fetchall()[0][0] == zlib.crc32(x.encode())
