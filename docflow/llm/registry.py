@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docflow.llm import decontaminate, htmltext, langmodel, licenses, neardup, packing, pii, prefixtrie, quality, sharding, turnrepair, urlfilter
+from docflow.llm import decontaminate, htmltext, imatch, langmodel, licenses, neardup, packing, pii, prefixtrie, quality, sharding, turnrepair, urlfilter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": langmodel.op10_lm_scoring,
+    "op11_document_fingerprints": imatch.op11_document_fingerprints,
     "op12_conversation_repair": turnrepair.op12_conversation_repair,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
