@@ -10,22 +10,46 @@ from pyspark.sql import types as T
 from docflow.operators.corpus import normalized
 
 
-def edit_distance(a: list, b: list) -> int:
+#: First width of the band on either side of the diagonal; it doubles until the distance fits.
+FIRST_BAND = 32
+
+
+def edit_distance(a: str | list, b: str | list) -> int:
     """Unit-cost Levenshtein distance of two sequences.
 
-    A column of the table is two bit rows of differences (Myers), so a step of the
-    longer sequence costs a few operations on integers as long as the shorter one.
+    Equal ends are cut off. The table is then filled in a band around its
+    diagonal only, which doubles until the distance fits into it (Ukkonen), so
+    near texts of any length cost little more than their length. A column of the
+    band is two rows of bits of differences (Myers), a few operations on integers.
     """
     if len(a) > len(b):
         a, b = b, a
+    start = 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a:
         return len(b)
     places: dict = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
-    at = {x: sum(1 << i for i in own) for x, own in places.items()}
-    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = mask, 0, len(a)
+    band = max(FIRST_BAND, len(b) - len(a))
+    while band < len(a):
+        distance = _banded(places, len(a), b, band)
+        if distance <= band:
+            return distance
+        band *= 2
+    return _whole(places, len(a), b)
+
+
+def _whole(places: dict, rows: int, b: str | list) -> int:
+    """The distance from whole columns of the table."""
+    at = {x: _bits(own, rows) for x, own in places.items()}
+    mask, last = (1 << rows) - 1, 1 << (rows - 1)
+    up, down, distance = mask, 0, rows
     for y in b:
         same = at.get(y, 0)
         vertical = same | down
@@ -39,6 +63,54 @@ def edit_distance(a: list, b: list) -> int:
     return distance
 
 
+def _bits(places: list[int], size: int) -> int:
+    row = bytearray(size // 8 + 1)
+    for i in places:
+        row[i >> 3] |= 1 << (i & 7)
+    return int.from_bytes(row, "little")
+
+
+def _banded(places: dict, rows: int, b: str | list, band: int) -> int:
+    """The distance, if it is at most ``band``, else some number above it.
+
+    Bit t of a column's integers stands for row (column - band + t), counted
+    from 0, so the window moves down a row with each column. The value is
+    followed along the band's lowest diagonal to the last row, then along that.
+    The places of an element are kept in overlapping blocks of two widths, so a
+    window is one shift of one of them.
+    """
+    width = 2 * band + 1
+    at: dict = {}
+    for x, own in places.items():
+        blocks = at[x] = {}
+        for i in own:
+            block, bit = divmod(i, width)
+            blocks[block] = blocks.get(block, 0) | 1 << bit
+            blocks[block - 1] = blocks.get(block - 1, 0) | 1 << (bit + width)
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    up, down, distance = mask >> band << band, 0, band
+    for column, y in enumerate(b):
+        block, shift = divmod(column - band, width)
+        same = (at[y].get(block, 0) >> shift) & mask if y in at else 0
+        zero = ((((same & up) + up) ^ up) | same | down) & mask
+        plus, minus = (down | ~(zero | up)) & mask, zero & up
+        below = column + band + 1 - rows  # of how many rows the window lies below the table
+        if below <= 0:
+            distance += not zero & top
+        else:
+            last = top >> below
+            distance += bool(plus & last) - bool(minus & last)
+        zero >>= 1
+        up, down = (minus | ~(zero | plus)) & mask, zero & plus
+    return distance
+
+
+@F.arrow_udf(T.LongType())
+def character_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distance over characters; null where a side is null."""
+    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+
 @F.arrow_udf(T.LongType())
 def word_edits(a: pa.Array, b: pa.Array) -> pa.Array:
     """Distance over words; null where a side is null."""
@@ -64,7 +136,7 @@ def score_cases(cases: DataFrame) -> DataFrame:
     words = lambda c: F.size(F.array_remove(F.split(c, " ", -1), ""))
     rows = rows.withColumns(
         {
-            "character_edits": F.levenshtein("expected", "actual").cast("long"),
+            "character_edits": character_edits("expected", "actual"),
             "reference_characters": F.length("expected").cast("long"),
             "word_edits": word_edits("expected", "actual"),
             "reference_words": F.when(F.col("expected").isNotNull(), words(F.col("expected"))).cast("long"),

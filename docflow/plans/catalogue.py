@@ -447,22 +447,26 @@ def q_token_accounting(spark, d):
 
 
 @query(
-    """SELECT conv_id, turn, '0,1' AS slots FROM conversations"""
+    f"""WITH {_TOK}, w AS (SELECT conv_id, turn, list_filter(range(0, n), lambda i: ids[i + 1] = 12) AS places FROM s)
+    SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN array_to_string(list_transform(places, lambda p, i: p || ':' || (100 + i - 1)), ',') END AS slots FROM w"""
 )
 def q_image_slot_rank(spark, d):
-    merged = supervise.merge_slots(F.col("ids"), 9, F.array(F.lit(0), F.lit(1)))
-    return _tokens(spark, d).select("conv_id", "turn", F.array_join(F.array_compact(merged).cast("array<string>"), ",").alias("slots"))
+    """Words of three letters stand for image slots; every third turn has a feature too many."""
+    rows = _tokens(spark, d).withColumn("n", F.size(F.filter("ids", lambda t: t == 12)) + (F.col("turn") % 3 == 2).cast("int"))
+    features = F.transform(F.slice(F.sequence(F.lit(0), F.col("n")), F.lit(1), F.col("n")), lambda i: i + 100)
+    merged = supervise.merge_slots(F.col("ids"), 12, features)
+    placed = F.filter(F.transform(merged, lambda f, i: F.concat_ws(":", i, f)), lambda x: F.contains(x, F.lit(":")))
+    return rows.select("conv_id", "turn", F.when(merged.isNotNull(), F.array_join(placed, ",")).alias("slots"))
 
 
-def _scored(spark, d, whole=False):
-    """Each document's first line, or whole text, against a copy without its letter e; every 10th page fails, every 7th has no reference."""
-    line = F.regexp_replace(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)), r"[^ -~]", "")
-    line = F.coalesce("text", F.lit("")) if whole else line
+def _scored(spark, d):
+    """Each document against a copy without its letter e; every 10th page fails, every 7th has no reference."""
+    text = F.coalesce("text", F.lit(""))
     rows = _table(spark, d, "documents").select(
         F.col("doc_id"),
         F.col("lang").alias("split"),
-        F.when((F.col("doc_id") % 7 != 0) & (F.length(F.trim(line)) > 0), line).alias("reference"),
-        F.replace(line, F.lit("e"), F.lit("")).alias("markdown"),
+        F.when((F.col("doc_id") % 7 != 0) & (F.length(corpus.normalized(text)) > 0), text).alias("reference"),
+        F.replace(text, F.lit("e"), F.lit("")).alias("markdown"),
         F.when(F.col("doc_id") % 10 == 0, "length").otherwise("eos").alias("stop_reason"),
         F.lit(0).alias("n_diagnostics"),
         F.lit(None).cast("string").alias("error"),
@@ -470,15 +474,17 @@ def _scored(spark, d, whole=False):
     return score.score_cases(rows)
 
 
-_CER = r"""
-l AS (SELECT doc_id, lang AS split, regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[^ -~]', '', 'g') AS line FROM documents),
-x AS (SELECT doc_id, split, doc_id % 10 <> 0 AS strict, CASE WHEN doc_id % 7 <> 0 AND length(trim(line)) > 0 THEN trim(regexp_replace(line, ' +', ' ', 'g')) END AS expected,
-      CASE WHEN doc_id % 10 <> 0 THEN trim(regexp_replace(replace(line, 'e', ''), ' +', ' ', 'g')) ELSE '' END AS actual FROM l)"""
+# what is left of a text is a subsequence of it, so the distance is the difference of the lengths
+_CER = f"""
+l AS (SELECT doc_id, lang AS split, {normalized_sql("coalesce(text, '')")} AS line, {normalized_sql("replace(coalesce(text, ''), 'e', '')")} AS cut FROM documents),
+x AS (SELECT doc_id, split, doc_id % 10 <> 0 AS strict, CASE WHEN doc_id % 7 <> 0 AND length(line) > 0 THEN line END AS expected,
+      CASE WHEN doc_id % 10 <> 0 THEN cut ELSE '' END AS actual FROM l),
+y AS (SELECT *, length(expected) - length(actual) AS e FROM x)"""
 
 
 @query(
-    f"""WITH {_CER} SELECT doc_id, strict, CASE WHEN expected IS NOT NULL THEN levenshtein(expected, actual)::BIGINT END AS character_edits,
-    length(expected)::BIGINT AS reference_characters, CASE WHEN expected IS NOT NULL THEN strict AND expected = actual END AS accepted FROM x"""
+    f"""WITH {_CER} SELECT doc_id, strict, CASE WHEN expected IS NOT NULL THEN e::BIGINT END AS character_edits,
+    length(expected)::BIGINT AS reference_characters, CASE WHEN expected IS NOT NULL THEN strict AND expected = actual END AS accepted FROM y"""
 )
 def q_cer(spark, d):
     return _scored(spark, d).select("doc_id", "strict", "character_edits", "reference_characters", "accepted")
@@ -486,12 +492,11 @@ def q_cer(spark, d):
 
 @query(None)
 def q_wer_micro(spark, d):
-    return score.summarize(_scored(spark, d, whole=True)).select("split", "word_edits", "reference_words", "wer")
+    return score.summarize(_scored(spark, d)).select("split", "word_edits", "reference_words", "wer")
 
 
 @query(
-    f"""WITH {_CER}, y AS (SELECT *, CASE WHEN expected IS NOT NULL THEN levenshtein(expected, actual) END AS e FROM x)
-    SELECT split, count(*)::BIGINT AS pages, count(expected)::BIGINT AS reviewed, count(*) FILTER (strict)::BIGINT AS strict_exports,
+    f"""WITH {_CER} SELECT split, count(*)::BIGINT AS pages, count(expected)::BIGINT AS reviewed, count(*) FILTER (strict)::BIGINT AS strict_exports,
     count(*) FILTER (strict AND expected = actual)::BIGINT AS accepted, sum(e)::BIGINT AS character_edits, sum(length(expected))::BIGINT AS reference_characters,
     sum(e)::DOUBLE / sum(length(expected)) AS cer FROM y GROUP BY split"""
 )

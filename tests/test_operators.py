@@ -43,6 +43,33 @@ def test_edit_distance(a, b, n):
     assert score.edit_distance(a.split(), b.split()) == n
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("band", [1, 2, 5, 32])
+def test_banded_distance_by_the_whole_table(band, monkeypatch):
+    monkeypatch.setattr(score, "FIRST_BAND", band)
+    rng = random.Random(band)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(2))
+        assert score.edit_distance(a, b) == plain_distance(a, b)
+    for _ in range(10):
+        a = [rng.choice("abcdé😀") for _ in range(300)]
+        b = list(a)
+        for _ in range(rng.randrange(80)):
+            k = rng.randrange(len(b) - 3)
+            b[k : k + rng.randrange(3)] = rng.choices("abcdé😀", k=rng.randrange(3))
+        assert score.edit_distance(a, "".join(b)) == plain_distance(a, b)
+    whole = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    assert score.edit_distance(whole, whole.replace("e", "")) == whole.count("e")
+
+
 def test_unreviewed_pages_stay_null_and_failures_score_as_empty(spark):
     rows = [("t", "ab cd", "ab cd", "eos", 0, None), ("t", "ab cd", "ab cd", "length", 0, None), ("t", None, "x", "eos", 0, None), ("t", "ab", None, "eos", 0, "boom")]
     cases = spark.createDataFrame(rows, "split string, reference string, markdown string, stop_reason string, n_diagnostics int, error string")

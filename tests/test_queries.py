@@ -23,5 +23,6 @@ def test_query(spark, con, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     want = con.sql(catalogue.ORACLES[name])
+    names = ", ".join(f'"{c}"' for c in columns)
     assert sorted(want.columns) == columns
-    assert plain(df.select(*columns).collect()) == plain(con.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    assert plain(df.select(*columns).collect()) == plain(con.sql(f"SELECT {names} FROM ({catalogue.ORACLES[name]})").fetchall())
