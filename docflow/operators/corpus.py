@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.functions import strictjson
 from docflow.operators.graph import components, shared_keys
 
 #: White space as Unicode-aware string splitting has it.
@@ -58,44 +59,65 @@ def safe_relative(name: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
-#: The fields of a selection seal, fixed.
-SEAL_FIELDS = (
-    "schema_version status selection_criterion final_content_opened workflow_sha256 selection_protocol_sha256 "
-    "selection_report selection_report_sha256 selected_id selected_kind selected_files final_cases "
-    "development_evidence source_revision"
-).split()
+#: The fields of a selection seal and the kinds of their values, fixed.
+SEAL_FIELDS = {
+    "schema_version": "integer",
+    "status": "string",
+    "selection_criterion": "string",
+    "final_content_opened": "boolean",
+    "workflow_sha256": "string",
+    "selection_protocol_sha256": "string",
+    "selection_report": "string",
+    "selection_report_sha256": "string",
+    "selected_id": "string",
+    "selected_kind": "string",
+    "selected_files": "object",
+    "final_cases": "array",
+    "development_evidence": "object",
+    "source_revision": "string",
+}
+#: Per problem the fields it looks at and what must hold of their values.
+SEAL_RULES = (
+    ("schema", ("schema_version",), lambda v, _: v == 1),
+    ("status", ("status", "selection_criterion"), lambda v, w, _: (v == "selection-sealed") & (w == "validation-only")),
+    ("final opened", ("final_content_opened",), lambda v, _: ~v),
+    ("workflow", ("workflow_sha256",), lambda v, policy: v == policy["workflow_sha256"]),
+    ("protocol", ("selection_protocol_sha256",), lambda v, policy: v == policy["selection_protocol_sha256"]),
+    ("revision", ("source_revision",), lambda v, _: v.rlike(r"\A[0-9a-f]{40}\z")),
+    ("identity", ("selected_id",), lambda v, _: v != ""),
+    ("final cases", ("final_cases",), lambda v, policy: v == strictjson.canonical(strictjson.parsed(policy["final_cases"]))),
+    ("evidence", ("development_evidence",), lambda v, policy: v == strictjson.canonical(strictjson.parsed(policy["development_evidence"]))),
+    ("report path", ("selection_report",), lambda v, _: safe_relative(v)),
+    ("kind", ("selected_kind", "selected_files"), lambda v, files, _: v.isin("base", "adapter") & files.isNotNull()),
+    ("payload", ("selected_kind", "selected_files"), lambda v, files, _: (v == "base") == (files == "{}")),
+)
 
 
 def seal_problems(seal: Column, policy: Column) -> Column:
     """What keeps a seal from being accepted, in order; an empty array for a good one.
 
-    ``seal`` is JSON text. ``policy``: struct of workflow_sha256,
-    selection_protocol_sha256, final_cases and development_evidence (JSON text of
-    what it must hold).
+    ``seal`` is JSON text, read strictly: repeated keys, text behind the value
+    and values of another kind than ``SEAL_FIELDS`` has are problems, the order of
+    keys isn't. ``policy``: struct of workflow_sha256, selection_protocol_sha256,
+    final_cases and development_evidence (JSON text of what it must hold).
     """
-    field = lambda name: F.get_json_object(seal, f"$.{name}")
-    keys = F.coalesce(F.json_object_keys(seal), F.array().cast("array<string>"))
-    wanted = F.array(*[F.lit(k) for k in SEAL_FIELDS])
-    files = F.from_json(field("selected_files"), "map<string,string>")
-    n_files = F.coalesce(F.size(files), F.lit(-1))
+    whole = strictjson.parsed(seal)
+    keys = F.coalesce(F.map_keys(strictjson.fields(whole)), F.array().cast("array<string>"))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    rules = (
-        ("fields", (F.size(keys) == len(SEAL_FIELDS)) & (F.size(F.array_except(keys, wanted)) == 0)),
-        ("schema", field("schema_version") == "1"),
-        ("status", (field("status") == "selection-sealed") & (field("selection_criterion") == "validation-only")),
-        ("final opened", field("final_content_opened") == "false"),
-        ("workflow", field("workflow_sha256") == policy["workflow_sha256"]),
-        ("protocol", field("selection_protocol_sha256") == policy["selection_protocol_sha256"]),
-        ("revision", field("source_revision").rlike(r"\A[0-9a-f]{40}\z")),
-        ("identity", F.length(field("selected_id")) > 0),
-        ("final cases", field("final_cases") == policy["final_cases"]),
-        ("evidence", field("development_evidence") == policy["development_evidence"]),
-        ("report path", safe_relative(field("selection_report"))),
-        ("kind", field("selected_kind").isin("base", "adapter") & (n_files >= 0)),
-        ("payload", (field("selected_kind") == "base") == (n_files == 0)),
-        ("digests", F.forall(F.map_entries(files), lambda e: safe_relative(e["key"]) & e["value"].rlike(r"\A[0-9a-f]{64}\z"))),
-    )
-    return F.array_compact(F.array(*[F.when(~yes(fine), name) for name, fine in rules]))
+
+    def value(name):
+        kind = SEAL_FIELDS[name]
+        if kind in ("string", "integer", "boolean"):
+            return strictjson.typed(whole, name, kind)
+        found = strictjson.field(whole, name)
+        return F.when(strictjson.is_kind(found, kind), strictjson.canonical(found))
+
+    problems = [F.when(~yes(F.array_sort(keys) == F.array(*[F.lit(k) for k in sorted(SEAL_FIELDS)])), "fields")]
+    problems += [F.when(~yes(rule(*[value(x) for x in names], policy)), name) for name, names, rule in SEAL_RULES]
+    files = F.map_entries(strictjson.fields(strictjson.field(whole, "selected_files")))
+    digest = lambda v: F.when(strictjson.is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
+    bound = F.forall(files, lambda e: yes(safe_relative(e["key"]) & digest(e["value"]).rlike(r"\A[0-9a-f]{64}\z")))
+    return F.array_compact(F.array(*problems, F.when(~yes(bound), "digests")))
 
 
 GROUND_TRUTH = (

@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` and read back; survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and sc.master.partition("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docflow-"))
-    path = f"{sc.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from docflow.sources.files import stored
 
 
 def shared_keys(rows: DataFrame, node: str, *keys: str) -> DataFrame:

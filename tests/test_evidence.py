@@ -1,11 +1,12 @@
 """Scores, targets, seals and jobs against plain versions."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.functions import render, tables
+from docflow.functions import render, strictjson, tables
 from docflow.functions.doctags import parse_doctags, parse_page
 from docflow.operators import build, corpus, geometry, jobs, score, supervise
 from docflow.streaming import journal
@@ -69,6 +70,68 @@ def test_bad_seals_never_fail(spark):
         assert "fields" in one(spark, corpus.seal_problems(F.lit(seal).cast("string"), policy))
 
 
+def good_seal():
+    digest, revision = "0" * 64, "a" * 40
+    return {
+        "schema_version": 1, "status": "selection-sealed", "selection_criterion": "validation-only", "final_content_opened": False,
+        "workflow_sha256": digest, "selection_protocol_sha256": digest, "selection_report": "out/r.json", "selection_report_sha256": digest,
+        "selected_id": "step-40", "selected_kind": "adapter", "selected_files": {"a/w.bin": digest}, "final_cases": ["p1", "p2"],
+        "development_evidence": {"y": digest, "x": digest}, "source_revision": revision,
+    }
+
+
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        ({}, []),
+        ({"schema_version": "1"}, ["schema"]),
+        ({"schema_version": 2}, ["schema"]),
+        ({"final_content_opened": "false"}, ["final opened"]),
+        ({"final_content_opened": True}, ["final opened"]),
+        ({"final_content_opened": None}, ["final opened"]),
+        ({"selected_id": 40}, ["identity"]),
+        ({"selected_id": ""}, ["identity"]),
+        ({"final_cases": ["p2", "p1"]}, ["final cases"]),
+        ({"final_cases": "[p1]"}, ["final cases"]),
+        ({"development_evidence": {"x": "0" * 64, "y": "0" * 64}}, []),
+        ({"development_evidence": {"x": "0" * 64, "y": 0}}, ["evidence"]),
+        ({"selected_files": {}}, ["payload"]),
+        ({"selected_kind": "base"}, ["payload"]),
+        ({"selected_kind": "base", "selected_files": {}}, []),
+        ({"selected_files": {"../w": "0" * 64}}, ["digests"]),
+        ({"selected_files": {"w": 7}}, ["digests"]),
+        ({"selected_files": ["w"]}, ["kind", "payload", "digests"]),
+        ({"selection_report": 5}, ["report path"]),
+        ({"more": 1}, ["fields"]),
+    ],
+)
+def test_seals_by_typed_values(spark, change, want):
+    seal = good_seal()
+    policy = F.struct(
+        *[F.lit(seal[n]).alias(n) for n in ("workflow_sha256", "selection_protocol_sha256")],
+        *[F.lit(json.dumps(seal[n])).alias(n) for n in ("final_cases", "development_evidence")],
+    )
+    assert one(spark, corpus.seal_problems(F.lit(json.dumps(seal | change)), policy)) == want
+
+
+def test_seals_with_repeated_keys_or_more_text_are_refused(spark):
+    policy = F.struct(*[F.lit("x").alias(n) for n in ("workflow_sha256", "selection_protocol_sha256", "final_cases", "development_evidence")])
+    whole = json.dumps(good_seal())
+    for seal in (whole[:-1] + ', "selected_id": "other"}', whole + " x", whole + whole, whole.replace('"y"', '"x"')):
+        assert "fields" in one(spark, corpus.seal_problems(F.lit(seal), policy))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"b": 1, "a": [1, "2", null]} ', '{"a":[1,"2",null],"b":1}'), ("3", "3"), ('"x"', '"x"'), ("", None), (" ", None), ("1,2", None), ('1,"k":2', None),
+        ("1],[2", None), ('1},{"v":2', None), ('{"a":1,"a":1}', None), ('{"a":{"b":1,"b":2}}', None), ("{", None), ("nan", None), ("1 2", None), ("{} {}", None),
+    ],
+)
+def test_strict_json(spark, text, want):
+    assert one(spark, strictjson.canonical(strictjson.parsed(F.lit(text)))) == want
+
+
 def test_labels(spark):
     raw = "<doctag><loc_12><loc_500></text><loc_" + "9" * 40 + "><loc_007>"
     x = one(spark, corpus.inspect_label(F.lit(raw)))

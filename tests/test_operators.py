@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
