@@ -1,45 +1,92 @@
-"""Generation records as a stream: parse each once, keep an append-only table of pages."""
+"""Generation records as a stream: a state per page decides what is parsed, an append-only table of pages comes out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow.functions.doctags import parse_doctags
 from docflow.functions.render import to_markdown
-from docflow.operators.jobs import RECORD, latest_records
+from docflow.operators.jobs import RECORD, record_rank
+
+#: By the time files were written: how far behind the newest a file may come, and how much longer a page is remembered.
+KEEP = "7 days"
+KEEP_MS = 7 * 24 * 3600 * 1000
+CHOSEN = "job string, page long, attempt int, raw string, stop_reason string, error string"
+STATE = "valid boolean, attempt long, tie long"
 
 
 def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The records of a journal as they are published, with ``seen``, when their file was written."""
+    files = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return files.select("*", F.col("_metadata.file_modification_time").alias("seen"))
 
 
 def convert(records: DataFrame) -> DataFrame:
-    """Records to (job, page, codes, markdown, error): the same plan for streams and tables."""
-    parsed = records.select("job", "page", "error", parse_doctags(F.col("raw"), F.col("stop_reason")).alias("p"))
-    return parsed.select("job", "page", F.col("p.diagnostics.code").alias("codes"), to_markdown(F.col("p")).alias("markdown"), "error")
+    """Records to (job, page, attempt, codes, markdown, error): the same plan for streams and tables."""
+    parsed = records.select("job", "page", "attempt", "error", parse_doctags(F.col("raw"), F.col("stop_reason")).alias("p"))
+    done = F.col("error").isNull()
+    return parsed.select(
+        "job", "page", "attempt", F.when(done, F.col("p.diagnostics.code")).alias("codes"), F.when(done, to_markdown(F.col("p"))).alias("markdown"), "error"
+    )
+
+
+def _better(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A page's best new record, if it is better than the best one so far."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    known = state.get if state.exists else None
+    best, last = None, state.getCurrentWatermarkMs()
+    for rows in batches:
+        last = max(last, int(rows["seen_ms"].max()))
+        for r in rows.itertuples(index=False):
+            rank = bool(r.valid), int(r.attempt_rank), int(r.tie)
+            if known is None or rank > known:
+                known, best = rank, r
+    state.update(known)
+    state.setTimeoutTimestamp(last + KEEP_MS)
+    if best is not None:
+        attempt = None if pd.isna(best.attempt) else int(best.attempt)
+        row = pd.DataFrame([(*key, attempt, best.raw, best.stop_reason, best.error)], columns=["job", "page", "attempt", "raw", "stop_reason", "error"])
+        yield row.astype({"page": "Int64", "attempt": "Int32"})
 
 
-def start(spark: SparkSession, journal: str, target: str, checkpoint: str):
-    """Convert what arrives; each batch is written under its number, so a replayed batch replaces itself.
+def latest(records: DataFrame) -> DataFrame:
+    """Per micro-batch the records that overtake what their page had: the valid one of the highest attempt, else the last failure.
 
-    A later attempt of a page may come in a later batch: ``pages`` reads the
-    latest one.
+    A page's state is its best rank, three numbers. It is dropped once the watermark
+    is ``KEEP`` past the page's last file; Spark drops records later than the
+    watermark, so a page whose state is gone can't fall back.
     """
+    rank = record_rank()
+    rows = records.withWatermark("seen", KEEP).select(
+        "job", "page", "attempt", "raw", "stop_reason", "error", "seen", F.unix_millis("seen").alias("seen_ms"),
+        rank["valid"].alias("valid"), rank["attempt"].cast("long").alias("attempt_rank"), rank["tie"].alias("tie"),
+    )
+    return rows.groupBy("job", "page").applyInPandasWithState(_better, CHOSEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def start(spark: SparkSession, journal: str, target: str, checkpoint: str, files_per_trigger: int = 64):
+    """Convert what arrives and counts; each batch is written under its number, so a replayed batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = latest_records(batch)
-        attempts = fresh.select("job", "page", "attempt")
-        convert(fresh).join(attempts, ["job", "page"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        convert(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = read_journal(spark, journal).where("error IS NULL")
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = latest(read_journal(spark, journal, files_per_trigger))
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pages(spark: SparkSession, target: str) -> DataFrame:
-    """(job, page, codes, markdown, error) of the latest attempt of each page that the stream has written."""
+    """(job, page, attempt, codes, markdown, error): each page as the stream has written it last.
+
+    The stream writes a page again only when a better record has come, so this
+    looks at little more than one row for each page.
+    """
     rows = spark.read.parquet(target)
-    columns = ("codes", "markdown", "error")
-    rank = F.struct(F.coalesce("attempt", F.lit(0)), "batch")
-    best = rows.groupBy("job", "page").agg(F.max_by(F.struct(*columns), rank).alias("best"))
+    best = rows.groupBy("job", "page").agg(F.max_by(F.struct("attempt", "codes", "markdown", "error"), "batch").alias("best"))
     return best.select("job", "page", "best.*")

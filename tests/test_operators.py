@@ -1,5 +1,7 @@
 import random
+import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -118,6 +120,70 @@ def test_jobs_resume_and_isolate_failures(spark, tmp_path):
     assert kept.count() == 6 and [r["attempt"] for r in kept.where("page = 3").orderBy("attempt").collect()] == [1, 2]
 
 
+def test_a_changed_request_is_refused(spark, tmp_path):
+    selected = spark.createDataFrame([("j", 1), ("j", 2)], "job string, page long")
+    at, made = str(tmp_path / "journal"), lambda p: ("<doctag></doctag>", [1], "eos")
+    jobs.run_job(spark, selected, made, at, {"model": "a", "dpi": 144})
+    jobs.run_job(spark, selected.orderBy(F.desc("page")), made, at, {"dpi": 144, "model": "a"})
+    for rows, request in ((selected, {"model": "b", "dpi": 144}), (selected.where("page = 1"), {"model": "a", "dpi": 144}), (selected, None)):
+        with pytest.raises(jobs.RequestChanged):
+            jobs.run_job(spark, rows, made, at, request)
+    assert not (tmp_path / "journal" / "_lock").exists()
+
+
+def test_a_locked_journal_is_left_alone(spark, tmp_path):
+    selected = spark.createDataFrame([("j", 1)], "job string, page long")
+    (tmp_path / "journal").mkdir()
+    (tmp_path / "journal" / "_lock").write_text("")
+    with pytest.raises(jobs.JobLocked):
+        jobs.run_job(spark, selected, lambda p: ("<doctag></doctag>", [1], "eos"), str(tmp_path / "journal"))
+    assert [f.name for f in (tmp_path / "journal").iterdir()] == ["_lock"]
+
+
+def test_two_runs_at_once_give_an_attempt_each(spark, tmp_path):
+    selected = spark.createDataFrame([("j", p) for p in range(4)], "job string, page long")
+    at = str(tmp_path / "journal")
+    slow = tmp_path / "slow"
+
+    def made(page):
+        while not slow.exists():
+            time.sleep(0.05)
+        return "<doctag></doctag>", [1], "eos"
+
+    with ThreadPoolExecutor(3) as pool:
+        first = pool.submit(jobs.run_job, spark, selected, made, at)
+        while not (tmp_path / "journal" / "_lock").exists():
+            time.sleep(0.05)
+        with pytest.raises(jobs.JobLocked):
+            jobs.run_job(spark, selected, made, at)
+        others = [pool.submit(jobs.run_job, spark, selected, made, at, None, False) for _ in range(2)]
+        while len(list((tmp_path / "journal" / "_claims").glob("attempt-*"))) < 3:
+            time.sleep(0.05)
+        assert not list((tmp_path / "journal").glob("attempt=*"))
+        slow.write_text("go")
+        counts = [x.result().count() for x in (first, *others)]
+    assert counts == [4, 4, 4]
+    assert sorted(p.name for p in (tmp_path / "journal").glob("attempt=*")) == ["attempt=1", "attempt=2", "attempt=3"]
+    latest = jobs.latest_records(jobs.read_journal(spark, at))
+    assert {r["attempt"] for r in latest.collect()} == {3}
+
+
+def test_a_run_that_dies_publishes_nothing(spark, tmp_path, monkeypatch):
+    selected = spark.createDataFrame([("j", 1)], "job string, page long")
+    at, made = str(tmp_path / "journal"), lambda p: ("<doctag></doctag>", [1], "eos")
+
+    def dies(self, old, new):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs._Folder, "move", dies)
+        with pytest.raises(OSError):
+            jobs.run_job(spark, selected, made, at)
+    assert jobs.read_journal(spark, at).count() == 0
+    (r,) = jobs.run_job(spark, selected, made, at).collect()
+    assert r["attempt"] == 2
+
+
 def test_supervision(spark):
     tokens = F.array(*[F.lit(t) for t in (9, 5, 6, 7, 1)])
     x = one(spark, supervise.answer_supervision(tokens, F.lit(2), 1, 9, F.lit(7), 0))

@@ -1,5 +1,8 @@
 import json
+import os
+import random
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -76,12 +79,50 @@ def test_difference_report(spark):
     assert (x["largest"], x["outside"], x["finite"]) == (0.5, 1, True)
 
 
+def shown(rows):
+    return sorted((tuple(str(v) for v in (r["job"], r["page"], r["attempt"], r["codes"], r["markdown"], r["error"])) for r in rows.collect()))
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    at = str(tmp_path / "journal")
-    rows = [("j", p, f"<doctag><text>page {p}</text></doctag>", [1], "eos", None) for p in range(20)]
-    records = spark.createDataFrame([*rows, ("j", 99, None, None, None, "boom")], jobs.RECORD)
-    records.repartition(4).write.parquet(at)
-    journal.start(spark, at, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    stream = spark.read.parquet(str(tmp_path / "out")).select("page", "markdown")
-    batch = journal.convert(records.where("error IS NULL")).select("page", "markdown")
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+    at, out, marks = (str(tmp_path / x) for x in ("journal", "out", "check"))
+    rng = random.Random(3)
+
+    def row(page, attempt):
+        if rng.random() < 0.3:
+            return ("j" if page % 3 else None, page, attempt, None, None, None, f"boom {attempt}")
+        text = f"<doctag><text>page {page} of {attempt}</text></doctag>" + "x" * (rng.random() < 0.2)
+        return ("j" if page % 3 else None, page, attempt, text, [1], rng.choice(["eos", "eos", "length", "other"]), None)
+
+    rows = [row(rng.randrange(25), rng.choice([None, 1, 2, 3])) for _ in range(200)]
+    rows += rng.sample(rows, 40)  # repeated records
+    for batch in range(4):
+        part = spark.createDataFrame(rows[batch::4], jobs.RECORD)
+        part.repartition(2).write.mode("append").parquet(at)
+        journal.start(spark, at, out, marks, files_per_trigger=1 + batch % 2).awaitTermination()
+    whole = journal.convert(jobs.latest_records(spark.createDataFrame(rows, jobs.RECORD)))
+    assert shown(journal.pages(spark, out)) == shown(whole)
+    written = spark.read.parquet(out).count()
+    assert whole.count() <= written < len(rows) / 2
+
+
+def test_failed_then_good_then_late(spark, tmp_path):
+    at, out, marks = (str(tmp_path / x) for x in ("journal", "out", "check"))
+    raw = "<doctag><text>{}</text></doctag>"
+    steps = [
+        [("j", 1, 1, None, None, None, "boom"), ("j", 2, 3, raw.format("kept"), [1], "eos", None)],
+        [("j", 1, 2, raw.format("good"), [1], "eos", None)],
+        [("j", 2, 1, raw.format("older"), [1], "eos", None), ("j", 1, 9, None, None, None, "a failure doesn't undo a page")],
+    ]
+    for rows in steps:
+        spark.createDataFrame(rows, jobs.RECORD).coalesce(1).write.mode("append").parquet(at)
+        journal.start(spark, at, out, marks).awaitTermination()
+    assert {r["page"]: (r["attempt"], r["markdown"]) for r in journal.pages(spark, out).collect()} == {1: (2, "good\n"), 2: (3, "kept\n")}
+    # files written long before the watermark are too late
+    spark.createDataFrame([("j", 3, 1, raw.format("new"), [1], "eos", None)], jobs.RECORD).coalesce(1).write.mode("append").parquet(at)
+    journal.start(spark, at, out, marks).awaitTermination()
+    known = set(Path(at).glob("*.parquet"))
+    spark.createDataFrame([("j", 4, 1, raw.format("late"), [1], "eos", None)], jobs.RECORD).coalesce(1).write.mode("append").parquet(at)
+    for f in set(Path(at).glob("*.parquet")) - known:
+        os.utime(f, (1_600_000_000, 1_600_000_000))
+    journal.start(spark, at, out, marks).awaitTermination()
+    assert {r["page"] for r in journal.pages(spark, out).collect()} == {1, 2, 3}
