@@ -40,3 +40,32 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
     return labels
+
+
+def key_index(rows: DataFrame, labels: DataFrame, node: str, *keys: str) -> DataFrame:
+    """(key, value, label): one row per key value, with the component of the rows that have it; kept for ``extend``."""
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")
+    long = rows.select(F.col(node).alias("node"), values).select("node", "x.key", "x.value").where("value IS NOT NULL")
+    labelled = long.join(labels, "node", "left").select("key", "value", F.coalesce("label", "node").alias("label"))
+    return labelled.groupBy("key", "value").agg(F.min("label").alias("label"))
+
+
+def extend(labels: DataFrame, index: DataFrame, new: DataFrame, node: str, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, index) with new rows added, as if all rows had been labelled at once.
+
+    ``labels``: (node, label) of all rows so far. A graph is built of the new rows
+    and of the components that they touch, each contracted to its label; only
+    the new rows' keys are looked at. Labels are the smallest nodes, before and after.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")
+    long = stored(new.select(F.col(node).alias("node"), values).select("node", "x.key", "x.value").where("value IS NOT NULL"))
+    touched = long.groupBy("key", "value").agg(F.min("node").alias("hub"))
+    touched = stored(touched.join(index, ["key", "value"], "left"))
+    edges = long.join(touched, ["key", "value"]).select(F.col("node").alias("a"), F.coalesce("label", "hub").alias("b"))
+    moved = components(edges).withColumnRenamed("node", "old").withColumnRenamed("label", "new")
+    moved = stored(moved)
+    before = labels.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    own = new.select(F.col(node).alias("node")).join(moved, F.col("node") == F.col("old"), "left").select("node", F.coalesce("new", "node").alias("label"))
+    entries = index.unionByName(touched.where("label IS NULL").select("key", "value", F.col("hub").alias("label")))
+    entries = entries.join(moved, F.col("label") == F.col("old"), "left").select("key", "value", F.coalesce("new", "label").alias("label"))
+    return before.unionByName(own), entries

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.operators.corpus import normalized
+from docflow.sources.files import stored
 
 
 #: First width of the band on either side of the diagonal; it doubles until the distance fits.
@@ -187,12 +188,45 @@ def choose_candidate(scores: DataFrame) -> DataFrame:
     return best.orderBy(F.desc("accepted"), F.desc("cells"), "step").limit(1)
 
 
+#: Groups up to so many have their medians' buckets broadcast (about 100 bytes each); more of them spread a shuffle well.
+MANY_GROUPS = 50_000
+#: Buckets of a doubling of the value, then cells of a bucket.
+PER_DOUBLING, CELLS = 64, 4096
+
+
 def timing_summary(samples: DataFrame, *by: str, value: str = "seconds") -> DataFrame:
-    """Median, least and most of finite non-negative samples."""
-    fine = samples.where((F.col(value) >= 0) & (F.col(value) < F.lit(float("inf"))))
-    return fine.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("samples"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most")
-    )
+    """Number, exact median, least and most of finite non-negative samples.
+
+    The median is found by counting, not by gathering: a histogram of logarithms
+    names the bucket of the middle, a finer one its cell, and only the values of
+    that cell are ranked. So a few groups of very many samples are no few tasks.
+    """
+    fine = samples.where((F.col(value) >= 0) & (F.col(value) < F.lit(float("inf")))).select(*by, F.col(value).cast("double").alias("v"))
+    bucket = F.when(F.col("v") > 0, F.floor(F.log2("v") * PER_DOUBLING)).otherwise(F.lit(-(2**31))).cast("long")
+    counted = stored(fine.groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")))
+    whole = counted.groupBy(*by).agg(F.sum("n").alias("samples"), F.min("least").alias("least"), F.max("most").alias("most"))
+    middles = counted.withColumn("samples", F.sum("n").over(Window.partitionBy(*by)))
+    middles = middles.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor((F.col("samples") - 1) / 2), F.floor(F.col("samples") / 2)))))
+
+    def holding(rows, order):
+        """The row of each group and rank whose counts hold the rank, with what is left of it."""
+        upto = F.sum("n").over(Window.partitionBy(*by, "rank").orderBy(order))
+        return rows.withColumn("before", upto - F.col("n")).where("before <= left AND left < before + n").withColumn("left", F.col("left") - F.col("before")).drop("before", "n")
+
+    found = stored(holding(middles.withColumn("left", F.col("rank")), "bucket").select(*by, "rank", "left", "bucket", "least", "most"))
+    near = F.broadcast if found.count() <= MANY_GROUPS else (lambda df: df)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] or [F.lit(True)]  # one row each without groups
+    own = [F.col(f"x.{c}") for c in by]
+    cell = F.when(F.col("most") > F.col("least"), F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * CELLS)).otherwise(0)
+    inside = fine.alias("x").join(near(found).alias("y"), [*same, F.col("v").between(F.col("y.least"), F.col("y.most"))])
+    cells = inside.select(*own, "rank", "left", cell.alias("cell"), "v").groupBy(*by, "rank", "left", "cell")
+    cells = cells.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    found = stored(holding(cells, "cell").select(*by, "rank", "left", "least", "most"))
+    inside = fine.alias("x").join(near(found).alias("y"), [*same, F.col("v").between(F.col("y.least"), F.col("y.most"))])
+    values = inside.select(*own, "rank", "left", "v").groupBy(*by, "rank", "left", "v").agg(F.count(F.lit(1)).alias("n"))
+    median = holding(values, "v").groupBy(*by).agg(F.avg("v").alias("median"))
+    joined = whole.alias("x").join(median.alias("y"), same)
+    return joined.select(*own, "samples", "median", "least", "most")
 
 
 def contiguous_steps(steps: DataFrame, run: str, step: str) -> DataFrame:
@@ -504,9 +538,13 @@ def loss_table(steps: DataFrame, run: str = "run") -> DataFrame:
     return steps.withColumns({"change": F.col("loss") - F.lag("loss").over(order), "least": F.min("loss").over(order)})
 
 
-def replay_differences(stored: DataFrame, again: DataFrame) -> DataFrame:
-    """(side, rows): rows that only the stored or only the recomputed result has, repeats counted; none means identical."""
-    columns = stored.columns
-    left = stored.exceptAll(again.select(*columns)).select(F.lit("stored").alias("side"))
-    right = again.select(*columns).exceptAll(stored).select(F.lit("recomputed").alias("side"))
-    return left.unionByName(right).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+def replay_differences(before: DataFrame, again: DataFrame) -> DataFrame:
+    """(side, rows): rows that only the stored or only the recomputed result has, repeats counted; none means identical.
+
+    Both sides meet in one grouping, with a plus for a stored row and a minus for a recomputed one.
+    """
+    columns = before.columns
+    both = before.withColumn("weight_", F.lit(1)).unionByName(again.select(*columns).withColumn("weight_", F.lit(-1)))
+    left_over = both.groupBy(*columns).agg(F.sum("weight_").alias("weight_")).where("weight_ <> 0")
+    side = F.when(F.col("weight_") > 0, "stored").otherwise("recomputed").alias("side")
+    return left_over.groupBy(side).agg(F.sum(F.abs("weight_")).cast("long").alias("rows"))
