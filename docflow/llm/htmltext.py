@@ -3,18 +3,27 @@
 A page is cut into blocks; each block has a root-to-leaf path of block tags.
 Text length and punctuation are summed per path and divided by the path's
 blocks, the ratios are smoothed along the page and fused, and paths above a
-threshold are content, on every page. Two priors weigh a path's ratio: being in
-an article or main raises it, a class or id that names a part of the page's
-frame lowers it. Blocks below the threshold (headings, short paragraphs, cells)
-belong to the text if the nearest section, division or article around them has
-content of its own (of blocks directly in the body not those that are only
-links); headings also if a wider article has. Scripts, styles,
-navigation, asides, page headers and footers, forms, hidden elements and those
-whose role names such a part are left out before the ratios are taken.
+threshold are content, on every page. Being in an article or main raises a path's
+ratio, doubtful class and id names lower it.
+
+The chosen blocks are then grown: those beneath one child of the body to the
+smallest article or main that holds them all, else to the smallest division or
+section. All of that subtree is the text, whatever its own ratio, but text that
+stands in a bare division, has no punctuation and whose path isn't content (a
+label or a button). Outside an article, blocks of nothing but links are left out
+too. A heading that stands before the subtree in the same article, or in the element
+around it, belongs to it.
+
+Left out before the ratios are taken: scripts, styles, navigation, asides, page headers
+and footers, forms, hidden elements, those whose role says so, and elements whose
+class or id names a part of the frame (``comments``, ``ad``, ``cookie-notice``),
+with all that is in them. A name doesn't count on the article itself, with ``no-``
+or ``has-`` before it, or where the page's only article lies in the element.
 
 Defined results: null or empty html, or a page without content, gives an empty
-text. Unclosed and stray tags are read as browsers do for the common cases; an
-unclosed comment or script runs to the end of the page.
+text; if frame names leave nothing of a page they don't count. Unclosed and stray
+tags are read as browsers do for the common cases; an unclosed comment or script
+runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -35,7 +44,7 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S,
 )
-RAW = frozenset("script style template noscript svg iframe textarea title math object canvas".split())
+RAW = frozenset("script style template noscript svg iframe textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -51,15 +60,19 @@ HINT = re.compile(
     r"|search\w*|login|skip|alert|hidden|legal|copyright|tags?",
     re.I,
 )
-#: Hints that are as well words for what a text is about.
-TOPICS = frozenset(
-    "side foot header notice notices consent share shares sharing social related recommendation recommendations search "
-    "searching discussion reply replies alert hidden legal copyright tag tags skip login banner navigation".split()
-)
+#: Hints that are as well words for what a text is about; as a class of its own each of the first kind still names a frame.
+NAMES = frozenset("notice notices share shares sharing social related recommendation recommendations hidden copyright login banner navigation skip".split())
+TOPICS = NAMES | frozenset("side foot header consent search searching discussion reply replies alert legal tag tags".split())
+#: Lists of other pages are named by what they hold.
+OTHERS = re.compile(r"(?:related|recommended|popular|similar|more)[_-](?:posts?|articles?|links|stories|content|items|reading)", re.I)
+#: Before a hint these say how a page is laid out.
+LAYOUT = frozenset("no not without with has is show hide".split())
 #: Elements that hints are not read on: the text's own, and those around all of it.
 UNHINTED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
-#: Weights of a path: of frame names, of doubtful ones, in an article or main.
-FRAME, DOUBTFUL, INSIDE = 0.1, 0.5, 2.0
+#: Weights of a path: of doubtful names, in an article or main.
+DOUBTFUL, INSIDE = 0.5, 2.0
+#: Elements whose bare text is a paragraph only if it reads like one.
+BARE = frozenset("html body main article section div center td".split()) - {"td"}
 #: Elements that hold a part of a page together.
 PARTS = frozenset("html body main article section div center".split())
 HINT_ROLE = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
@@ -93,6 +106,8 @@ class Element:
     inside: Element | None  # nearest article or main
     depth: int = 0
     weight: float = 1.0
+    frame: Element | None = None  # nearest element, itself included, that is named as a part of the frame
+    holds: bool = False  # an article or main
 
 
 @dataclass(eq=False)
@@ -119,24 +134,28 @@ def _dropped(tag: str, attributes: str, inside: Element | None) -> bool:
     return False
 
 
-def _weight(tag: str, attributes: str, inside: Element | None) -> float:
-    """The prior of an element by its names; an id counts only as a whole and if it isn't a topic."""
-    least = 1.0
-    if tag in UNHINTED or not attributes:
-        return least
+def _named(tag: str, attributes: str, inside: Element | None) -> tuple[bool, float]:
+    """(a part of the frame by its names, weight); an id counts only as a whole and if it isn't a topic."""
+    frame, least = False, 1.0
+    if (tag in UNHINTED and not (tag == "article" and inside is not None)) or not attributes:
+        return frame, least
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         for token in "".join(values).lower().split() if name in ("class", "id") else ():
             parts = [x for x in re.split("[_-]+", token) if x]
             hints = [bool(HINT.fullmatch(x)) and (x != "header" or inside is None) for x in parts]
-            if not any(hints):
+            if OTHERS.fullmatch(token):
+                frame = True
+            if not any(hints) or parts[0] in LAYOUT:
                 continue
-            frame = any(h and x not in TOPICS for h, x in zip(hints, parts))
+            telling = any(h and x not in TOPICS for h, x in zip(hints, parts))
             if name == "id":
-                least = min(least, FRAME if frame and all(hints) else 1.0)
+                frame = frame or (telling and all(hints))
+            elif (telling and hints[-1]) or token in NAMES:
+                frame = True
             else:
-                least = min(least, FRAME if hints[-1] and frame else DOUBTFUL)
-    return least
+                least = DOUBTFUL
+    return frame, least
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -221,11 +240,17 @@ def blocks_of(page: str) -> list[Block]:
             at = at.parent
         inside = at.inside
         drop = at.dropped or _dropped(tag, attributes, inside)
-        weight = 1.0 if drop else _weight(tag, attributes, inside)
+        framed, weight = (False, 1.0) if drop else _named(tag, attributes, inside)
         step = tag if weight == 1 else f"{tag}*{weight}"  # a path of its own
-        element = Element(tag, at, drop, f"{at.path}/{step}", inside, at.depth + 1, at.weight * weight)
+        element = Element(tag, at, drop, f"{at.path}/{step}", inside, at.depth + 1, at.weight * weight, at.frame)
+        if framed:
+            element.frame = element
         if tag in ("article", "main"):
             element.inside = element
+            above = element.frame
+            while above is not None and not above.holds:
+                above.holds = True
+                above = above.parent.frame
         opened[tag] = opened.get(tag, 0) + 1
         at = element
     out = []
@@ -276,9 +301,67 @@ def _chain(element: Element) -> list[Element]:
     return out[::-1]
 
 
+def _without_frames(blocks: list[Block]) -> list[Block]:
+    """The blocks outside elements named as frames; all of them if nothing else is there."""
+    free = any(b.element.inside is not None and _outermost(b.element).frame is None for b in blocks)
+
+    def lives(element: Element) -> bool:
+        frame = element.frame
+        while frame is not None:
+            if frame.parent.inside is not None or free or not frame.holds:
+                return False
+            frame = frame.parent.frame
+        return True
+
+    known: dict[int, bool] = {}
+    out = []
+    for b in blocks:
+        key = id(b.element)
+        if key not in known:
+            known[key] = lives(b.element)
+        if known[key]:
+            out.append(b)
+    return out or blocks
+
+
+def _outermost(element: Element) -> Element:
+    """The outermost article or main around an element in one."""
+    found = element.inside
+    while found.parent is not None and found.parent.inside is not None:
+        found = found.parent.inside
+    return found
+
+
+def _regions(content: list[Block]) -> list[Element]:
+    """The subtrees that the chosen blocks grow to, one or none for each child of the body."""
+    shared: dict[int, list[Element]] = {}
+    for b in content:
+        chain = _chain(b.element)
+        top = next((e for e in chain if e.tag not in ("", "html", "body")), None)
+        if top is None:
+            continue
+        before = shared.get(id(top))
+        if before is None:
+            shared[id(top)] = chain
+        else:
+            n = min(len(before), len(chain))
+            while before[n - 1] is not chain[n - 1]:
+                n -= 1
+            shared[id(top)] = before[:n]
+    out = []
+    for chain in shared.values():
+        meet = chain[-1]
+        if meet.inside is not None:
+            out.append(meet.inside)
+        else:
+            parts = [e for e in chain if e.tag in PARTS and e.tag not in ("html", "body")]
+            out.append(parts[-1] if parts else meet)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The content's blocks, one per line."""
-    blocks = blocks_of(page or "")
+    blocks = _without_frames(blocks_of(page or ""))
     if not blocks:
         return ""
     scores = [
@@ -291,29 +374,51 @@ def main_text(page: str | None) -> str:
     else:
         content = [b for b, s in zip(blocks, scores) if s >= SHARE * best]
     chosen = {id(b) for b in content}
-    parts = {id(_part(b.element)) for b in content}
-    # articles with content anywhere in them
+    regions = _regions(content)
+    inner = {id(e) for e in regions}
+    # around a region its parent, and the articles that have content anywhere in them
+    around = {id(e.parent) for e in regions if e.inside is None and e.parent.tag not in ("", "html", "body")}
     wide = {id(e) for b in content for e in _chain(b.element) if e.tag in ("article", "main")}
-    kept = []
-    for b in blocks:
-        heading = b.element.tag in HEADINGS
-        part = _part(b.element)
-        # what is only links and stands in no part but the page belongs to its frame
-        framed = part.tag in ("", "html", "body") and len(b.text) <= b.linked
-        own = id(b) in chosen or (id(part) in parts and not framed)
-        if not own and not (heading and b.element.weight == 1 and id(b.element.inside) in wide):
-            continue
-        if not heading and any(e.tag == "header" for e in _chain(b.element)):
+    kept, places = [], _places(blocks, inner, around)
+    first = {}
+    for i, (place, _) in enumerate(places):
+        if place is not None:
+            first.setdefault(place, i)
+    start = min(first.values(), default=0)
+    for i, (b, (place, near)) in enumerate(zip(blocks, places)):
+        e = b.element
+        heading = e.tag in HEADINGS
+        if place is None:
+            title = heading and e.weight == 1 and (id(e.inside) in wide or (near and i < start))
+            if not title and id(b) not in chosen:
+                continue
+        elif id(b) not in chosen:
+            if e.tag in BARE and not PUNCTUATION.search(b.text):
+                continue
+            if e.inside is None and len(b.text) <= b.linked:
+                continue
+        if not heading and any(x.tag == "header" for x in _chain(e)):
             continue
         kept.append(b.text)
     return "\n".join(kept)
 
 
-def _part(element: Element) -> Element:
-    """The nearest element that holds a part of the page together."""
-    while element.tag not in PARTS and element.parent is not None and element.weight == element.parent.weight:
-        element = element.parent
-    return element
+def _places(blocks: list[Block], inner: set[int], around: set[int]) -> list[tuple[int | None, bool]]:
+    """Per block the region that it stands in, and whether it stands in the element around one."""
+    known: dict[int, tuple[int | None, bool]] = {}
+    out = []
+    for b in blocks:
+        key = id(b.element)
+        if key not in known:
+            place, near, e = None, False, b.element
+            while e is not None:
+                if place is None and id(e) in inner:
+                    place = id(e)
+                near = near or id(e) in around
+                e = e.parent
+            known[key] = place, near
+        out.append(known[key])
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

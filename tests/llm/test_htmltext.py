@@ -1,5 +1,6 @@
 import html
 import math
+import random
 import re
 
 import pytest
@@ -130,3 +131,112 @@ def test_pages_without_an_article(box):
     tag = box.split()[0]
     page = f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><{box}><h1>T</h1><p>{LONG}</p><p>{LONG}</p></{tag}><div><a href=c>More</a></div>"
     assert htmltext.main_text(page) == f"T\n{LONG}\n{LONG}"
+
+
+SHORT = "Short note."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p><div class=callout><p>{SHORT}</p></div></article>", f"{LONG}\n{SHORT}"),
+        (f"<article><p>{LONG}</p><section><h2>Parts</h2><ul><li>one<li>two</ul></section></article>", f"{LONG}\nParts\none\ntwo"),
+        (f"<article><p>{LONG}</p><div class=table-wrap><table><tr><td>a<td>b</table></div></article>", f"{LONG}\na\nb"),
+        (f"<article><section><p>{LONG}</p><p>{LONG}</p></section><section id=legal><p>{SHORT}</p></section></article>", f"{LONG}\n{LONG}\n{SHORT}"),
+        (f"<div id=content><section><p>{LONG}</p></section><section><p>{LONG}</p></section><section><p>{SHORT}</p></section></div>", f"{LONG}\n{LONG}\n{SHORT}"),
+        (f"<body><div class=wrap><h1>T</h1><div class=text><p>{LONG}</p><div class=note-box><p>{SHORT}</p></div></div><div>All rights</div></div>", f"T\n{LONG}\n{SHORT}"),
+        (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <canvas>so</canvas> <object>it</object>. {LONG}</p></article>", f"Let x=1 be so it. {LONG}"),
+        (f"<main><h1>T</h1><article><p>{LONG}</p></article><div><p>{SHORT}</p></div></main>", f"T\n{LONG}"),
+        (f"<main><article><p>{LONG}</p></article><article><p>{LONG} 2</p></article></main>", f"{LONG}\n{LONG} 2"),
+        (f"<article><p>{LONG}</p><ol><li><a href=a>Source one</a><li><a href=b>Source two</a></ol></article>", f"{LONG}\nSource one\nSource two"),
+        (f"<article><p>{LONG}</p><figure><img src=x><figcaption>{SHORT}</figcaption></figure><pre>x = 1\ny</pre><blockquote>Said</blockquote></article>", f"{LONG}\n{SHORT}\nx = 1 y\nSaid"),
+        (f"<article><dl><dt>Term<dd>{LONG}</dl><hr><p>End</p></article>", f"Term\n{LONG}\nEnd"),
+        (f"<div class=modal><article><p>{LONG}</p></article></div>", LONG),
+    ],
+)
+def test_articles_are_kept_whole(page, text):
+    assert htmltext.main_text(page) == text
+
+
+MORE = " ".join([LONG] * 4)
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "section class=comments", "section id=comments", "div class=ad", "div class='box ad'", "div class=related", "div class=cookie-notice", "div class=related-posts",
+        "div id=cookie-banner", "div class=post-comments", "ul class=share", "div class=newsletter-signup", "div role=complementary", "div hidden", "aside", "div class=sidebar",
+    ],
+)
+@pytest.mark.parametrize("place", ["in", "before", "after"])
+def test_frames_lose_however_long(frame, place):
+    tag = frame.split()[0]
+    box = f"<{frame}><p>{MORE}</p><div><p>{MORE}</p></div></{tag}>"
+    page = {"in": f"<article><p>{LONG}</p>{box}</article>", "before": f"{box}<article><p>{LONG}</p></article>", "after": f"<div><p>{LONG}</p></div>{box}"}[place]
+    assert htmltext.main_text(f"<body>{page}</body>") == LONG
+
+
+def test_comments_that_are_articles_lose():
+    page = f"<article><p>{LONG}</p><section id=comments><article class=comment><p>{MORE}</p></article></section></article>"
+    assert htmltext.main_text(page) == LONG
+    page = f"<article><p>{LONG}</p></article><div class=comments><article><p>{MORE}</p></article></div>"
+    assert htmltext.main_text(page) == LONG
+
+
+def plain_text(page):
+    """Choice and growth read plainly: every question is asked of whole chains of elements."""
+    blocks = htmltext.blocks_of(page)
+    chain = lambda b: [e for e in htmltext._chain(b.element)]
+    articles = lambda b: [e for e in chain(b) if e.tag in ("article", "main")]
+    frames = lambda es: [e for e in es if e.frame is e]
+    free = any(articles(b) and not frames(chain(b)[: chain(b).index(articles(b)[0]) + 1]) for b in blocks)
+
+    def counts(frame, es):
+        held = any(frame in chain(b) and any(chain(b).index(a) >= chain(b).index(frame) for a in articles(b)) for b in blocks)
+        return any(e.tag in ("article", "main") for e in es[: es.index(frame)]) or free or not held
+
+    live = [b for b in blocks if not any(counts(f, chain(b)) for f in frames(chain(b)))] or blocks
+    if not live:
+        return ""
+    scores = [s * b.element.weight * (2 if articles(b) else 1) for b, s in zip(live, htmltext.path_ratios(live))]
+    content = [b for b, s in zip(live, scores) if s >= 0.2 * max(scores)] if max(scores) > 0 else [b for b in live if articles(b) and b.element.weight == 1]
+    outer = ("", "html", "body")
+    regions = []
+    for top in {id(e): e for b in content for e in [next((e for e in chain(b) if e.tag not in outer), None)] if e is not None}.values():
+        chains = [chain(b) for b in content if top in chain(b)]
+        meet = [e for e in chains[0] if all(any(e is x for x in c) for c in chains)]
+        inside = [e for e in meet if e.tag in ("article", "main")]
+        parts = [e for e in meet if e.tag in htmltext.PARTS and e.tag not in outer]
+        regions.append((inside or parts or meet)[-1])
+    within = [any(r in chain(b) for r in regions) for b in live]
+    start = within.index(True) if True in within else 0
+    out = []
+    for i, b in enumerate(live):
+        heading = b.element.tag in htmltext.HEADINGS
+        if not within[i]:
+            wide = articles(b) and any(articles(b)[-1] in chain(c) for c in content)
+            near = any(not r.inside and r.parent.tag not in outer and r.parent in chain(b) for r in regions) and i < start
+            if b not in content and not (heading and b.element.weight == 1 and (wide or near)):
+                continue
+        elif b not in content:
+            label = b.element.tag in htmltext.BARE and not htmltext.PUNCTUATION.search(b.text)
+            if label or (not articles(b) and len(b.text) <= b.linked):
+                continue
+        if heading or not any(e.tag == "header" for e in chain(b)):
+            out.append(b.text)
+    return "\n".join(out)
+
+
+def test_choice_and_growth_against_a_plain_version():
+    rng = random.Random(4)
+    names = ["", "", "", " class=ad", " class=comments", " id=legal", " class=related", " class=no-sidebar", " class=search-trees", " id=sidebar", " class=tags"]
+
+    def made(depth):
+        tag = rng.choice(["div", "section", "article", "main", "ul", "p", "p", "h2", "td", "header"] if depth else ["body"])
+        text = rng.choice([LONG, LONG, SHORT, "Buy now", "<a href=x>link only</a>", f"{LONG} <a href=y>with a link</a>"])
+        inner = text if depth > 3 or tag in ("p", "h2") else "".join(made(depth + 1) for _ in range(rng.randrange(4))) + rng.choice(["", "", text])
+        return f"<{tag}{rng.choice(names)}>{inner}</{tag}>"
+
+    for _ in range(400):
+        page = made(0)
+        assert htmltext.main_text(page) == plain_text(page), page
