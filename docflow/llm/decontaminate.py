@@ -1,12 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Word n-grams of the test items are seeds: three words in a row, and three of
-four with the third left open, so that a copy with every third word replaced has
-seeds too. Rarity comes from the corpus: a seed
-is used if, by the corpus frequencies of its words, at most ``EXPECTED`` of
-``SEED_WORDS`` places would have it by chance, however large the corpus is: an
-item's seeds don't thin out as it grows. Copies
-of a leaked passage, however many, don't make its own seeds look common.
+four with the third left open. In the texts three words in a row are looked up, and
+three with one or two more before the third, and three with one between each.
+A seed's hash knows its words but not their places, so each form of the one meets each form
+of the other: a word put in, left out or replaced behind two others still leaves
+a seed. An aligned word costs on average at most one inserted word or half a
+replaced or lost one if the score is to reach ``SHARE`` = 0.5, so somewhere in such a
+copy two words follow each other and the third is at most that far off, or one inserted
+word stands before each: these forms are all that is needed, but where the ends of
+an item make up the average.
+
+Rarity comes from the corpus: a seed is used if, by the corpus frequencies of its
+words, at most ``EXPECTED`` of ``SEED_WORDS`` places would have it by chance in
+one form, however large the corpus is: an item's seeds don't thin out as it grows. Where words
+without such a seed could make up a copy by themselves, their seeds are used too. Copies of a leaked passage, however many,
+don't make its own seeds look common.
 Passages around seed hits are aligned with the item by Smith-Waterman over words; a document is contaminated by an
 item if the aligned score reaches ``SHARE`` of the item's perfect score, which
 also finds edited copies.
@@ -37,8 +46,9 @@ from docflow.llm.words import chunks, mix
 from docflow.llm.words import words_of as hashed_words
 
 N = 3
-#: Places of a seed's words, by the words that an item has at least.
+#: Places of a seed's words in an item, by the words that it has at least, and in a text.
 SHAPES = {1: ((0,),), 2: ((0, 1),), N: ((0, 1, 2), (0, 1, 3))}
+TEXT_SHAPES = {1: ((0,),), 2: ((0, 1), (0, 2), (0, 3)), N: ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 4))}
 EXPECTED = 1.0
 #: Words that chance places are counted in; a smaller corpus counts as it is.
 SEED_WORDS = 4_000_000
@@ -77,10 +87,10 @@ def _found(sorted_hashes: np.ndarray, mask: np.ndarray, hashes: np.ndarray) -> t
 
 
 def grams(flat: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
-    """Hashes of the words at all places of a shape in a row of words."""
+    """Hashes of the words at all places of a shape in a row of words; shapes of as many words have the same hashes."""
     size = max(0, len(flat) - shape[-1])
     with np.errstate(over="ignore"):
-        out = flat[:size] + np.uint64(sum(1 << i for i in shape))
+        out = flat[:size] + np.uint64(len(shape))
         for i in shape[1:]:
             out = mix(out * _MUL + flat[i : size + i])
     return out
@@ -123,29 +133,33 @@ class Items:
     seeds: np.ndarray  # sorted
     owners: np.ndarray  # item per seed
     places: np.ndarray  # place of the seed in its item
+    reach: np.ndarray  # place of its last word
     mask: np.ndarray | None = None  # of the seeds, made where it is used
+    last: np.ndarray | None = None  # behind the seeds equal to one, likewise
+    kinds: np.ndarray | None = None  # words of a seed of each item, likewise
 
 
 def _items(rows: list) -> tuple[Items, np.ndarray]:
     """Items with all their seeds, and each seed's words (short seeds padded with 0)."""
     flat, ends = words_of(pa.array([r["text"] for r in rows], pa.string()))
     words = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    seeds, owners, places, own = [], [], [], []
+    seeds, owners, places, reach, own = [], [], [], [], []
     for i, w in enumerate(words):
         for shape in SHAPES.get(min(N, len(w)), ()):
             g = grams(w, shape)
             seeds.append(g)
             owners.append(np.full(len(g), i))
             places.append(np.arange(len(g)))
+            reach.append(np.arange(len(g)) + shape[-1])
             padded = np.zeros((len(g), N), dtype=np.uint64)
             for k, at in enumerate(shape):
                 padded[:, k] = w[at : at + len(g)]
             own.append(padded)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    s, o, p = cat(seeds, np.uint64), cat(owners, np.int64), cat(places, np.int64)
+    s, o, p, r = cat(seeds, np.uint64), cat(owners, np.int64), cat(places, np.int64), cat(reach, np.int64)
     parts = np.concatenate(own) if own else np.zeros((0, N), np.uint64)
     order = np.argsort(s, kind="stable")
-    return Items([r["item_id"] for r in rows], words, s[order], o[order], p[order]), parts[order]
+    return Items([r["item_id"] for r in rows], words, s[order], o[order], p[order], r[order]), parts[order]
 
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
@@ -170,7 +184,12 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int
 
 
 def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
-    """Only seeds that chance would hardly make; an item without one keeps all of its seeds."""
+    """Only seeds that chance would hardly make, and those of the words that such seeds leave open.
+
+    If the words of an item in no rare seed are enough for a score of ``SHARE``, a
+    copy of them alone has to be found too: the item keeps the seeds that lie
+    wholly among them. An item without a rare seed so keeps all of its seeds.
+    """
     if not len(items.seeds):
         return items
     vocabulary = np.unique(parts[parts != 0])
@@ -180,56 +199,70 @@ def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
     at[at == len(vocabulary)] = 0
     p = np.where(parts == 0, 1.0, share[at])
     rare = min(total, SEED_WORDS) * p.prod(axis=1) <= EXPECTED
-    without = np.setdiff1d(items.owners, items.owners[rare])
-    rare |= np.isin(items.owners, without)
-    return Items(items.ids, items.words, items.seeds[rare], items.owners[rare], items.places[rare])
-
-
-def _hits(flat: np.ndarray, ends: np.ndarray, items: Items, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a seed of a shape begins and stays within one text, and the seeds' first numbers."""
+    covered = [np.zeros(len(w) + 1, dtype=np.int64) for w in items.words]
+    for item, place, last in zip(items.owners[rare].tolist(), items.places[rare].tolist(), items.reach[rare].tolist()):
+        covered[item][place] += 1
+        covered[item][last + 1] -= 1
+    for item, steps in enumerate(covered):
+        bare = np.cumsum(steps)[:-1] == 0
+        if bare.sum() >= SHARE * max(len(bare), 1):
+            own = np.flatnonzero(items.owners == item)
+            rare[own[bare[items.places[own]] & bare[items.reach[own]]]] = True
+    return Items(items.ids, items.words, items.seeds[rare], items.owners[rare], items.places[rare], items.reach[rare])
+
+
+def _hits(flat: np.ndarray, ends: np.ndarray, items: Items, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item and place where the item would begin, for every seed that stands in one text in the shape."""
     if items.mask is None:
         items.mask = _mask(items.seeds)
+        items.last = np.searchsorted(items.seeds, items.seeds, side="right")
+        items.kinds = np.array([min(N, len(w)) for w in items.words], dtype=np.int64)
     places, at = _found(items.seeds, items.mask, grams(flat, shape))
     text = np.searchsorted(ends, places, side="right") - 1
     inside = places + shape[-1] < ends[text + 1]
-    return places[inside], at[inside]
+    places, at, text = places[inside], at[inside], text[inside]
+    times = items.last[at] - at
+    first = np.repeat(at - np.concatenate([[0], np.cumsum(times)[:-1]]) if len(at) else at, times)
+    seeds = first + np.arange(len(first))
+    owners = items.owners[seeds]
+    fit = items.kinds[owners] == len(shape)
+    return np.repeat(text, times)[fit], owners[fit], (np.repeat(places, times) - items.places[seeds])[fit]
+
+
+def _windows(begins: list[int], size: int) -> list[tuple[int, int]]:
+    """Windows of twice the item around the places where it would begin, merged where they meet."""
+    out: list[tuple[int, int]] = []
+    for b in begins:
+        a, z = b - size // 2 - 1, b + size + size // 2 + 1
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], z
+        else:
+            out.append((a, z))
+    return out
 
 
 def _matches(flat: np.ndarray, ends: np.ndarray, items: Items) -> list[tuple]:
     """(text, item, score, start, end) of every contaminated pair among a chunk of texts."""
     shortest = min((len(w) for w in items.words if len(w)), default=N)
-    spans: dict[tuple[int, int], list[int]] = {}
-    shapes = [(n, shape) for n in range(min(N, shortest), N + 1) for shape in SHAPES[n]]
-    for n, shape in shapes:
-        for place, first in zip(*(x.tolist() for x in _hits(flat, ends, items, shape))):
-            text = int(np.searchsorted(ends, place, side="right")) - 1
-            k, seed = first, items.seeds[first]
-            while k < len(items.seeds) and items.seeds[k] == seed:
-                if min(N, len(items.words[items.owners[k]])) == n:
-                    spans.setdefault((text, int(items.owners[k])), []).append(place - int(items.places[k]))
-                k += 1
+    shapes = [shape for n in range(min(N, shortest), N + 1) for shape in TEXT_SHAPES[n]]
+    found = [_hits(flat, ends, items, shape) for shape in shapes]
+    texts, owners, begins = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((begins, owners, texts))
+    texts, owners, begins = texts[order], owners[order], begins[order]
+    new = np.flatnonzero((np.diff(texts, prepend=-1) != 0) | (np.diff(owners, prepend=-1) != 0))
     out = []
-    for (text, item), begins in spans.items():
+    for i, z in zip(new.tolist(), [*new[1:].tolist(), len(texts)]):
+        text, item = int(texts[i]), int(owners[i])
         w = items.words[item]
-        need_score = SHARE * MATCH * len(w)
-        best = (0, 0, 0)
-        # windows of twice the item around the places where it would begin, merged where they meet
-        low = high = None
-        windows = []
-        for b in sorted(set(begins)):
-            a, z = b - len(w) // 2 - 1, b + len(w) + len(w) // 2 + 1
-            if low is not None and a <= high:
-                high = z
-            else:
-                if low is not None:
-                    windows.append((low, high))
-                low, high = a, z
-        windows.append((low, high))
-        for a, z in windows:
-            a, z = max(a, int(ends[text])), min(z, int(ends[text + 1]))
-            score, start, end = align(w, flat[a:z])
+        best, need_score = (0, 0, 0), SHARE * MATCH * len(w)
+        for low, high in _windows(np.unique(begins[i:z]).tolist(), len(w)):
+            low, high = max(low, int(ends[text])), min(high, int(ends[text + 1]))
+            # no more can be matched than the window has of the item's words
+            if MATCH * int(np.isin(w, flat[low:high]).sum()) < need_score:
+                continue
+            score, start, end = align(w, flat[low:high])
             if score > best[0]:
-                best = (score, a + start - int(ends[text]), a + end - int(ends[text]))
+                best = (score, low + start - int(ends[text]), low + end - int(ends[text]))
         if best[0] >= need_score:
             out.append((text, item, best[0] / (MATCH * len(w)), best[1], best[2]))
     return out

@@ -120,3 +120,74 @@ def test_recall_by_edit_rate(spark):
             if d.align(a, b)[0] >= d.SHARE * d.MATCH * len(a):
                 want.add((j, i))
     assert got == want and len(want) >= 4 * len(items)
+
+
+def changed(kind, k, own, rng):
+    """A copy with an edit behind every k-th word (or after each for k = 1)."""
+    out = []
+    for i, w in enumerate(own):
+        last = i % k == k - 1
+        if kind == "replace" and last:
+            out.append(f"x{rng.randrange(500)}")
+        elif kind != "delete" or not last:
+            out.append(w)
+        if last and kind.startswith("insert"):
+            out += [f"x{rng.randrange(500)}" for _ in range(int(kind[6:]))]
+    return out
+
+
+def all_pairs(rows, items):
+    number = {w: i for i, w in enumerate(sorted({w for _, t in [*rows, *items] for w in t.split()}))}
+    coded = lambda t: np.array([number[w] for w in t.split()])
+    items = [(i, coded(t)) for i, t in items]
+    return {(j, i) for j, t in rows for i, a in items if d.align(a, coded(t))[0] >= d.SHARE * d.MATCH * len(a)}
+
+
+def found_pairs(spark, rows, items):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in d.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_recall_by_kind_and_rate_of_edits(spark):
+    """Against the alignment of all pairs: insertions, deletions and replacements down to SHARE, each rate by itself."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(words, k=60))) for i in range(6)]
+    kinds = [("insert1", 1), ("insert1", 2), ("insert1", 3), ("insert2", 2), ("insert2", 3), ("delete", 3), ("delete", 4), ("replace", 3), ("replace", 5)]
+    rows = [
+        (100 * e + i, " ".join([*rng.choices(words, k=50), *changed(kind, k, text.split(), rng), *rng.choices(words, k=30)]))
+        for e, (kind, k) in enumerate(kinds) for i, text in items
+    ]
+    want, got = all_pairs(rows, items), found_pairs(spark, rows, items)
+    assert got == want
+    for e, kind in enumerate(kinds):
+        reached = {p for p in want if p[0] // 100 == e}
+        assert len(reached) == len(items), kind
+
+
+def test_recall_of_mixed_edits(spark):
+    """Random edits of all kinds at once: nine of ten copies that reach SHARE are found at every rate."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(words, k=50))) for i in range(8)]
+    rates, rows = (0.1, 0.2, 0.3, 0.4), []
+    for e, rate in enumerate(rates):
+        for n in range(5):
+            for i, text in items:
+                own = []
+                for w in text.split():
+                    kind = rng.choice(["insert", "delete", "replace"]) if rng.random() < rate else "keep"
+                    own += {"keep": [w], "insert": [w, f"x{rng.randrange(900)}"], "delete": [], "replace": [f"x{rng.randrange(900)}"]}[kind]
+                rows.append((1000 * e + 100 * n + i, " ".join([*rng.choices(words, k=40), *own, *rng.choices(words, k=40)])))
+    want, got = all_pairs(rows, items), found_pairs(spark, rows, items)
+    assert got <= want
+    for e, rate in enumerate(rates):
+        reached = {p for p in want if p[0] // 1000 == e}
+        assert not reached or len(got & reached) >= 0.9 * len(reached), rate
+    assert sum(p[0] // 1000 >= 2 for p in want) > 40
+
+
+def test_a_very_common_seed(spark):
+    """An item of one word over and over: its seeds are everywhere in a text of the same word."""
+    rows = [(1, "same " * 20_000), (2, "other words of no item at all " * 50)]
+    assert found_pairs(spark, rows, [(1, "same " * 30), (2, "same " * 10 + "but different")]) == {(1, 1), (1, 2)}
