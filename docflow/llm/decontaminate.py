@@ -199,15 +199,17 @@ def _rare(items: Items, parts: np.ndarray, docs: DataFrame) -> Items:
     at[at == len(vocabulary)] = 0
     p = np.where(parts == 0, 1.0, share[at])
     rare = min(total, SEED_WORDS) * p.prod(axis=1) <= EXPECTED
-    covered = [np.zeros(len(w) + 1, dtype=np.int64) for w in items.words]
-    for item, place, last in zip(items.owners[rare].tolist(), items.places[rare].tolist(), items.reach[rare].tolist()):
-        covered[item][place] += 1
-        covered[item][last + 1] -= 1
-    for item, steps in enumerate(covered):
-        bare = np.cumsum(steps)[:-1] == 0
-        if bare.sum() >= SHARE * max(len(bare), 1):
-            own = np.flatnonzero(items.owners == item)
-            rare[own[bare[items.places[own]] & bare[items.reach[own]]]] = True
+    sizes = np.array([len(w) for w in items.words], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    begin, end = starts[items.owners] + items.places, starts[items.owners] + items.reach
+    steps = np.zeros(starts[-1] + 1, dtype=np.int64)
+    np.add.at(steps, begin[rare], 1)
+    np.add.at(steps, end[rare] + 1, -1)
+    bare = np.cumsum(steps) == 0
+    bare[starts[1:] - 1] = False  # between items
+    n_bare = np.add.reduceat(bare, starts[:-1]) if len(sizes) else sizes
+    open_items = (sizes > 0) & (n_bare >= SHARE * sizes)
+    rare |= open_items[items.owners] & bare[begin] & bare[end]
     return Items(items.ids, items.words, items.seeds[rare], items.owners[rare], items.places[rare], items.reach[rare])
 
 
