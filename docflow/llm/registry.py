@@ -26,13 +26,3 @@ ORACLES = {
     "op12_conversation_repair": turnrepair.ORACLE_SQL,
     "op13_prefix_trie": prefixtrie.ORACLE_SQL,
 }
-
-
-def queries() -> dict:
-    import corpus_pipeline
-
-    return {**QUERIES, "pipeline": corpus_pipeline.run}
-
-
-def oracles() -> dict:
-    return dict(ORACLES)
