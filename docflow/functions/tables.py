@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -92,3 +93,74 @@ def html_cells(rows: DataFrame, key: str, table: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
     return rows.select(key, table).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+#: Pages of a composed document are set apart by a rule and begin with their number; neither can stand in a page's own text.
+_PAGES = re.compile(r"\n---\n\n(?=# Page )")
+_HEADING = re.compile(r"# Page ([1-9][0-9]*)\n\n")
+PIECES = "page long, block int, kind string, r int, c int, rs int, cs int, text string"
+
+
+def read_composed(markdown: str) -> Iterator[tuple]:
+    """(page, block, kind, r, c, rs, cs, text) of a composed document, in order.
+
+    Kinds: ``heading`` with a page's number, ``rule`` between pages, ``cell`` for
+    each cell of a pipe or HTML table, ``text`` for any other block, ``error`` where
+    a table or a page can't be read. A blank header row of a pipe table is no row.
+    """
+    for i, body in enumerate(_PAGES.split(markdown)):
+        if i:
+            yield None, None, "rule", None, None, None, None, "---"
+        head = _HEADING.match(body)
+        if head is None:
+            yield None, None, "error", None, None, None, None, "page without a number"
+            continue
+        page = int(head[1])
+        yield page, None, "heading", None, None, None, None, f"Page {page}"
+        for block, text in enumerate(x for x in body[head.end() :].strip("\n").split("\n\n") if x):
+            try:
+                if text.strip("\n") == "---":
+                    yield page, block, "rule", None, None, None, None, "---"
+                elif text.startswith("|"):
+                    for r, row in enumerate(read_markdown(text)):
+                        for c, cell in enumerate(row):
+                            yield page, block, "cell", r, c, 1, 1, cell
+                elif text.startswith("<table>"):
+                    for r, c, rs, cs, cell in read_html(text):
+                        yield page, block, "cell", r, c, rs, cs, cell
+                else:
+                    yield page, block, "text", None, None, None, None, text
+            except ValueError as e:
+                yield page, block, "error", None, None, None, None, str(e)
+
+
+class ComposedDocument:
+    """Table function: the pieces of one composed document; a null has none."""
+
+    def eval(self, markdown: str):
+        if markdown is not None:
+            yield from read_composed(markdown)
+
+
+def composed_pieces(documents: DataFrame, markdown: str = "markdown") -> DataFrame:
+    """The rows of ``documents`` joined laterally with the pieces of their composed document, which is left out itself."""
+    pieces = F.udtf(ComposedDocument, returnType=PIECES)
+    return documents.lateralJoin(pieces(F.col(markdown).outer())).drop(markdown)
+
+
+def check_composed(pieces: DataFrame, doc: str) -> DataFrame:
+    """doc, pages, tables, cells, problems: what is wrong with a document's structure, in order.
+
+    Pages are numbered upwards, one rule stands between two pages, everything can be read.
+    """
+    per_page = pieces.where("page IS NOT NULL").groupBy(doc, "page").agg(
+        F.count_if(F.col("kind") == "heading").alias("headings"), F.count_distinct(F.when(F.col("kind") == "cell", F.col("block"))).alias("tables"),
+        F.count_if(F.col("kind") == "cell").alias("cells"), F.count_if(F.col("kind") == "error").alias("errors"), F.count_if(F.col("kind") == "rule").alias("inner"),
+    )
+    loose = pieces.where("page IS NULL").groupBy(doc).agg(F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "error").alias("loose"))
+    whole = per_page.groupBy(doc).agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("tables").alias("tables"), F.sum("cells").alias("cells"), F.sum("errors").alias("errors"), F.max("headings").alias("headings"), F.sum("inner").alias("inner")
+    )
+    both = whole.join(loose, doc, "full_outer").na.fill(0)
+    rules = (("page", (F.col("headings") == 1) & (F.col("loose") == 0)), ("rules", F.col("rules") + F.col("inner") == F.col("pages") - 1), ("unreadable", F.col("errors") == 0))
+    return both.select(doc, "pages", "tables", "cells", F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules])).alias("problems"))

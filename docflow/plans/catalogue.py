@@ -626,4 +626,4 @@ def q_page_selection(spark, d):
     return _table(spark, d, "part").select("p_partkey", F.array_join(pdf.page_selection(text).cast("array<string>"), ",").alias("pages"))
 
 
-from docflow.plans import evidence, integrity, replays  # noqa: E402, F401  register their queries
+from docflow.plans import evidence, integrity, pictures, replays  # noqa: E402, F401  register their queries

@@ -7,7 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.sources.pdf import read_png, write_png
 
@@ -116,3 +119,62 @@ def crop_picture(content: bytes, box: tuple[int, int, int, int], grid: int = 500
     if left >= right or top >= bottom:
         raise ValueError("empty crop")
     return write_png(pixels[top:bottom, left:right])
+
+
+PIXELS = "height int, width int, pixels binary, error string"
+
+
+def _udf(kind, f):
+    """An Arrow UDF of a function of one row's values; nulls in any of them give null."""
+
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        rows = zip(*(c.to_pylist() for c in columns))
+        return pa.array([None if any(v is None for v in row) else f(*row) for row in rows], to_arrow_type(kind))
+
+    return run
+
+
+def png_column(pixels: Column, height: Column, width: Column) -> Column:
+    """A PNG of height * width * 3 bytes of pixels, null where their number doesn't fit."""
+
+    def write(data, h, w):
+        return write_png(np.frombuffer(data, np.uint8).reshape(h, w, 3)) if h > 0 and w > 0 and len(data) == h * w * 3 else None
+
+    return _udf(T.BinaryType(), write)(pixels, height.cast("int"), width.cast("int"))
+
+
+def pixels_column(content: Column) -> Column:
+    """struct(height, width, pixels, error) of a PNG."""
+
+    def read(data):
+        try:
+            found = read_png(bytes(data))
+        except Exception as e:  # noqa: BLE001
+            return {"height": None, "width": None, "pixels": None, "error": str(e)[:200]}
+        return {"height": found.shape[0], "width": found.shape[1], "pixels": found.tobytes(), "error": None}
+
+    return _udf(T.StructType.fromDDL(PIXELS), read)(content)
+
+
+def crop_column(content: Column, box: Column) -> Column:
+    """The PNG of a grid box (array of l, t, r, b) of a page, null where the box is empty in source pixels."""
+
+    def crop(data, own):
+        try:
+            return crop_picture(bytes(data), tuple(own))
+        except ValueError:
+            return None
+
+    return _udf(T.BinaryType(), crop)(content, box.cast("array<int>"))
+
+
+def resize_column(content: Column, height: Column, width: Column) -> Column:
+    """The PNG of an image resampled to a height and width."""
+
+    def scale(data, h, w):
+        return write_png(resize(read_png(bytes(data)), w, h))
+
+    return _udf(T.BinaryType(), scale)(content, height.cast("int"), width.cast("int"))
