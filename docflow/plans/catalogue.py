@@ -9,6 +9,7 @@ from docflow.functions import render
 from docflow.functions.doctags import parse_doctags
 from docflow.operators import build, compose, corpus, geometry, jobs, score, supervise
 from docflow.sources import pdf
+from docflow.sources.files import stored
 from docflow.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -215,7 +216,7 @@ def q_multipage(spark, d):
       sum(2 * n + 1 + CASE WHEN blocked THEN 0 ELSE 1 END)::BIGINT AS artifacts FROM s GROUP BY 1"""
 )
 def q_bundle_status(spark, d):
-    pages = _customer_pages(spark, d)
+    pages = stored(_customer_pages(spark, d))  # read from several sides
     whole = compose.compose(pages, "o_custkey", "page")
     files = compose.bundle_artifacts(pages, whole, "o_custkey", "page").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return whole.join(files, "o_custkey").groupBy("status").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("artifacts"))
@@ -626,4 +627,4 @@ def q_page_selection(spark, d):
     return _table(spark, d, "part").select("p_partkey", F.array_join(pdf.page_selection(text).cast("array<string>"), ",").alias("pages"))
 
 
-from docflow.plans import evidence, integrity, pictures, replays  # noqa: E402, F401  register their queries
+from docflow.plans import evidence, integrity, pictures, replays, reviews  # noqa: E402, F401  register their queries
