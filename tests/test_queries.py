@@ -9,7 +9,7 @@ from docflow.plans import catalogue
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
+    for t in ("region", "nation", "supplier", "customer", "orders", "lineitem", "part", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return c
 
