@@ -204,6 +204,12 @@ def _box_fits(box: list, strict: bool) -> bool:
     return box[0] + strict <= box[2] and box[1] + strict <= box[3]
 
 
+def _picture_role(tag: str | None) -> str:
+    if tag is None:
+        return "content"
+    return "class" if tag in CLASSIFICATIONS else "place" if tag.startswith("loc_") else "structure"
+
+
 class Builder:
     """Elements, cells, tables and content diagnostics of one page, as rows."""
 
@@ -266,26 +272,21 @@ class Builder:
         return text, box or None, notes
 
     def picture(self, kids: list[int], start: int) -> tuple[list | None, str | None]:
-        nodes = self.nodes
-        box, names = [], []
+        """Location and class of a picture: what stands in it is dealt by role, and each role allows so many."""
+        nodes, tags = self.nodes, self.nodes.tag
+        dealt: dict[str, list[int]] = {"class": [], "place": [], "content": [], "structure": []}
         for kid in kids:
-            tag = nodes.tag[kid]
-            if tag is None:
-                if not nodes.blank(kid):
-                    self.notes.append(("picture-content", nodes.start[kid]))
-            elif tag in CLASSIFICATIONS:
-                names.append(tag)
-                if len(names) > 1:
-                    self.notes.append(("picture-classification", nodes.start[kid]))
-            elif tag.startswith("loc_"):
-                box.append(location_of(tag))
-            else:
-                self.notes.append(("unsupported-structure", nodes.start[kid]))
-        if not _box_fits(box, strict=True):
-            self.notes.append(("location", start))
-            if len(box) != 4:
-                self.notes.append(("picture-location", start))
-        return box or None, names[0] if names else None
+            if not nodes.blank(kid):
+                dealt[_picture_role(tags[kid])].append(kid)
+        faults = [
+            (kid, code)
+            for role, allowed, code in (("content", 0, "picture-content"), ("class", 1, "picture-classification"), ("structure", 0, "unsupported-structure"))
+            for kid in dealt[role][allowed:]
+        ]
+        self.notes += [(code, nodes.start[kid]) for kid, code in sorted(faults)]
+        box = [location_of(tags[kid]) for kid in dealt["place"]]
+        self.notes += [("location", start)] * (not _box_fits(box, strict=True)) + [("picture-location", start)] * (len(box) != 4)
+        return box or None, tags[dealt["class"][0]] if dealt["class"] else None
 
     def table(self, node: int) -> list | None:
         """Cells and record of a table; its location is returned.

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.sources.pdf import read_png, write_png
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+from docflow.operators.geometry import TILE, resize_plan
+from docflow.sources.pdf import png_extent, read_png, write_png
 
 # Fixed values of the resampler: fixed-point bits and the filter's half width.
 FIXED_BITS, LOBES = 22, 3
-LONGEST_EDGE, TILE = 2048, 512
 TILES = "image_id long, tile int, row int, col int, rows int, cols int, values array<float>, error string"
 
 
@@ -53,28 +53,6 @@ def resize(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     return _along(_along(pixels, width, 1), height, 0)
 
 
-def plan(height: int, width: int) -> tuple[int, int, int, int, int, int]:
-    """h1, w1, h2, w2, rows, cols of an image: the plain twin of the column expression."""
-    ratio = width / height
-    if width >= height:
-        w1, h1 = LONGEST_EDGE, int(LONGEST_EDGE / ratio)
-        h1 += h1 % 2
-    else:
-        h1, w1 = LONGEST_EDGE, int(LONGEST_EDGE * ratio)
-        w1 += 0 if w1 == LONGEST_EDGE else w1 % 2
-    h1, w1 = max(1, h1), max(1, w1)
-    ratio = w1 / h1
-    up = lambda x: TILE * math.ceil(x / TILE)
-    if w1 >= h1:
-        w2 = up(w1)
-        h2 = up(int(w2 / ratio))
-    else:
-        h2 = up(h1)
-        w2 = up(int(h2 * ratio))
-    split = h2 > TILE or w2 > TILE
-    return h1, w1, h2, w2, h2 // TILE if split else 0, w2 // TILE if split else 0
-
-
 _VALUES = ((np.arange(256) * (1.0 / 255.0)).astype(np.float32) - np.float32(0.5)) / np.float32(0.5)
 
 
@@ -83,31 +61,41 @@ def normalise(tile: np.ndarray) -> np.ndarray:
     return _VALUES[np.moveaxis(tile, 2, 0)].reshape(-1)
 
 
-def tiles(pixels: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, col, rows, cols, values) of every tile, the whole image last (row and col 0)."""
-    h1, w1, h2, w2, rows, cols = plan(*pixels.shape[:2])
-    second = resize(resize(pixels, w1, h1), w2, h2)
-    for r in range(rows):
-        for c in range(cols):
-            yield r + 1, c + 1, rows, cols, normalise(second[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE])
-    whole = resize(second, TILE, TILE) if rows else second[:TILE, :TILE]
-    yield 0, 0, rows, cols, normalise(whole)
+def tiles(pixels: np.ndarray, sizes: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, col, values) of every tile by the sizes of ``geometry.resize_plan``, the whole image last (row and col 0)."""
+    second = resize(resize(pixels, sizes["w1"], sizes["h1"]), sizes["w2"], sizes["h2"])
+    for r in range(sizes["rows"]):
+        for c in range(sizes["cols"]):
+            yield r + 1, c + 1, normalise(second[r * TILE : (r + 1) * TILE, c * TILE : (c + 1) * TILE])
+    whole = resize(second, TILE, TILE) if sizes["rows"] else second[:TILE, :TILE]
+    yield 0, 0, normalise(whole)
 
 
 def preprocess(images: DataFrame) -> DataFrame:
-    """Rows of (image_id, content) to one row per tile; an unreadable image is one row with its error."""
+    """Rows of (image_id, content) to one row per tile; an unreadable image is one row with its error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["image_id", "tile", "row", "col", "rows", "cols", "values", "error"]
+    Sizes are planned by columns from the header; pixels are read where they are resized.
+    """
+    extent = png_extent(F.col("content"))
+    rows = images.select("image_id", "content", extent.alias("e")).select("image_id", "content", resize_plan(F.col("e.height"), F.col("e.width")).alias("plan"))
+    target = to_arrow_schema(T.StructType.fromDDL(TILES))
+
+    def out(*row) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, target)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image_id, content in zip(batch["image_id"], batch["content"]):
+            for row in batch.to_pylist():
                 try:
-                    for i, (r, c, rows, cols, values) in enumerate(tiles(read_png(bytes(content)))):
-                        yield pd.DataFrame([(image_id, i, r, c, rows, cols, values, None)], columns=names)
+                    pixels = read_png(row["content"])
                 except Exception as e:  # noqa: BLE001
-                    yield pd.DataFrame([(image_id, None, None, None, None, None, None, str(e)[:200])], columns=names)
+                    yield out(row["image_id"], None, None, None, None, None, None, str(e)[:200])
+                    continue
+                grid = row["plan"]["rows"], row["plan"]["cols"]
+                for i, (r, c, values) in enumerate(tiles(pixels, row["plan"])):
+                    yield out(row["image_id"], i, r, c, *grid, values, None)
 
-    return images.select("image_id", "content").mapInPandas(run, TILES)
+    return rows.mapInArrow(run, TILES)
 
 
 def crop_picture(content: bytes, box: tuple[int, int, int, int], grid: int = 500) -> bytes:
@@ -129,8 +117,6 @@ def _udf(kind, f):
 
     @F.arrow_udf(kind)
     def run(*columns: pa.Array) -> pa.Array:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         rows = zip(*(c.to_pylist() for c in columns))
         return pa.array([None if any(v is None for v in row) else f(*row) for row in rows], to_arrow_type(kind))
 

@@ -58,12 +58,16 @@ def page_selection(text: Column) -> Column:
     return F.when(grammar, F.when(sized, F.when((F.size(pages) <= MAX_PAGES) & ((F.size(pages) < 2) | rising), pages)))
 
 
-def png_size(content: Column) -> Column:
-    """struct(width, height) of an 8-bit RGB, not interlaced PNG by its header, else null."""
+def png_extent(content: Column) -> Column:
+    """struct(width, height) by the header of any PNG, else null."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
     head = F.substring(content, 1, 16) == F.lit(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR")
-    kind = F.substring(content, 25, 5) == F.lit(b"\x08\x02\x00\x00\x00")
-    return F.when(head & kind, F.struct(number(17).alias("width"), number(21).alias("height")))
+    return F.when(head, F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def png_size(content: Column) -> Column:
+    """struct(width, height) of an 8-bit RGB, not interlaced PNG by its header, else null."""
+    return F.when(F.substring(content, 25, 5) == F.lit(b"\x08\x02\x00\x00\x00"), png_extent(content))
 
 
 def read_png(data: bytes) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.operators import jobs
+from docflow.operators import geometry, jobs
 from docflow.sources import images, pdf, tensors
 from docflow.streaming import journal
 
@@ -40,7 +40,7 @@ def test_tiles(spark):
     rows = spark.createDataFrame([(1, content), (2, bytearray(b"no image"))], "image_id long, content binary")
     got = images.preprocess(rows).select("image_id", "row", "col", "rows", "cols", F.size("values").alias("n"), "error").collect()
     first = [tuple(r)[1:6] for r in got if r["image_id"] == 1]
-    rows_, cols = images.plan(100, 900)[4:]
+    rows_, cols = spark.range(1).select(geometry.resize_plan(F.lit(100), F.lit(900)).alias("p")).first()["p"][4:]
     assert len(first) == rows_ * cols + 1 and first[-1] == (0, 0, rows_, cols, 3 * 512 * 512)
     assert [r["error"] for r in got if r["image_id"] == 2] == ["not a PNG"]
 
