@@ -233,13 +233,12 @@ def learn(seen: DataFrame) -> DataFrame:
     rows = seen.select("text_key", F.explode("seen").alias("s")).select(
         "text_key", "s.kind", F.explode("s.patterns").alias("pattern"), F.xxhash64("s.instance").alias("instance"), "s.seed"
     )
-    support = (
-        rows.where("seed")
-        .groupBy("kind", "pattern")
-        .agg(F.approx_count_distinct("instance", 0.02).alias("seeds"), F.approx_count_distinct("text_key", 0.02).alias("docs"))
-        .where((F.col("seeds") >= LEAST_SEEDS) & (F.col("docs") >= LEAST_DOCS))
-        .select("kind", "pattern")
-    )
+    # both counts are exact; distinct pairs are formed before the shuffle, those of texts only for patterns with seeds enough
+    proven, support = rows.where("seed"), None
+    for what, least in (("instance", LEAST_SEEDS), ("text_key", LEAST_DOCS)):
+        left = proven if support is None else proven.join(support, ["kind", "pattern"], "left_semi")
+        counted = left.select("kind", "pattern", what).distinct().groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
+        support = durable(counted.where(F.col("n") >= least).select("kind", "pattern"))
     edges = rows.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")).join(support, ["kind", "pattern"])
     # all seeds of a pattern count alike: they are one row, and only unseen instances take part in the rounds
     own = durable(edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n")))
