@@ -23,6 +23,12 @@ def fingerprint(raw: Column) -> Column:
     return F.sha2(normalized(F.regexp_replace(raw, "<loc_[0-9]+>", "")), 256)
 
 
+def page_digits(page: Column) -> Column:
+    """A page's number as ids have it: five digits at least, and never cut."""
+    digits = page.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0"))
+
+
 def page_identity(identifier: Column) -> Column:
     """struct(source_id, page) of a page's id, null for any other text. Pages beyond 38 digits are no ids."""
     page = F.regexp_extract(identifier, PAGE_ID, 2).try_cast("decimal(38,0)")
@@ -238,7 +244,7 @@ def assign_splits(rows: DataFrame, lock: DataFrame) -> DataFrame:
     both = rows.join(lock.select("url", "page", "split", F.lit(True).alias("locked")), ["url", "page"], "full_outer")
     seen = rows.select("url", "page", F.lit(True).alias("present")).groupBy("url", "page").agg(F.count("present").alias("n"))
     problem = F.when(F.col("locked").isNull(), "not listed").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
-    named = F.concat(source_id(F.col("url")), F.lit("_p"), F.lpad(F.col("page").cast("string"), 5, "0"))
+    named = F.concat(source_id(F.col("url")), F.lit("_p"), page_digits(F.col("page")))
     return both.join(seen, ["url", "page"], "left").withColumns({"problem": problem, "id": named}).drop("locked", "n")
 
 

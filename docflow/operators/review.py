@@ -49,7 +49,7 @@ def dispatch(rows: DataFrame, reviews: DataFrame, sources: DataFrame) -> DataFra
     checked = both.withColumns({"problem": problem, "made": target, "source_id": own})
     fine = F.col("problem").isNull()
     return checked.select(
-        "row", F.when(fine, F.concat("source_id", F.lit("_p"), F.lpad(F.col("page").cast("string"), 5, "0"))).alias("id"),
+        "row", F.when(fine, F.concat("source_id", F.lit("_p"), corpus.page_digits(F.col("page")))).alias("id"),
         F.when(fine, F.col("source_id")).alias("source_id"), "decision", F.when(fine, F.col("made")).alias("target"),
         F.sha2("response", 256).alias("response_sha256"), "problem",
     )

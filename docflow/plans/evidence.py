@@ -88,8 +88,7 @@ def q_table_round_trip(spark, d):
 
 
 def _identities(spark, d):
-    digits = F.lpad(F.col("page_id").cast("string"), 5, "0")
-    name = F.concat(corpus.source_id(F.col("url")), F.when(F.col("page_id") % 7 == 3, "_q").otherwise("_p"), digits)
+    name = F.concat(corpus.source_id(F.col("url")), F.when(F.col("page_id") % 7 == 3, "_q").otherwise("_p"), corpus.page_digits(F.col("page_id")))
     return _table(spark, d, "pages").select("page_id", "url", name.alias("id"))
 
 
