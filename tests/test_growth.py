@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from docflow.plans import catalogue
+from docflow.sources import images
+from docflow.sources.tables import read_table
 
 
 def against_sql(spark, folder, name, table):
@@ -18,8 +20,26 @@ def against_sql(spark, folder, name, table):
     return sorted(map(str, map(tuple, df.collect()))), sorted(map(str, want))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_page_numbers_of_six_digits_are_kept(spark, tmp_path):
     pages = pa.table({"page_id": [7, 99_999, 100_000, 1_234_567], "url": ["a", "b", "c", "d"], "html": [""] * 4})
     pq.write_table(pages, tmp_path / "pages.parquet")
     got, want = against_sql(spark, tmp_path, "q_page_identity", "pages")
     assert got == want
+
+
+def test_rows_of_heavy_work_are_dealt_over_tasks_that_do_not_grow(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": list(range(1000))}), tmp_path / "part.parquet")
+    rows = read_table(spark, str(tmp_path), "part", 50)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) <= 60
+    for name in ("q_image_resize", "q_png_pixels", "q_picture_crops"):
+        assert "Exchange RoundRobinPartitioning" in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_resized_images_by_kept_weights():
+    assert images.weights(10, 20) is images.weights(10, 20)  # small ones once
+    assert images.weights(2000, 20) is not images.weights(2000, 20)  # large ones aren't held
