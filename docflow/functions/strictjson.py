@@ -7,9 +7,13 @@ have. ``get_json_object`` would do neither.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.bound import bound
+
 #: What ``schema_of_variant`` calls the kinds that are asked for.
 KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "null": "VOID"}
 
@@ -33,7 +37,7 @@ def canonical(value: Column) -> Column:
 
 def fields(value: Column) -> Column:
     """map<string, variant> of an object, null for any other value."""
-    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value.try_cast("map<string,variant>"))
+    return value.try_cast("map<string,variant>")
 
 
 def field(value: Column, name: str) -> Column:
@@ -41,18 +45,27 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f'$["{name}"]', "variant")
 
 
+def record(value: Column, names: Iterable[str]) -> Column:
+    """Fields of an object by name, as a struct of values; null for any other value, a missing field is null."""
+    return value.try_cast("struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
 def is_kind(value: Column, kind: str) -> Column:
     """Whether a value is of a kind: string, integer, boolean, null, array or object."""
-    found = F.schema_of_variant(value)
-    fits = F.startswith(found, F.lit(kind.upper())) if kind in ("array", "object") else found == KINDS[kind]
-    return F.coalesce(value.isNotNull() & fits, F.lit(False))
+    if kind in ("array", "object"):
+        return value.try_cast({"array": "array<variant>", "object": "map<string,variant>"}[kind]).isNotNull()
+    return F.coalesce(value.isNotNull() & (F.schema_of_variant(value) == KINDS[kind]), F.lit(False))
 
 
 def typed(value: Column, name: str, kind: str) -> Column:
     """A field of a string, integer or boolean; null where it is missing or of another kind."""
-    found = field(value, name)
+    return bound(field(value, name), lambda found: exactly(found, kind))
+
+
+def exactly(value: Column, kind: str) -> Column:
+    """A string, integer or boolean; null for a value of another kind."""
     to = {"string": "string", "integer": "long", "boolean": "boolean"}[kind]
-    return F.when(is_kind(found, kind), F.try_variant_get(value, f'$["{name}"]', to))
+    return F.when(is_kind(value, kind), F.try_variant_get(value, "$", to))
 
 
 def with_field(value: Column, name: str, text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions import strictjson
+from docflow.functions.bound import bound
 from docflow.operators.graph import components, shared_keys
 
 #: White space as Unicode-aware string splitting has it.
@@ -107,23 +108,28 @@ def seal_problems(seal: Column, policy: Column) -> Column:
     keys isn't. ``policy``: struct of workflow_sha256, selection_protocol_sha256,
     final_cases and development_evidence (JSON text of what it must hold).
     """
-    whole = strictjson.parsed(seal)
+    return bound(strictjson.parsed(seal), lambda whole: bound(_seal_values(whole), lambda found: _seal_problems(whole, found, policy)))
+
+
+def _seal_values(whole: Column) -> Column:
+    """A seal's fields as a struct: null where the kind isn't the one of ``SEAL_FIELDS``, arrays and objects as canonical text."""
+
+    def values(found):
+        own = lambda n, kind: strictjson.exactly(found[n], kind) if kind not in ("array", "object") else F.when(strictjson.is_kind(found[n], kind), strictjson.canonical(found[n]))
+        files = F.map_entries(strictjson.fields(found["selected_files"]))
+        return F.struct(*[own(n, kind).alias(n) for n, kind in SEAL_FIELDS.items()], files.alias("files"))
+
+    return bound(strictjson.record(whole, SEAL_FIELDS), values)
+
+
+def _seal_problems(whole: Column, found: Column, policy: Column) -> Column:
     keys = F.coalesce(F.map_keys(strictjson.fields(whole)), F.array().cast("array<string>"))
     yes = lambda c: F.coalesce(c, F.lit(False))
 
-    def value(name):
-        kind = SEAL_FIELDS[name]
-        if kind in ("string", "integer", "boolean"):
-            return strictjson.typed(whole, name, kind)
-        found = strictjson.field(whole, name)
-        return F.when(strictjson.is_kind(found, kind), strictjson.canonical(found))
-
     problems = [F.when(~yes(F.array_sort(keys) == F.array(*[F.lit(k) for k in sorted(SEAL_FIELDS)])), "fields")]
-    problems += [F.when(~yes(rule(*[value(x) for x in names], policy)), name) for name, names, rule in SEAL_RULES]
-    files = F.map_entries(strictjson.fields(strictjson.field(whole, "selected_files")))
-    digest = lambda v: F.when(strictjson.is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
-    bound = F.forall(files, lambda e: yes(safe_relative(e["key"]) & digest(e["value"]).rlike(r"\A[0-9a-f]{64}\z")))
-    return F.array_compact(F.array(*problems, F.when(~yes(bound), "digests")))
+    problems += [F.when(~yes(rule(*[found[x] for x in names], policy)), name) for name, names, rule in SEAL_RULES]
+    digests = F.forall(found["files"], lambda e: yes(safe_relative(e["key"]) & strictjson.exactly(e["value"], "string").rlike(r"\A[0-9a-f]{64}\z")))
+    return F.array_compact(F.array(*problems, F.when(~yes(digests), "digests")))
 
 
 GROUND_TRUTH = (
