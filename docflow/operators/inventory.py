@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions import strictjson
+from docflow.functions.bound import bound
 from docflow.sources.files import opened
 
 # The files of a flat model folder and of an adapter.
@@ -135,16 +136,20 @@ def folder_inventory(inventory: DataFrame, folder: str, name: str, names: tuple[
 
 def inventory_fits(value: Column, names: tuple[str, ...], needed: tuple[str, ...]) -> Column:
     """Whether a JSON value is an inventory of exactly these names: an identity each, or null for one that isn't needed."""
-    files = strictjson.fields(value)
+    return bound(strictjson.fields(value), lambda files: _files_fit(files, names, needed))
+
+
+def _files_fit(files: Column, names: tuple[str, ...], needed: tuple[str, ...]) -> Column:
     keys = F.array_sort(F.map_keys(files)) == F.array(*[F.lit(n) for n in sorted(names)])
 
     def fits(entry):
-        own = entry["value"]
-        digest = strictjson.typed(own, "sha256", "string").rlike(r"\A[0-9a-f]{64}\z")
-        size = strictjson.typed(own, "bytes", "integer") >= 0
-        exact = F.array_sort(F.map_keys(strictjson.fields(own))) == F.array(F.lit("bytes"), F.lit("sha256"))
-        absent = strictjson.is_kind(own, "null") & ~entry["key"].isin(*needed)
-        return absent | F.coalesce(exact & digest & size, F.lit(False))
+        absent = strictjson.is_kind(entry["value"], "null") & ~entry["key"].isin(*needed)
+        return absent | bound(strictjson.fields(entry["value"]), identity)
+
+    def identity(own):
+        digest = strictjson.exactly(own["sha256"], "string").rlike(r"\A[0-9a-f]{64}\z")
+        size = strictjson.exactly(own["bytes"], "integer") >= 0
+        return F.coalesce((F.size(own) == 2) & digest & size, F.lit(False))
 
     return F.coalesce(keys & F.forall(F.map_entries(files), fits), F.lit(False))
 
@@ -157,14 +162,31 @@ def relocate(bundles: DataFrame) -> DataFrame:
     base's new folder). Exactly one field of the config is written anew. The first
     rule that a bundle breaks is its error; then there is no receipt.
     """
-    manifest, config = strictjson.parsed(F.col("manifest")), strictjson.parsed(F.col("config"))
+    target = F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/"))
+    made = bound(
+        F.struct(strictjson.parsed(F.col("manifest")).alias("manifest"), strictjson.parsed(F.col("config")).alias("config"), target.alias("target")),
+        lambda x: _relocated(x["manifest"], x["config"], x["target"]),
+    )
+    rows = bundles.withColumn("made", made).select(*bundles.columns, "made.*")
+    receipt = F.struct(
+        F.array_compact(F.array(F.when(F.col("source_base") != F.col("target_base"), BASE_FIELD))).alias("changed_config_fields"),
+        F.lit(1).alias("schema_version"),
+        F.sha2("manifest", 256).alias("source_manifest_sha256"),
+        "source_base",
+        F.sha2("staged_config", 256).alias("staged_config_sha256"),
+        "target_base",
+    )
+    return rows.withColumn("receipt", F.when(F.col("error").isNull(), F.to_json(receipt))).drop("source_base", "target_base")
+
+
+def _relocated(manifest: Column, config: Column, target: Column) -> Column:
+    """struct(error, staged_config, source_base, target_base) of a bundle; staged only without an error."""
+    wanted = F.array(*[F.lit(x) for x in ("adapter_files", "base_files", "schema_version")])
     part = lambda name: strictjson.field(manifest, name)
     same = lambda name, found: F.coalesce(
         strictjson.canonical(part(name)) == strictjson.canonical(strictjson.parsed(F.col(found))), F.lit(False)
     )
-    wanted = F.array(*[F.lit(x) for x in ("adapter_files", "base_files", "schema_version")])
     source, revision = strictjson.typed(config, BASE_FIELD, "string"), strictjson.field(config, "revision")
-    target = F.concat(F.regexp_replace("target", "/+$", ""), F.lit("/"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     rules = (
         ("manifest", yes(F.array_sort(F.map_keys(strictjson.fields(manifest))) == wanted) & yes(strictjson.typed(manifest, "schema_version", "integer") == 1)),
@@ -175,14 +197,10 @@ def relocate(bundles: DataFrame) -> DataFrame:
         ("config", yes(F.startswith(source, F.lit("/"))) & (revision.isNull() | strictjson.is_kind(revision, "null"))),
     )
     error = F.coalesce(*[F.when(~fine, name) for name, fine in rules])
-    staged = strictjson.with_field(config, BASE_FIELD, target)
-    receipt = F.struct(
-        F.array_compact(F.array(F.when(source != target, BASE_FIELD))).alias("changed_config_fields"),
-        F.lit(1).alias("schema_version"),
-        F.sha2("manifest", 256).alias("source_manifest_sha256"),
-        source.alias("source_base"),
-        F.sha2("staged_config", 256).alias("staged_config_sha256"),
-        target.alias("target_base"),
-    )
-    rows = bundles.withColumn("error", error).withColumn("staged_config", F.when(F.col("error").isNull(), staged))
-    return rows.withColumn("receipt", F.when(F.col("error").isNull(), F.to_json(receipt)))
+    return bound(
+        error,
+        lambda e: F.struct(
+            e.alias("error"), F.when(e.isNull(), strictjson.with_field(config, BASE_FIELD, target)).alias("staged_config"),
+            source.alias("source_base"), target.alias("target_base"),
+        ),
+    )

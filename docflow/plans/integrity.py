@@ -107,7 +107,7 @@ s AS (SELECT *, '{{"base_model_name_or_path":"/new/base/","r":' || k || ',"revis
 )
 def q_relocate(spark, d):
     turn, name = F.col("c_custkey") % 8, F.col("c_name")
-    adapter, base = _identities(inventory.ADAPTER_FILES, name), _identities(inventory.BASE_FILES, F.col("c_mktsegment"))
+    adapter, base = F.col("adapter"), F.col("base")
     manifest = F.concat(
         F.lit('{"schema_version":'), F.when(turn == 1, '"1"').otherwise("1"), F.lit(',"base_files":'), F.when(turn == 2, "{}").otherwise(base),
         F.lit(',"adapter_files":'), F.when(turn == 3, "[]").otherwise(adapter), F.lit("}"),
@@ -117,7 +117,10 @@ def q_relocate(spark, d):
         F.lit('{"r": '), F.col("c_custkey").cast("string"), F.lit(', "revision": '), F.when(turn == 7, '"main"').otherwise("null"),
         F.lit(', "base_model_name_or_path": "'), source, F.lit('"}'),
     )
-    rows = _table(spark, d, "customer").select(
+    told = _table(spark, d, "customer", 10_000).select(
+        "c_custkey", "c_name", _identities(inventory.ADAPTER_FILES, name).alias("adapter"), _identities(inventory.BASE_FILES, F.col("c_mktsegment")).alias("base")
+    )
+    rows = told.select(
         "c_custkey", manifest.alias("manifest"), config.alias("config"), F.lit("/new/base").alias("target"),
         F.when(turn == 4, F.replace(adapter, F.lit('"bytes":'), F.lit('"bytes":1'))).otherwise(adapter).alias("adapter_files"),
         F.when(turn == 5, F.replace(base, F.lit(":null"), F.lit(':{"bytes":0,"sha256":""}'))).otherwise(base).alias("base_files"),

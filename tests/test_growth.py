@@ -36,7 +36,7 @@ def test_rows_of_heavy_work_are_dealt_over_tasks_that_do_not_grow(spark, tmp_pat
     rows = read_table(spark, str(tmp_path), "part", 50)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) <= 60
-    for name in ("q_image_resize", "q_png_pixels", "q_picture_crops"):
+    for name in ("q_image_resize", "q_png_pixels", "q_picture_crops", "q_relocate", "q_seal_problems"):
         assert "Exchange RoundRobinPartitioning" in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")), name
 
 
