@@ -134,18 +134,41 @@ def read_composed(markdown: str) -> Iterator[tuple]:
                 yield page, block, "error", None, None, None, None, str(e)
 
 
-class ComposedDocument:
-    """Table function: the pieces of one composed document; a null has none."""
-
-    def eval(self, markdown: str):
-        if markdown is not None:
-            yield from read_composed(markdown)
+#: Pieces of one batch, about.
+MOST_PIECES = 10_000
 
 
 def composed_pieces(documents: DataFrame, markdown: str = "markdown") -> DataFrame:
-    """The rows of ``documents`` joined laterally with the pieces of their composed document, which is left out itself."""
-    pieces = F.udtf(ComposedDocument, returnType=PIECES)
-    return documents.lateralJoin(pieces(F.col(markdown).outer())).drop(markdown)
+    """A row for each piece of each composed document (a null has none), with the other columns of its row."""
+    others = [c for c in documents.columns if c != markdown]
+    schema = T.StructType([*documents.select(*others).schema.fields, *T.StructType.fromDDL(PIECES).fields])
+    target = to_arrow_schema(schema)
+    fields = list(target)[len(others) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kept = batch.column(len(others)), batch.select(range(len(others)))
+            rows: list[tuple] = []
+            owners: list[int] = []
+
+            def out() -> pa.RecordBatch:
+                columns = list(zip(*rows)) or [()] * len(fields)
+                own = [c.take(pa.array(owners, pa.int64())).cast(f.type) for c, f in zip(kept.columns, target)]
+                return pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type) for c, f in zip(columns, fields))], schema=target)
+
+            for i in range(len(texts)):
+                markdown = texts[i].as_py()
+                if markdown is None:
+                    continue
+                before = len(rows)
+                rows += read_composed(markdown)
+                owners += [i] * (len(rows) - before)
+                if len(rows) >= MOST_PIECES:
+                    yield out()
+                    rows, owners = [], []
+            yield out()
+
+    return documents.select(*others, markdown).mapInArrow(run, schema)
 
 
 def check_composed(pieces: DataFrame, doc: str) -> DataFrame:
@@ -153,14 +176,16 @@ def check_composed(pieces: DataFrame, doc: str) -> DataFrame:
 
     Pages are numbered upwards, one rule stands between two pages, everything can be read.
     """
-    per_page = pieces.where("page IS NOT NULL").groupBy(doc, "page").agg(
-        F.count_if(F.col("kind") == "heading").alias("headings"), F.count_distinct(F.when(F.col("kind") == "cell", F.col("block"))).alias("tables"),
-        F.count_if(F.col("kind") == "cell").alias("cells"), F.count_if(F.col("kind") == "error").alias("errors"), F.count_if(F.col("kind") == "rule").alias("inner"),
+    kind = lambda name: F.col("kind") == name
+    per_page = pieces.groupBy(doc, "page").agg(
+        F.count_if(kind("heading")).alias("headings"), F.count_if(kind("cell") & (F.col("r") == 0) & (F.col("c") == 0)).alias("tables"),  # each has one such cell
+        F.count_if(kind("cell")).alias("cells"), F.count_if(kind("error")).alias("errors"), F.count_if(kind("rule")).alias("rules"),
+    )
+    paged = F.col("page").isNotNull()
+    inside = lambda name: F.coalesce(F.sum(F.when(paged, F.col(name))), F.lit(0)).alias(name)
+    both = per_page.groupBy(doc).agg(  # pieces are read once, also those between pages
+        F.count("page").alias("pages"), inside("tables"), inside("cells"), F.coalesce(F.max(F.when(paged, F.col("headings"))), F.lit(0)).alias("headings"),
+        inside("errors"), F.sum("rules").alias("rules"), F.coalesce(F.sum(F.when(~paged, F.col("errors"))), F.lit(0)).alias("loose"),
     )
-    loose = pieces.where("page IS NULL").groupBy(doc).agg(F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "error").alias("loose"))
-    whole = per_page.groupBy(doc).agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("tables").alias("tables"), F.sum("cells").alias("cells"), F.sum("errors").alias("errors"), F.max("headings").alias("headings"), F.sum("inner").alias("inner")
-    )
-    both = whole.join(loose, doc, "full_outer").na.fill(0)
-    rules = (("page", (F.col("headings") == 1) & (F.col("loose") == 0)), ("rules", F.col("rules") + F.col("inner") == F.col("pages") - 1), ("unreadable", F.col("errors") == 0))
+    rules = (("page", (F.col("headings") == 1) & (F.col("loose") == 0)), ("rules", F.col("rules") == F.col("pages") - 1), ("unreadable", F.col("errors") == 0))
     return both.select(doc, "pages", "tables", "cells", F.array_compact(F.array(*[F.when(~ok, name) for name, ok in rules])).alias("problems"))
