@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docflow.functions.bound import bound
+
 GRID, LONGEST_EDGE, TILE, SLOTS = 500, 2048, 512, 64
 
 
@@ -163,10 +165,14 @@ def mask_positions(mask: Column, side: int) -> Column:
         part = (place.cast("float") * (F.lit(1.0).cast("float") / extent).cast("float")).cast("float")
         return F.size(F.filter(fractions, lambda f: part >= f))
 
-    slots = F.sequence(F.lit(0), F.lit(side * side - 1))
-    inside = lambda i: (F.floor(i / side) < height) & (i % side < width)
-    good = (F.size(mask) == side * side) & (height > 0) & (width > 0) & F.forall(slots, lambda i: inside(i) == (F.element_at(mask, i + 1) == 1))
-    return F.when(
-        good,
-        F.transform(slots, lambda i: F.when(inside(i), bucket(F.floor(i / side), height) * side + bucket(i % side, width)).otherwise(0).cast("int")),
-    )
+    slots = F.array(*[F.struct(F.lit(i // side).alias("y"), F.lit(i % side).alias("x"), F.lit(i + 1).alias("at")) for i in range(side * side)])
+    inside = lambda s, h, w: (s["y"] < h) & (s["x"] < w)
+
+    def placed(h: Column, w: Column) -> Column:
+        """Positions by the buckets of all rows and columns, of which there are a side each."""
+        good = (F.size(mask) == side * side) & (h > 0) & (w > 0) & F.forall(slots, lambda s: inside(s, h, w) == (F.element_at(mask, s["at"]) == 1))
+        buckets = F.struct(F.transform(line, lambda i: bucket(i, h)).alias("y"), F.transform(line, lambda i: bucket(i, w)).alias("x"))
+        place = lambda s, b: F.when(inside(s, h, w), F.get(b["y"], s["y"]) * side + F.get(b["x"], s["x"])).otherwise(0).cast("int")
+        return F.when(good, bound(buckets, lambda b: F.transform(slots, lambda s: place(s, b))))
+
+    return bound(F.struct(height.alias("h"), width.alias("w")), lambda x: placed(x["h"], x["w"]))

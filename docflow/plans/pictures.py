@@ -85,7 +85,7 @@ def q_mask_positions(spark, d):
     k, h, w = F.col("p_partkey"), F.col("p_size") % 6 + 1, F.col("p_partkey") % 6 + 1
     last = (h - 1) * 6 + w - 1
     mask = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: ((F.floor(i / 6) < h) & (i % 6 < w) & ~((k % 9 == 4) & (h > 1) & (w > 1) & (i == last))).cast("int"))
-    rows = _table(spark, d, "part").select("p_partkey", mask.alias("mask"))
+    rows = _table(spark, d, "part", 20_000).select("p_partkey", mask.alias("mask"))
     return rows.select("p_partkey", F.array_join(geometry.mask_positions(F.col("mask"), 6).cast("array<string>"), ",").alias("positions"))
 
 
