@@ -166,9 +166,8 @@ def summarize(scored: DataFrame, split: str = "split") -> DataFrame:
 
 def multiset_overlap(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Per ``by``: n_left, n_right and matches, the size of the multiset intersection over keys."""
-    a = left.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("x"))
-    b = right.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("y"))
-    both = a.join(b, [*by, *keys], "full_outer").na.fill(0, ["x", "y"])
+    side = lambda rows, x: rows.select(*by, *keys, F.lit(x).alias("x"), F.lit(1 - x).alias("y"))
+    both = side(left, 1).unionByName(side(right, 0)).groupBy(*by, *keys).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     return both.groupBy(*by).agg(
         F.sum("x").alias("n_left"), F.sum("y").alias("n_right"), F.sum(F.least("x", "y")).alias("matches")
     )
