@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ def edit_distance(a: str | list, b: str | list) -> int:
     diagonal only, which doubles until the distance fits into it (Ukkonen), so
     near texts of any length cost little more than their length. A column of the
     band is two rows of bits of differences (Myers), a few operations on integers.
+    No distance is below the difference of the lengths, which it is exactly if one
+    is a subsequence of the other, nor below the elements that have no like on the
+    other side: no band begins below that.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -32,13 +37,15 @@ def edit_distance(a: str | list, b: str | list) -> int:
     while end < len(a) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a:
-        return len(b)
+    rest = iter(b)
+    if all(x in rest for x in a):
+        return len(b) - len(a)
     places: dict = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
-    band = max(FIRST_BAND, len(b) - len(a))
-    while band < len(a):
+    others = Counter(b)
+    band = max(FIRST_BAND, len(b) - sum(min(len(own), others[x]) for x, own in places.items()))
+    while 2 * band < len(a):
         distance = _banded(places, len(a), b, band)
         if distance <= band:
             return distance
