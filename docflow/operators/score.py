@@ -290,21 +290,11 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, " ", -1), "")
 
 
-def inventory(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of strings.
-
-    The n-th occurrence of a value is told from the others by its number, so the
-    built-in intersection of sets counts occurrences.
-    """
-
-    def numbered(values: Column) -> Column:
-        own = F.transform(
-            F.array(F.array_sort(values)),
-            lambda s: F.transform(s, lambda v, i: F.concat_ws("\0", v, (i + 1 - F.array_position(s, v)).cast("string"))),
-        )
-        return F.get(own, F.lit(0))
-
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+@F.arrow_udf(T.IntegerType())
+def inventory(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Size of the multiset intersection of two arrays of strings; null where a side is null."""
+    sizes = [None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    return pa.array(sizes, pa.int32())
 
 
 def score_coverage(cases: DataFrame) -> DataFrame:
@@ -316,7 +306,7 @@ def score_coverage(cases: DataFrame) -> DataFrame:
     wanted, found = _words(F.col("expected_text")), _words(F.col("recognized_text"))
     rows = rows.withColumns(
         {
-            "character_edits": F.levenshtein("expected_text", "recognized_text").cast("long"),
+            "character_edits": character_edits("expected_text", "recognized_text"),
             "reference_characters": F.length("expected_text").cast("long"),
             "word_edits": word_edits("expected_text", "recognized_text"),
             "reference_words": F.size(wanted).cast("long"),
@@ -408,11 +398,11 @@ def score_document(cases: DataFrame) -> DataFrame:
             "markdown_exact": F.col("reference") == F.col("actual"),
             "tables_exact": (shapes(F.col("expected_tables")) == shapes(F.col("tables"))) & (F.array_sort("wanted") == F.array_sort("found")),
             "exact_cell_matches": inventory(F.col("wanted"), F.col("found")).cast("long"),
-            "character_edits": F.levenshtein("reference", "actual").cast("long"),
+            "character_edits": character_edits("reference", "actual"),
             "reference_characters": F.length("reference").cast("long"),
             "word_edits": word_edits("reference", "actual"),
             "reference_words": F.size(_words(F.col("reference"))).cast("long"),
-            "raw_text_character_edits": F.levenshtein("reference_text", "raw_text").cast("long"),
+            "raw_text_character_edits": character_edits("reference_text", "raw_text"),
             "raw_text_reference_characters": F.length("reference_text").cast("long"),
             "raw_text_word_edits": word_edits("reference_text", "raw_text"),
             "raw_text_reference_words": F.size(_words(F.col("reference_text"))).cast("long"),

@@ -5,6 +5,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from docflow.functions import doctags, tables
+from docflow.operators import geometry, score
 from docflow.plans import catalogue
 from docflow.sources import images
 from docflow.sources.tables import read_table
@@ -43,3 +45,54 @@ def test_rows_of_heavy_work_are_dealt_over_tasks_that_do_not_grow(spark, tmp_pat
 def test_resized_images_by_kept_weights():
     assert images.weights(10, 20) is images.weights(10, 20)  # small ones once
     assert images.weights(2000, 20) is not images.weights(2000, 20)  # large ones aren't held
+
+
+def test_long_texts_are_scored_in_a_band_and_words_in_one_go(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(30_000))
+    rows = spark.createDataFrame([(text, text.replace("w7 ", "x ") + " end", "eos", 0, True)], "expected string, raw string, stop_reason string, n_diagnostics int, markdown_written boolean")
+    scored = score.score_coverage(rows)
+    assert "levenshtein(" not in plan(scored) and "array_position" not in plan(scored)
+    r = scored.first()
+    assert (r["character_edits"], r["word_edits"], r["inventory_matches"]) == (16, 7, 30_000 - 6)
+
+
+def test_no_band_begins_below_the_distance(monkeypatch):
+    passes = []
+    monkeypatch.setattr(score, "_banded", lambda *x, own=score._banded: passes.append(x[-1]) or own(*x))
+    whole = "the quick brown fox " * 200
+    assert score.edit_distance(whole, whole.replace("o", "")) == 400 and not passes
+    words = [f"w{i}" for i in range(2000)]
+    assert score.edit_distance(words, [w if i % 10 else w + "x" for i, w in enumerate(words)]) == 200 and passes == [200]
+
+
+def test_table_scores_need_no_join(spark):
+    a = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "k int, v int")
+    b = spark.createDataFrame([(1, 5), (1, 9), (3, 7)], "k int, v int")
+    found = score.multiset_overlap(a, b, ["v"], ["k"])
+    assert "Join" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 2, 1), (2, 1, 0, 0), (3, 0, 1, 0)]
+
+
+def test_composed_documents_are_read_once(spark):
+    documents = spark.createDataFrame([(1, "# Page 1\n\n| a |\n| --- |\n| b |\n\ntext\n")], "doc long, markdown string")
+    found = tables.check_composed(tables.composed_pieces(documents), "doc")
+    assert plan(found).count("MapInArrow") == 1 and tuple(found.first()) == (1, 1, 1, 2, [])
+
+
+def test_mask_extents_are_taken_once(spark):
+    mask = geometry.mask_positions(F.col("mask"), 6)
+    rows = spark.createDataFrame([([1] * 36,)], "mask array<int>").select(mask.alias("p"))
+    assert plan(rows).count("filter(") <= 4  # two extents, two kinds of buckets
+    assert rows.first()["p"] == list(range(36))
+
+
+def test_pages_are_parsed_in_portions():
+    page = "x" * (doctags.PORTION // 4 + 1)
+    portions = doctags._portions(pa.array([page, None, page, page, page, page, ""]))
+    assert len(portions) == 2 and [a for a, _ in portions] == [0, 4] and sum(n for _, n in portions) == 7
+
+
+def test_plain_tables_need_no_spans(monkeypatch):
+    monkeypatch.setattr(doctags, "_extents", None)
+    done = doctags.parse_page("<doctag><otsl><ched>a<nl><fcel>b<nl></otsl></doctag>")
+    assert [(c["r"], c["rs"], c["cs"], c["text"]) for c in done["cells"]] == [(0, 1, 1, "a"), (1, 1, 1, "b")] and not done["diagnostics"]
