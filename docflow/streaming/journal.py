@@ -1,23 +1,17 @@
-"""Generation records as a stream: a state per page decides what is parsed, an append-only table of pages comes out."""
+"""Generation records as a stream: what overtakes the pages written so far is parsed, an append-only table of pages comes out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docflow.functions.doctags import parse_doctags
 from docflow.functions.render import to_markdown
 from docflow.operators.jobs import RECORD, record_rank
 
-#: By the time files were written: how far behind the newest a file may come, and how much longer a page is remembered.
+#: By the time files were written: how far behind the newest a file may come, and how long a record is known as a repeated one.
 KEEP = "7 days"
-KEEP_MS = 7 * 24 * 3600 * 1000
-CHOSEN = "job string, page long, attempt int, raw string, stop_reason string, error string"
-STATE = "valid boolean, attempt long, tie long"
+WRITTEN = "job string, page long, rank struct<valid: boolean, attempt: int, tie: bigint>, batch long"
 
 
 def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -26,59 +20,51 @@ def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
     return files.select("*", F.col("_metadata.file_modification_time").alias("seen"))
 
 
-def convert(records: DataFrame) -> DataFrame:
-    """Records to (job, page, attempt, codes, markdown, error): the same plan for streams and tables."""
-    parsed = records.select("job", "page", "attempt", "error", parse_doctags(F.col("raw"), F.col("stop_reason")).alias("p"))
+def convert(records: DataFrame, *kept: str) -> DataFrame:
+    """Records to (job, page, attempt, codes, markdown, error) and the columns kept: the same plan for streams and tables."""
+    parsed = records.select("job", "page", "attempt", "error", *kept, parse_doctags(F.col("raw"), F.col("stop_reason")).alias("p"))
     done = F.col("error").isNull()
     return parsed.select(
-        "job", "page", "attempt", F.when(done, F.col("p.diagnostics.code")).alias("codes"), F.when(done, to_markdown(F.col("p"))).alias("markdown"), "error"
+        "job", "page", "attempt", F.when(done, F.col("p.diagnostics.code")).alias("codes"), F.when(done, to_markdown(F.col("p"))).alias("markdown"), "error", *kept
     )
 
 
-def _better(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A page's best new record, if it is better than the best one so far."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known = state.get if state.exists else None
-    best, last = None, state.getCurrentWatermarkMs()
-    for rows in batches:
-        last = max(last, int(rows["seen_ms"].max()))
-        for r in rows.itertuples(index=False):
-            rank = bool(r.valid), int(r.attempt_rank), int(r.tie)
-            if known is None or rank > known:
-                known, best = rank, r
-    state.update(known)
-    state.setTimeoutTimestamp(last + KEEP_MS)
-    if best is not None:
-        attempt = None if pd.isna(best.attempt) else int(best.attempt)
-        row = pd.DataFrame([(*key, attempt, best.raw, best.stop_reason, best.error)], columns=["job", "page", "attempt", "raw", "stop_reason", "error"])
-        yield row.astype({"page": "Int64", "attempt": "Int32"})
-
-
-def latest(records: DataFrame) -> DataFrame:
-    """Per micro-batch the records that overtake what their page had: the valid one of the highest attempt, else the last failure.
-
-    A page's state is its best rank, three numbers. It is dropped once the watermark
-    is ``KEEP`` past the page's last file; Spark drops records later than the
-    watermark, so a page whose state is gone can't fall back.
+def arriving(records: DataFrame) -> DataFrame:
+    """Records with their ``rank``, without those later than the watermark and those that repeat one of the last ``KEEP``.
+
+    The state is a page's ranks, and Spark drops it behind the watermark. None of it passes through Python.
+    """
+    rows = records.withWatermark("seen", KEEP).select("job", "page", "attempt", "raw", "stop_reason", "error", "seen", record_rank().alias("rank"))
+    return rows.dropDuplicatesWithinWatermark(["job", "page", "rank"])
+
+
+def overtaking(records: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Each page's best record, if it is better than all that was written of the page: valid, of the highest attempt, else the last failure.
+
+    Both sides meet in one grouping; written rows bring their ranks only, and win if ranks are equal.
     """
-    rank = record_rank()
-    rows = records.withWatermark("seen", KEEP).select(
-        "job", "page", "attempt", "raw", "stop_reason", "error", "seen", F.unix_millis("seen").alias("seen_ms"),
-        rank["valid"].alias("valid"), rank["attempt"].cast("long").alias("attempt_rank"), rank["tie"].alias("tie"),
-    )
-    return rows.groupBy("job", "page").applyInPandasWithState(_better, CHOSEN, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    columns = ["attempt", "raw", "stop_reason", "error", "rank"]
+    rows = records.select("job", "page", F.struct("rank", F.lit(False).alias("written")).alias("by"), F.struct(*columns).alias("record"))
+    if written is not None:
+        none = F.lit(None).cast(rows.schema["record"].dataType).alias("record")
+        rows = rows.union(written.select("job", "page", F.struct("rank", F.lit(True).alias("written")), none))
+    best = rows.groupBy("job", "page").agg(F.max_by("record", "by").alias("record"))
+    return best.where(F.col("record").isNotNull()).select("job", "page", "record.*")
 
 
 def start(spark: SparkSession, journal: str, target: str, checkpoint: str, files_per_trigger: int = 64):
-    """Convert what arrives and counts; each batch is written under its number, so a replayed batch replaces itself."""
+    """Convert what arrives and counts; each batch is written under its number, so a replayed batch replaces itself.
+
+    What counts is told by the ranks in the batches of lower numbers, so the target
+    belongs to the stream as its checkpoint does, and no page ever falls back.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        convert(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        written = batch.sparkSession.read.schema(WRITTEN).parquet(target).where(F.col("batch") < number) if number else None
+        convert(overtaking(batch, written), "rank").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = latest(read_journal(spark, journal, files_per_trigger))
-    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = arriving(read_journal(spark, journal, files_per_trigger))
+    return stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pages(spark: SparkSession, target: str) -> DataFrame:

@@ -126,3 +126,56 @@ def test_failed_then_good_then_late(spark, tmp_path):
         os.utime(f, (1_600_000_000, 1_600_000_000))
     journal.start(spark, at, out, marks).awaitTermination()
     assert {r["page"] for r in journal.pages(spark, out).collect()} == {1, 2, 3}
+
+
+def published(spark, at, rows, day):
+    """Rows appended to a journal by a file that was written on the given day."""
+    known = set(Path(at).glob("*.parquet"))
+    spark.createDataFrame(rows, jobs.RECORD).coalesce(1).write.mode("append").parquet(at)
+    for f in set(Path(at).glob("*.parquet")) - known:
+        os.utime(f, (1_600_000_000 + day * 86_400,) * 2)
+
+
+def test_a_page_never_falls_back(spark, tmp_path):
+    at, out, marks = (str(tmp_path / x) for x in ("journal", "out", "check"))
+    good = ("j", 1, 2, "<doctag><text>good</text></doctag>", [1], "eos", None)
+    published(spark, at, [good], 0)
+    journal.start(spark, at, out, marks).awaitTermination()
+    published(spark, at, [("j", 2, 1, None, None, None, "boom")], 15)  # page 1 was written two weeks ago
+    journal.start(spark, at, out, marks).awaitTermination()
+    published(spark, at, [("j", 1, 3, None, None, None, "timeout"), ("j", 1, 1, "<doctag><text>older</text></doctag>", [1], "eos", None)], 16)
+    journal.start(spark, at, out, marks).awaitTermination()
+    assert {r["page"]: (r["attempt"], r["markdown"], r["error"]) for r in journal.pages(spark, out).collect()} == {1: (2, "good\n", None), 2: (1, None, "boom")}
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_no_page_of_a_stream_is_a_python_group(spark, tmp_path):
+    at, out, marks = (str(tmp_path / x) for x in ("journal", "out", "check"))
+    published(spark, at, [("j", p, a, f"<doctag><text>{p} {a}</text></doctag>", [1], "eos", None) for p in range(40) for a in (1, 2, 2)], 0)
+    query = journal.start(spark, at, out, marks)
+    query.awaitTermination()
+    told = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert {s["operatorName"] for s in told} == {"dedupeWithinWatermark"}
+    assert told[0]["numRowsTotal"] == 80  # repeated records are kept once
+    assert [r["markdown"] for r in journal.pages(spark, out).orderBy("page").collect()] == [f"{p} 2\n" for p in range(40)]
+
+
+def test_a_batch_that_was_not_committed_replaces_itself(spark, tmp_path):
+    at, out, marks = (str(tmp_path / x) for x in ("journal", "out", "check"))
+    row = lambda page, attempt: ("j", page, attempt, f"<doctag><text>{attempt}</text></doctag>", [1], "eos", None)
+    published(spark, at, [row(1, 1), row(2, 2)], 0)
+    journal.start(spark, at, out, marks).awaitTermination()
+    published(spark, at, [row(1, 2), row(2, 1), row(3, 1)], 1)
+    query = journal.start(spark, at, out, marks)
+    query.awaitTermination()
+    number = next(p["batchId"] for p in query.recentProgress if p["numInputRows"])
+    for log in ("offsets", "commits"):
+        for f in Path(marks, log).iterdir():
+            if int(f.name.strip(".").split(".")[0]) >= number + (log == "offsets"):
+                f.unlink()
+    before = shown(journal.pages(spark, out))
+    rows = spark.read.parquet(out).count()
+    again = journal.start(spark, at, out, marks)
+    again.awaitTermination()
+    assert number in [p["batchId"] for p in again.recentProgress if p["numInputRows"]]
+    assert shown(journal.pages(spark, out)) == before and spark.read.parquet(out).count() == rows == 4
